@@ -58,28 +58,35 @@ def point_in_ring(lat, lng, ring) -> Column:
     return F.when(n >= 4, F.aggregate(edges, F.lit(False), step)).otherwise(F.lit(False))
 
 
-def ring_centroid(ring) -> Column:
-    """Area centroid of a closed ring by the shoelace formula (J8); returns
-    struct(lat, lng).  Degenerate rings fall back to the vertex mean."""
-    r = _c(ring)
-    n = F.size(r)
-    idx = F.sequence(F.lit(0), n - 2)
-    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("cy"), F.lit(0.0).alias("cx"))
-
-    def step(acc, i):
-        p, q = r[i], r[i + 1]
-        cross = p[1] * q[0] - q[1] * p[0]   # x_i*y_{i+1} - x_{i+1}*y_i with x=lng, y=lat
-        return F.struct((acc["a"] + cross).alias("a"),
-                        (acc["cy"] + (p[0] + q[0]) * cross).alias("cy"),
-                        (acc["cx"] + (p[1] + q[1]) * cross).alias("cx"))
-
-    s = F.aggregate(idx, zero, step)
-    a = s["a"] / 2.0
-    mean_lat = F.aggregate(F.slice(r, 1, n - 1), F.lit(0.0), lambda acc, p: acc + p[0]) / (n - 1)
-    mean_lng = F.aggregate(F.slice(r, 1, n - 1), F.lit(0.0), lambda acc, p: acc + p[1]) / (n - 1)
-    return F.when(F.abs(a) > F.lit(1e-15),
-                  F.struct((s["cy"] / (6.0 * a)).alias("lat"), (s["cx"] / (6.0 * a)).alias("lng"))
-                  ).otherwise(F.struct(mean_lat.alias("lat"), mean_lng.alias("lng")))
+def ring_centroids(polygons, id_col: str, ring_col: str = "ring"):
+    """Area centroid of every closed ring by the shoelace formula (J8):
+    DataFrame (id, ring) -> (id, c_lat, c_lng).
+
+    Vertices are exploded to rows, paired with their successor (``lead`` over
+    the vertices of one polygon), taken relative to the polygon's first
+    vertex for precision, and summed by an ordinary aggregation.  Degenerate
+    rings (zero area) fall back to the vertex mean."""
+    from pyspark.sql.window import Window
+    v = polygons.select(id_col, F.posexplode(ring_col).alias("_i", "_p"))
+    w = Window.partitionBy(id_col).orderBy("_i")
+    v = (v.withColumn("_q", F.lead("_p").over(w))
+          .withColumn("_o", F.first("_p").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+          .withColumn("_n", F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    py, px = F.col("_p")[0] - F.col("_o")[0], F.col("_p")[1] - F.col("_o")[1]
+    qy, qx = F.col("_q")[0] - F.col("_o")[0], F.col("_q")[1] - F.col("_o")[1]
+    cross = px * qy - qx * py   # x_i*y_{i+1} - x_{i+1}*y_i with x=lng, y=lat
+    last = F.col("_i") == F.col("_n") - 1   # closing vertex repeats the first
+    g = (v.groupBy(id_col)
+          .agg(F.sum(F.when(F.col("_q").isNotNull(), cross)).alias("_a2"),
+               F.sum(F.when(F.col("_q").isNotNull(), (py + qy) * cross)).alias("_cy"),
+               F.sum(F.when(F.col("_q").isNotNull(), (px + qx) * cross)).alias("_cx"),
+               F.avg(F.when(~last, F.col("_p")[0])).alias("_my"), F.avg(F.when(~last, F.col("_p")[1])).alias("_mx"),
+               F.first(F.col("_o")[0]).alias("_y0"), F.first(F.col("_o")[1]).alias("_x0")))
+    a = F.col("_a2") / 2.0
+    ok = F.abs(a) > F.lit(1e-15)
+    return g.select(id_col,
+                    F.when(ok, F.col("_y0") + F.col("_cy") / (6.0 * a)).otherwise(F.col("_my")).alias("c_lat"),
+                    F.when(ok, F.col("_x0") + F.col("_cx") / (6.0 * a)).otherwise(F.col("_mx")).alias("c_lng"))
 
 
 def ring_bbox(ring) -> Column:

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airwell.constants import NEAREST_RADIUS_KM
-from airwell.functions.geo import guaranteed_radius_km, haversine_km, point_in_ring, ring_bbox, ring_centroid
+from airwell.session import materialize
+from airwell.functions.geo import guaranteed_radius_km, haversine_km, point_in_ring, ring_bbox, ring_centroids
 
 # (cell size in degrees, ring k).  The last level has 30-degree cells and
 # k=6, i.e. the whole globe.
@@ -50,9 +51,25 @@ def _planar_guard(lat, ring_deg: float, cell_deg: float):
     return F.lit(float(ring_deg))
 
 
+def auto_levels(pos: DataFrame, last=(30.0, 6)) -> tuple:
+    """Cell sizes from the targets' density: about two targets per cell on
+    the first level, then 4x coarser per level up to the global block."""
+    st = pos.agg(F.count(F.lit(1)).alias("n"), (F.max("s_lat") - F.min("s_lat")).alias("h"),
+                 (F.max("s_lng") - F.min("s_lng")).alias("w")).first()
+    n, h, w = st["n"] or 0, st["h"] or 0.0, st["w"] or 0.0
+    area = max(h, 0.01) * max(w, 0.01)
+    g = min(max(math.sqrt(2.0 * area / max(n, 1)), 0.001), last[0])
+    out = []
+    while g < last[0] / 2:
+        out.append((round(g, 6), 1))
+        g *= 4
+    out.append(last)
+    return tuple(out)
+
+
 def nearest_grid(points: DataFrame, targets: DataFrame, lat: str, lng: str, target_id: str,
                  target_lat: str, target_lng: str, metric: str = "haversine",
-                 levels=DEFAULT_LEVELS) -> DataFrame:
+                 levels=None) -> DataFrame:
     """Exact nearest target per distinct point -> (p_lat, p_lng, site, dist).
 
     ``metric`` is "haversine" (km) or "planar" (degrees, as a flat plane).
@@ -63,6 +80,8 @@ def nearest_grid(points: DataFrame, targets: DataFrame, lat: str, lng: str, targ
     pos = (targets.where(F.col(target_lat).isNotNull() & F.col(target_lng).isNotNull())
            .groupBy(F.col(target_lat).alias("s_lat"), F.col(target_lng).alias("s_lng"))
            .agg(F.min(target_id).alias("s_id")))
+    if levels is None:
+        levels = auto_levels(pos, (30.0, 6) if metric == "haversine" else PLANAR_LEVELS[-1])
     remaining = (points.where(F.col(lat).isNotNull() & F.col(lng).isNotNull())
                  .select(F.col(lat).alias("p_lat"), F.col(lng).alias("p_lng")).distinct())
     found = []
@@ -81,17 +100,22 @@ def nearest_grid(points: DataFrame, targets: DataFrame, lat: str, lng: str, targ
             p_l = p_l.distinct()
         # left join: points whose block is empty keep a row with no site
         cand = p_l.join(s_l, ["cy", "cx"], "left").withColumn("d", dist_fn())
+        # rank key NULL for the empty-block row, so min_by skips it
+        rank = F.when(F.col("d").isNotNull(), F.struct(F.round("d", RANK_DECIMALS), F.col("s_id")))
         best = (cand.groupBy("p_lat", "p_lng")
-                .agg(F.min_by(F.struct(F.col("s_id").alias("site"), F.col("d").alias("dist")),
-                              F.struct(F.round("d", RANK_DECIMALS), F.col("s_id"))).alias("b"))
+                .agg(F.min_by(F.struct(F.col("s_id").alias("site"), F.col("d").alias("dist")), rank).alias("b"))
                 .select("p_lat", "p_lng", F.col("b.site").alias("site"), F.col("b.dist").alias("dist")))
         if last:
             found.append(best.where(F.col("site").isNotNull()))
             break
+        # Materialise the level in the shared checkpoint folder: the next
+        # level starts from a short plan, and levels nobody needs never run.
+        best = materialize(best, "nearest-level")
         accept = F.col("dist") < guard_fn(F.col("p_lat"), k * g, g)
         found.append(best.where(accept))
-        # each level reads the previous level's result once: plan size stays linear
         remaining = best.where(~F.coalesce(accept, F.lit(False))).select("p_lat", "p_lng")
+        if remaining.isEmpty():
+            break
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -100,7 +124,7 @@ def nearest_grid(points: DataFrame, targets: DataFrame, lat: str, lng: str, targ
 
 def nearest_site(points: DataFrame, sites: DataFrame, lat: str = "lat", lng: str = "lng",
                  site_id: str = "municipality_id", site_lat: str = "latitude", site_lng: str = "longitude",
-                 max_km: float = NEAREST_RADIUS_KM, levels=DEFAULT_LEVELS) -> DataFrame:
+                 max_km: float = NEAREST_RADIUS_KM, levels=None) -> DataFrame:
     """Distinct (lat, lng) of ``points`` -> (lat, lng, site_id, distance_km).
 
     Ties in distance go to the lowest site id.  Points with no site within
@@ -169,9 +193,8 @@ def valley_for_points(points: DataFrame, valleys: DataFrame, lat: str = "lat", l
               .select(lat, lng, "v.valley_id", "v.valley", F.lit("contains").alias("method")))
     outside = (points.select(lat, lng).where(F.col(lat).isNotNull() & F.col(lng).isNotNull()).distinct()
                .join(inside.select(lat, lng), [lat, lng], "left_anti"))
-    cent = valleys.select("valley_id", "valley", ring_centroid("ring").alias("c")).select(
-        "valley_id", "valley", F.col("c.lat").alias("c_lat"), F.col("c.lng").alias("c_lng"))
-    best = nearest_grid(outside, cent, lat, lng, "valley_id", "c_lat", "c_lng", "planar", PLANAR_LEVELS)
+    cent = ring_centroids(valleys, "valley_id", "ring")
+    best = nearest_grid(outside, cent, lat, lng, "valley_id", "c_lat", "c_lng", "planar")
     names = valleys.select("valley_id", "valley")
     near = (best.join(names, best["site"] == names["valley_id"])
             .select(F.col("p_lat").alias(lat), F.col("p_lng").alias(lng), "valley_id", "valley",
