@@ -35,15 +35,29 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str,
-              bucket_seconds: int = 86400, right_prefix: str = "") -> DataFrame:
+              bucket_seconds: int = 86400, right_prefix: str = "", tie_order: list[str] | None = None) -> DataFrame:
     """Left rows with the columns of their as-of right row appended (NULL when
-    there is none).  ``right`` must be unique on (key, right_ts)."""
+    there is none).
+
+    ``right`` may hold several rows per (key, right_ts); the one with the
+    greatest ``tie_order`` tuple is used (without ``tie_order`` the right side
+    must already be unique on (key, right_ts)).  The right side is shuffled
+    once, by (key, bucket): the per-timestamp reduction, the per-bucket
+    summary and the in-bucket join all reuse that partitioning.
+    """
     b = F.lit(bucket_seconds)
     rcols = [c for c in right.columns if c != key]
-    rr = right.select(F.col(key).alias("_k"), *[F.col(c).alias(right_prefix + c) for c in rcols])
     rts = right_prefix + right_ts
-    rr = rr.withColumn("_b", F.floor(F.unix_seconds(F.col(rts)) / b))
     payload = [right_prefix + c for c in rcols]
+    rr = (right.select(F.col(key).alias("_k"), *[F.col(c).alias(right_prefix + c) for c in rcols])
+               .withColumn("_b", F.floor(F.unix_seconds(F.col(rts)) / b))
+               .repartition("_k", "_b"))
+    if tie_order:
+        order = [right_prefix + c for c in tie_order]
+        rest = [c for c in payload if c != rts]
+        rr = (rr.groupBy("_k", "_b", rts)
+                .agg(F.max_by(F.struct(*[F.col(c) for c in rest]), F.struct(*[F.col(c) for c in order])).alias("_r"))
+                .select("_k", "_b", rts, *[F.col("_r." + c).alias(c) for c in rest]))
 
     lk = (left.select(F.col(key).alias("_k"), F.col(left_ts).alias("_t"))
           .where(F.col("_k").isNotNull() & F.col("_t").isNotNull()).distinct()

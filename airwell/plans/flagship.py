@@ -17,9 +17,15 @@ from airwell.operators.spatial import nearest_site
 from airwell.operators.windows import VITAL_COLUMNS, vitals_window
 from airwell.plans import sqlfrag as Q
 from airwell.plans.oracle_views import with_views
+from airwell.session import materialize
 from airwell.sources import tables as T
 
 
+# reading columns the scores read
+SCORED_COLUMNS = ["alder_pollen", "birch_pollen", "grass_pollen", "mugwort_pollen", "olive_pollen", "ragweed_pollen",
+                  "european_aqi", "pm10", "pm2_5", "nitrogen_dioxide", "sulphur_dioxide", "carbon_monoxide", "ozone"]
+
+
 def hourly_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings reduced to one per (site, hour): greatest (reading_id, pm10)."""
     return latest_per_key(T.readings(spark, sf_dir), ["municipality_id", "ts"], ["reading_id", "pm10"])
@@ -29,9 +35,12 @@ def enriched_windows(spark: SparkSession, sf_dir: str, size: str = "1 minute") -
     """Vitals windows with nearest site, as-of reading and profile columns."""
     win = vitals_window(T.vitals(spark, sf_dir), size)
     near = nearest_site(win.select("lat", "lng"), T.sites(spark, sf_dir))
-    win = win.join(near, ["lat", "lng"], "left")
-    env = hourly_readings(spark, sf_dir).withColumnRenamed("ts", "reading_ts")
-    win = asof_join(win, env, "municipality_id", "window_end", "reading_ts")
+    # The windows feed the as-of lookup at three points; write them once to
+    # the shared folder instead of re-aggregating the raw events each time.
+    win = materialize(win.join(near, ["lat", "lng"], "left"), "vitals-windows")
+    env = T.readings(spark, sf_dir).select("municipality_id", "reading_id", F.col("ts").alias("reading_ts"),
+                                           *SCORED_COLUMNS)
+    win = asof_join(win, env, "municipality_id", "window_end", "reading_ts", tie_order=["reading_id", "pm10"])
     return win.join(T.profiles(spark, sf_dir), "user_id", "left")
 
 

@@ -100,8 +100,8 @@ def env_asof(spark: SparkSession, sf: str) -> DataFrame:
     at or before the event."""
     v = T.vitals(spark, sf).select("event_id", "ts", "lat", "lng")
     v = v.join(nearest_site(v.select("lat", "lng"), T.sites(spark, sf)), ["lat", "lng"], "left")
-    r = FS.hourly_readings(spark, sf).select("municipality_id", "ts", "reading_id").withColumnRenamed("ts", "reading_ts")
-    out = asof_join(v, r, "municipality_id", "ts", "reading_ts")
+    r = T.readings(spark, sf).select("municipality_id", F.col("ts").alias("reading_ts"), "reading_id", "pm10")
+    out = asof_join(v, r, "municipality_id", "ts", "reading_ts", tie_order=["reading_id", "pm10"])
     return out.select("event_id", "municipality_id", "reading_id", "reading_ts")
 
 
