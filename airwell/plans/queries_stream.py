@@ -97,3 +97,54 @@ def profile_stream(spark: SparkSession, sf: str) -> DataFrame:
     rows = SP.profile_rows(MS.file_stream(spark, f"{base}/topic"), PROFILE_FIELDS)
     SP.run_to_parquet(rows, f"{base}/table", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/table").select(*PROFILE_COLS)
+
+
+REC_STREAM_WHERE = "WHERE window_end <= (SELECT max(ts) FROM vitals)"
+
+
+def _rec_stream(spark: SparkSession, sf: str) -> dict:
+    base = new_work_path(spark, "rec-stream")
+    MS.write_message_files(spark, MS.vitals_messages(T.vitals(spark, sf)), "vitals", files=4, path=f"{base}/topic")
+    return SP.run_recommendations_stream(spark, f"{base}/topic", T.sites(spark, sf), T.readings(spark, sf),
+                                         T.profiles(spark, sf), base=base, max_files_per_trigger=2)
+
+
+@register("recommendations_stream", lambda: _stream_rec_sql())
+def recommendations_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The vitals -> recommendations stream end to end (3.1): windows close
+    under the watermark, each micro-batch is enriched (nearest site, as-of
+    reading, profile) and scored, and written as (key, value) messages whose
+    key is the window end and whose value is JSON (D4).  Read back and
+    exploded, one row per recommendation."""
+    paths = _rec_stream(spark, sf)
+    m = spark.read.schema("key string, value string").json(paths["out"])
+    v = F.from_json("value", "struct<user_id:bigint, window_end:timestamp, recommendations:array<string>>")
+    rows = m.select(F.col("key").cast("bigint").alias("window_key"), v.alias("v"))
+    return rows.select("window_key", "v.user_id", "v.window_end",
+                       F.posexplode("v.recommendations").alias("pos", "advice"))
+
+
+def _stream_rec_sql() -> str:
+    from airwell.plans.queries import _advice_list_prefix
+    return _advice_list_prefix() + f"""
+SELECT CAST(epoch(window_end) AS BIGINT) AS window_key, user_id, window_end, pos, advice FROM items
+WHERE window_end <= (SELECT max(ts) FROM vitals)"""
+
+
+def _stream_category_sql() -> str:
+    from airwell.plans.queries import _advice_list_prefix
+    return _advice_list_prefix() + """
+SELECT user_id, category, arg_max(content, window_end) AS content, max(window_end) AS window_end FROM (
+  SELECT user_id, window_end, trim(regexp_extract(advice, '^([^:]*):(.*)$', 1)) AS category,
+         trim(regexp_extract(advice, '^([^:]*):(.*)$', 2)) AS content
+  FROM items WHERE contains(advice, ':') AND window_end <= (SELECT max(ts) FROM vitals)) t
+GROUP BY user_id, category"""
+
+
+@register("category_latest_stream", lambda: _stream_category_sql())
+def category_latest_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The current recommendation per (user, category), replaced by newer
+    ones batch by batch (versioned snapshot merge)."""
+    paths = _rec_stream(spark, sf)
+    snap = SP.read_snapshot(spark, paths["latest"])
+    return snap.select("user_id", "category", "content", "window_end")

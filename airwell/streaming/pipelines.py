@@ -186,3 +186,47 @@ def profile_rows(msgs: DataFrame, fields: list[tuple[str, str]]) -> DataFrame:
             c = raw.try_cast(typ)
         cols.append(c.alias(name))
     return m.select(*cols)
+
+
+# -- recommendations (3.1 end to end: A1 -> J4/J5/J6 -> R1-R15 -> K3, T9) -----------
+def recommendations_writer(spark: SparkSession, out: str, sites: DataFrame, readings: DataFrame,
+                           profiles: DataFrame, latest: str | None = None):
+    """foreachBatch function: each micro-batch holds windows that just
+    closed; they are enriched and scored with the batch operators and written
+    as (key, value) messages (K3 shape) under ``batch=<id>`` (overwrite:
+    a replayed batch rewrites the same files).  ``latest`` keeps the current
+    text per (user, category) as versioned snapshots (T9)."""
+    from airwell.api import recommend
+    from airwell.functions.prepare import has_category, split_category
+    from airwell.sinks.tables import merge_latest
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        rec = recommend(batch, sites, readings, profiles)
+        msgs = rec.select(F.unix_timestamp("window_end").cast("string").alias("key"),
+                          F.to_json(F.struct("user_id", "window_end", "recommendations")).alias("value"))
+        msgs.write.mode("overwrite").json(f"{out}/batch={batch_id}")
+        if latest is None or batch_id in snapshot_versions(spark, latest):
+            return
+        items = rec.select("user_id", "window_end", F.explode("recommendations").alias("advice"))
+        cat, content = split_category("advice")
+        items = items.where(has_category("advice")).select(
+            "user_id", cat.alias("category"), content.alias("content"), "window_end")
+        items = items.withColumn("uc", F.concat_ws("\u0001", F.col("user_id").cast("string"), "category"))
+        prev = [v for v in snapshot_versions(spark, latest) if v < batch_id]
+        snap = spark.read.parquet(f"{latest}/v={prev[-1]}") if prev else None
+        merge_latest(snap, items, "uc", ["window_end"]).write.mode("overwrite").parquet(f"{latest}/v={batch_id}")
+    return run
+
+
+def run_recommendations_stream(spark: SparkSession, source: str, sites: DataFrame, readings: DataFrame,
+                               profiles: DataFrame, base: str | None = None, size: str = "1 minute",
+                               delay: str = "0 seconds", max_files_per_trigger: int | None = None) -> dict:
+    from airwell.sources.messages import file_stream
+    base = base or new_work_path(spark, "recommendations")
+    paths = {k: f"{base}/{k}" for k in ("out", "latest", "checkpoint")}
+    win = windowed_vitals_stream(parse_vitals(file_stream(spark, source, max_files_per_trigger)), size, delay)
+    q = (win.writeStream.outputMode("append")
+         .foreachBatch(recommendations_writer(spark, paths["out"], sites, readings, profiles, paths["latest"]))
+         .option("checkpointLocation", paths["checkpoint"]).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return paths
