@@ -50,8 +50,9 @@ def read_history(spark: SparkSession, path: str, years: list[int] | None = None,
 
 
 def write_partitioned_by_valley(spark: SparkSession, df: DataFrame, name: str, path: str | None = None) -> str:
-    """K9: one folder per valley (replaces moving files into folders)."""
-    return write_parquet(spark, df, name, ["valley"], path)
+    """K9: one folder per valley (replaces moving files into folders); rows
+    are shuffled by valley first so each folder receives few files."""
+    return write_parquet(spark, df.repartition("valley"), name, ["valley"], path)
 
 
 def merge_latest(snapshot: DataFrame | None, batch: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -53,3 +53,12 @@ def scan_latest_state(snapshot: DataFrame, key_col: str = "key", prefix: str = S
 def lookup_profile(profiles: DataFrame, user_id) -> DataFrame:
     """One profile by primary key (the filter reaches the parquet scan)."""
     return profiles.where(F.col("user_id") == F.lit(user_id))
+
+
+def read_geojson_lines(spark: SparkSession, path: str, id_prop: str = "com_istat_code_num") -> DataFrame:
+    """S5 for large layers: one GeoJSON feature per line (GeoJSON text
+    sequence), read in parallel splits."""
+    f = spark.read.schema(
+        f"type string, properties struct<{id_prop}: bigint, name: string>, "
+        "geometry struct<type: string, coordinates: array<double>>").json(path)
+    return f.select(F.col(f"properties.{id_prop}").alias("municipality_id"), F.col("geometry").alias("geometry"))
