@@ -94,8 +94,10 @@ def train_forests(features: DataFrame, groups: list[tuple], group_cols: list[str
                   path: str, num_trees: int = 100, max_depth: int = MAX_TREE_DEPTH, seed: int = 42,
                   threads: int = 8) -> list[tuple]:
     """One regression forest per group, saved to
-    ``path/<col>=<value>/...`` (K10).  Returns (group..., model_path, n_rows)."""
+    ``path/<col>=<value>/...`` (K10).  Returns (group..., model_path, n_rows,
+    model); the model is None for groups with fewer than two rows."""
     features = features.persist(StorageLevel.MEMORY_AND_DISK)
+    features.count()   # fill the cache once, before the fits start in parallel
 
     def fit(g):
         cond = F.lit(True)
@@ -105,7 +107,7 @@ def train_forests(features: DataFrame, groups: list[tuple], group_cols: list[str
         data = features.where(cond).select(*cols, label).na.drop()
         n = data.count()
         if n < 2:
-            return (*g, None, n)
+            return (*g, None, n, None)
         va = VectorAssembler(inputCols=cols, outputCol="features")
         rf = RandomForestRegressor(labelCol=label, featuresCol="features", numTrees=num_trees,
                                    maxDepth=max_depth, seed=seed)
@@ -113,7 +115,7 @@ def train_forests(features: DataFrame, groups: list[tuple], group_cols: list[str
         where = "/".join(f"{c}={v}" for c, v in zip(group_cols, g))
         mpath = f"{path}/{where}"
         model.write().overwrite().save(mpath)
-        return (*g, mpath, n)
+        return (*g, mpath, n, model)
 
     with ThreadPoolExecutor(max_workers=threads) as pool:
         out = list(pool.map(fit, groups))

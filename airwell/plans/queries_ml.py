@@ -15,7 +15,7 @@ from airwell.operators.asof import latest_per_key
 from airwell.operators.spatial import valley_for_points
 from airwell.plans import flagship as FS
 from airwell.plans.catalog import register
-from airwell.session import new_work_path
+from airwell.session import materialize, new_work_path
 from airwell.sources import tables as T
 
 CLASSIFIER_COLS = ["age", "bmi", "gender", "current_smoker", "family_history_asthma", "eczema", "hay_fever"]
@@ -60,7 +60,9 @@ def daily_features(spark: SparkSession, sf: str, pollen: str = SELECTED_POLLEN)
     d = W.interpolate_fill(d, "municipality_id", "date", pollen)
     d = W.lags(d, "municipality_id", "date", pollen, 3)
     sites = T.sites(spark, sf).select("municipality_id", "valley_id")
-    return d.join(sites, "municipality_id")
+    # written once to the shared folder: every per-valley fit and prediction
+    # reads this table instead of re-deriving it from the readings
+    return materialize(d.join(sites, "municipality_id"), "daily-features")
 
 
 def lag_cols(pollen: str) -> list[str]:
@@ -79,13 +81,13 @@ def forecast_valley(spark: SparkSession, sf: str) -> DataFrame:
     fitted = ML.train_forests(train, [(v,) for v in valleys], ["valley_id"], lambda g: SELECTED_POLLEN,
                               lambda g: cols, path)
     preds = None
-    for v, mpath, n in fitted:
-        if mpath is None:
+    from pyspark.ml.feature import VectorAssembler
+    for v, mpath, n, model in fitted:
+        if model is None:
             continue
-        from pyspark.ml.feature import VectorAssembler
         t = VectorAssembler(inputCols=cols, outputCol="features").transform(
             test.where(F.col("valley_id") == v).select("valley_id", *cols, SELECTED_POLLEN).na.drop())
-        p = ML.load_forest(mpath).transform(t).select("valley_id", SELECTED_POLLEN, "prediction")
+        p = model.transform(t).select("valley_id", SELECTED_POLLEN, "prediction")
         preds = p if preds is None else preds.unionByName(p)
     return M.regression_metrics(preds, SELECTED_POLLEN, "prediction", ["valley_id"])
 
@@ -105,10 +107,9 @@ def forecast_two_step(spark: SparkSession, sf: str) -> DataFrame:
     today = latest_per_key(full.select("municipality_id", "valley_id", "date", *cols), ["municipality_id"], ["date"])
     from pyspark.ml.feature import VectorAssembler
     out = None
-    for v, mpath, n in fitted:
-        if mpath is None:
+    for v, mpath, n, model in fitted:
+        if model is None:
             continue
-        model = ML.load_forest(mpath)
         va = VectorAssembler(inputCols=cols, outputCol="features")
         t = model.transform(va.transform(today.where(F.col("valley_id") == v))).withColumnRenamed("prediction", "today")
         t2 = t.drop("features").withColumns(W.shift_lags(lag_cols(SELECTED_POLLEN), F.col("today")))
