@@ -41,28 +41,40 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_t
 
     ``right`` may hold several rows per (key, right_ts); the one with the
     greatest ``tie_order`` tuple is used (without ``tie_order`` the right side
-    must already be unique on (key, right_ts)).  The right side is shuffled
-    once, by (key, bucket): the per-timestamp reduction, the per-bucket
-    summary and the in-bucket join all reuse that partitioning.
+    must already be unique on (key, right_ts)).  Only right rows inside the
+    left's bucket range are shuffled whole, once, by (key, bucket): the
+    per-timestamp reduction, the per-bucket summary and the in-bucket join
+    reuse that partitioning.  Older rows are reduced to each key's last one
+    by a partially aggregated ``max_by``; later rows are dropped.
     """
     b = F.lit(bucket_seconds)
     rcols = [c for c in right.columns if c != key]
     rts = right_prefix + right_ts
     payload = [right_prefix + c for c in rcols]
+    order = [rts] + [right_prefix + c for c in (tie_order or [])]
+
+    lk = (left.select(F.col(key).alias("_k"), F.col(left_ts).alias("_t"))
+          .where(F.col("_k").isNotNull() & F.col("_t").isNotNull()).distinct()
+          .withColumn("_b", F.floor(F.unix_seconds(F.col("_t")) / b)))
+    # the left's bucket range (two scalars): right rows after it are never
+    # needed; right rows before it matter only through each key's last one
+    lo, hi = lk.agg(F.min("_b"), F.max("_b")).first()
+    if lo is None:
+        lo, hi = 0, -1
+
     rr = (right.select(F.col(key).alias("_k"), *[F.col(c).alias(right_prefix + c) for c in rcols])
                .withColumn("_b", F.floor(F.unix_seconds(F.col(rts)) / b))
-               .repartition("_k", "_b"))
+               .where(F.col("_b") <= F.lit(hi)))
+    older = (rr.where(F.col("_b") < F.lit(lo)).groupBy("_k")
+               .agg(F.max_by(F.struct(*payload), F.struct(*[F.col(c) for c in order])).alias("_m"))
+               .select("_k", F.lit(lo - 1).cast("bigint").alias("_b"), "_m"))
+    rr = rr.where(F.col("_b") >= F.lit(lo)).repartition("_k", "_b")
     if tie_order:
-        order = [right_prefix + c for c in tie_order]
         rest = [c for c in payload if c != rts]
         rr = (rr.groupBy("_k", "_b", rts)
-                .agg(F.max_by(F.struct(*[F.col(c) for c in rest]), F.struct(*[F.col(c) for c in order])).alias("_r"))
+                .agg(F.max_by(F.struct(*[F.col(c) for c in rest]), F.struct(*[F.col(c) for c in order[1:]])).alias("_r"))
                 .select("_k", "_b", rts, *[F.col("_r." + c).alias(c) for c in rest]))
 
-    lk = (left.select(F.col(key).alias("_k"), F.col(left_ts).alias("_t"))
-          .where(F.col("_k").isNotNull() & F.col("_t").isNotNull()).distinct()
-          .withColumn("_b", F.floor(F.unix_seconds(F.col("_t")) / b)))
-
     # 1. newest right row in the same bucket, not after the left time
     inb = (lk.join(rr, ["_k", "_b"]).where(F.col(rts) <= F.col("_t"))
            .groupBy("_k", "_t")
@@ -70,7 +82,8 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_t
 
     # 2. last right row before each bucket, for buckets after the first one with data
     last_in_bucket = (rr.groupBy("_k", "_b")
-                      .agg(F.max_by(F.struct(*payload), F.col(rts)).alias("_m")))
+                      .agg(F.max_by(F.struct(*payload), F.col(rts)).alias("_m"))
+                      .unionByName(older))
     w = Window.partitionBy("_k").orderBy("_b")
     carry = (last_in_bucket
              .withColumn("_next", F.lead("_b").over(w))

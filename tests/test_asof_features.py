@@ -33,6 +33,13 @@ def test_asof_equals_brute_force(spark):
         cands = [(rt, rid, v) for kk, rt, rid, v in right if kk == k and rt <= t]
         exp = max(cands)[1] if cands else None
         assert got[n] == exp, (n, k, t)
+    # a left side that starts late: earlier right rows only count through each key's last one
+    late = [(n, k, t) for n, k, t in left if t > T0 + dt.timedelta(days=60)]
+    L2 = spark.createDataFrame(late, "n long, k long, t timestamp")
+    got2 = {r["n"]: r["rid"] for r in asof_join(L2, Rr, "k", "t", "rt", tie_order=["rid", "v"]).collect()}
+    for n, k, t in late:
+        cands = [(rt, rid, v) for kk, rt, rid, v in right if kk == k and rt <= t]
+        assert got2[n] == (max(cands)[1] if cands else None), (n, k, t)
 
 
 def test_interpolate_matches_pandas(spark):
