@@ -16,14 +16,14 @@ SCORED_COLUMNS = ["alder_pollen", "birch_pollen", "grass_pollen", "mugwort_polle
 
 
 def enrich(windows: DataFrame, sites: DataFrame, readings: DataFrame, profiles: DataFrame,
-           bucket_seconds: int = 86400) -> DataFrame:
+           bucket_seconds: int = 86400, levels=None) -> DataFrame:
     """J4 + J5 + J6: nearest site, as-of reading at the window end, profile.
 
     ``windows``: user_id, window_end, lat, lng, avg_* columns.
     ``readings``: municipality_id, ts, reading_id, pm10 and the scored values
     (may hold several rows per site and time; the greatest (reading_id, pm10)
     wins)."""
-    near = nearest_site(windows.select("lat", "lng"), sites)
+    near = nearest_site(windows.select("lat", "lng"), sites, levels=levels)
     w = windows.join(near, ["lat", "lng"], "left")
     env = readings.select("municipality_id", "reading_id", F.col("ts").alias("reading_ts"),
                           *[c for c in SCORED_COLUMNS])
@@ -38,8 +38,9 @@ def score(enriched: DataFrame, weights: S.Weights = S.DEFAULT_WEIGHTS) -> DataFr
 
 
 def recommend(windows: DataFrame, sites: DataFrame, readings: DataFrame, profiles: DataFrame,
-              weights: S.Weights = S.DEFAULT_WEIGHTS) -> DataFrame:
-    """X1 + X2: (window, recommendations, count) per user window."""
-    s = score(enrich(windows, sites, readings, profiles), weights)
+              weights: S.Weights = S.DEFAULT_WEIGHTS, levels=None) -> DataFrame:
+    """X1 + X2: (window, recommendations, count) per user window.  ``levels``
+    fixes the nearest-site grid (computed once for a stream's static sites)."""
+    s = score(enrich(windows, sites, readings, profiles, levels=levels), weights)
     return s.select("user_id", "window_start", "window_end", "n_events", "municipality_id", "final_score",
                     "recommendations")

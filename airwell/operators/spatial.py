@@ -122,6 +122,13 @@ def nearest_grid(points: DataFrame, targets: DataFrame, lat: str, lng: str, targ
     return out
 
 
+def site_levels(sites: DataFrame, site_lat: str = "latitude", site_lng: str = "longitude") -> tuple:
+    """Grid levels for a site table (to reuse across many lookups)."""
+    pos = sites.select(F.col(site_lat).alias("s_lat"), F.col(site_lng).alias("s_lng")).where(
+        F.col("s_lat").isNotNull() & F.col("s_lng").isNotNull()).distinct()
+    return auto_levels(pos)
+
+
 def nearest_site(points: DataFrame, sites: DataFrame, lat: str = "lat", lng: str = "lng",
                  site_id: str = "municipality_id", site_lat: str = "latitude", site_lng: str = "longitude",
                  max_km: float = NEAREST_RADIUS_KM, levels=None) -> DataFrame:

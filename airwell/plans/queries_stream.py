@@ -24,11 +24,12 @@ AVG_COLS = [f"avg_{c}" for c in VITAL_COLUMNS]
 def _vitals_stream(spark: SparkSession, sf: str, redeliver: bool) -> DataFrame:
     base = new_work_path(spark, "vitals-stream")
     src = f"{base}/topic"
-    msgs = MS.vitals_messages(T.vitals(spark, sf))
-    MS.write_message_files(spark, msgs, "vitals", files=4, path=src)
-    if redeliver:  # at-least-once delivery: every message arrives twice
-        MS.write_message_files(spark, msgs, "vitals", files=4, path=src)
-    events = SP.parse_vitals(MS.file_stream(spark, src))
+    v = T.vitals(spark, sf)
+    # at-least-once delivery: every message arrives twice, within the same
+    # micro-batch, so only the deduplication (not the watermark) removes it
+    encode = (lambda d: MS.vitals_messages(d.unionAll(d))) if redeliver else MS.vitals_messages
+    MS.publish_in_time_order(spark, v, encode, "ts", 4, src)
+    events = SP.parse_vitals(MS.file_stream(spark, src, max_files_per_trigger=1))
     win = SP.windowed_vitals_stream(events, "1 minute", "0 seconds", dedup_events=redeliver)
     SP.run_to_parquet(win, f"{base}/sink", f"{base}/checkpoint")
     out = spark.read.parquet(f"{base}/sink")
@@ -104,9 +105,9 @@ REC_STREAM_WHERE = "WHERE window_end <= (SELECT max(ts) FROM vitals)"
 
 def _rec_stream(spark: SparkSession, sf: str) -> dict:
     base = new_work_path(spark, "rec-stream")
-    MS.write_message_files(spark, MS.vitals_messages(T.vitals(spark, sf)), "vitals", files=4, path=f"{base}/topic")
+    MS.publish_in_time_order(spark, T.vitals(spark, sf), MS.vitals_messages, "ts", 4, f"{base}/topic")
     return SP.run_recommendations_stream(spark, f"{base}/topic", T.sites(spark, sf), T.readings(spark, sf),
-                                         T.profiles(spark, sf), base=base, max_files_per_trigger=2)
+                                         T.profiles(spark, sf), base=base, max_files_per_trigger=1)
 
 
 @register("recommendations_stream", lambda: _stream_rec_sql())

@@ -63,3 +63,22 @@ def vitals_messages(vitals: DataFrame) -> DataFrame:
         "event_id", F.col("user_id").alias("id"), "heart_rate", "ibi", "eda", "skin_temp", "activity_level",
         "lat", "lng", ts_to_epoch(F.col("ts")).alias("timestamp"))
     return vitals.select(F.col("user_id").cast("string").alias("key"), F.to_json(body).alias("value"))
+
+
+def publish_in_time_order(spark: SparkSession, rows: DataFrame, encode, ts: str, slices: int, path: str) -> str:
+    """Simulated producer: publish ``rows`` as messages in event-time order,
+    one file per time slice, written one after another (so file order, which
+    the file source follows, is time order).  Slice bounds are approximate
+    quantiles of ``ts`` (a few scalars on the driver)."""
+    probs = [i / slices for i in range(1, slices)]
+    cuts = rows.select(F.unix_micros(F.col(ts)).cast("double").alias("_u")).approxQuantile("_u", probs, 0.001)
+    bounds = [None] + sorted(set(cuts)) + [None]
+    u = F.unix_micros(F.col(ts)).cast("double")
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (u >= F.lit(lo))
+        if hi is not None:
+            cond = cond & (u < F.lit(hi))
+        encode(rows.where(cond)).coalesce(1).write.mode("append").json(path)
+    return path

@@ -11,6 +11,7 @@ parsing, window and scoring builders as the batch plans.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as TT
@@ -136,6 +137,13 @@ def latest_state_writer(spark: SparkSession, state: str, history: str, risk: str
     The merge is a set operation on executors; nothing is collected."""
     def run(batch: DataFrame, batch_id: int) -> None:
         good = batch.drop(CORRUPT) if CORRUPT in batch.columns else batch
+        good = good.persist(StorageLevel.MEMORY_AND_DISK)   # read by two writes
+        try:
+            _write(good, batch_id)
+        finally:
+            good.unpersist()
+
+    def _write(good: DataFrame, batch_id: int) -> None:
         (good.write.mode("overwrite").partitionBy("year")
              .parquet(f"{history}/batch={batch_id}"))
         if batch_id in snapshot_versions(spark, state):
@@ -198,10 +206,27 @@ def recommendations_writer(spark: SparkSession, out: str, sites: DataFrame, read
     text per (user, category) as versioned snapshots (T9)."""
     from airwell.api import recommend
     from airwell.functions.prepare import has_category, split_category
+    from airwell.operators.spatial import site_levels
     from airwell.sinks.tables import merge_latest
 
+    levels = site_levels(sites)   # static side: one grid for the whole stream
+
     def run(batch: DataFrame, batch_id: int) -> None:
-        rec = recommend(batch, sites, readings, profiles)
+        # the batch and its scores feed two writes: compute them once
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            _write(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def _write(batch: DataFrame, batch_id: int) -> None:
+        rec = recommend(batch, sites, readings, profiles, levels=levels).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            _emit(rec, batch_id)
+        finally:
+            rec.unpersist()
+
+    def _emit(rec: DataFrame, batch_id: int) -> None:
         msgs = rec.select(F.unix_timestamp("window_end").cast("string").alias("key"),
                           F.to_json(F.struct("user_id", "window_end", "recommendations")).alias("value"))
         msgs.write.mode("overwrite").json(f"{out}/batch={batch_id}")
