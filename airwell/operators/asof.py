@@ -41,11 +41,11 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_t
 
     ``right`` may hold several rows per (key, right_ts); the one with the
     greatest ``tie_order`` tuple is used (without ``tie_order`` the right side
-    must already be unique on (key, right_ts)).  Only right rows inside the
-    left's bucket range are shuffled whole, once, by (key, bucket): the
-    per-timestamp reduction, the per-bucket summary and the in-bucket join
-    reuse that partitioning.  Older rows are reduced to each key's last one
-    by a partially aggregated ``max_by``; later rows are dropped.
+    must already be unique on (key, right_ts)).  Right rows inside the left's
+    bucket range are first reduced per (key, bucket, time) with map-side
+    partial aggregation, so a hot key ships at most one row per timestamp and
+    map task; only then are they shuffled for the join.  Older rows are
+    reduced to each key's last one the same way; later rows are dropped.
     """
     b = F.lit(bucket_seconds)
     rcols = [c for c in right.columns if c != key]
@@ -68,7 +68,9 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_t
     older = (rr.where(F.col("_b") < F.lit(lo)).groupBy("_k")
                .agg(F.max_by(F.struct(*payload), F.struct(*[F.col(c) for c in order])).alias("_m"))
                .select("_k", F.lit(lo - 1).cast("bigint").alias("_b"), "_m"))
-    rr = rr.where(F.col("_b") >= F.lit(lo)).repartition("_k", "_b")
+    # no explicit repartition: the reduction below is a partial aggregation,
+    # so a hot (key, bucket) is pre-reduced on the map side before any shuffle
+    rr = rr.where(F.col("_b") >= F.lit(lo))
     if tie_order:
         rest = [c for c in payload if c != rts]
         rr = (rr.groupBy("_k", "_b", rts)

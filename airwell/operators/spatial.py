@@ -51,17 +51,26 @@ def _planar_guard(lat, ring_deg: float, cell_deg: float):
     return F.lit(float(ring_deg))
 
 
-def auto_levels(pos: DataFrame, last=(30.0, 6)) -> tuple:
+def auto_levels(pos: DataFrame, last=(30.0, 6), max_per_cell: int = 64) -> tuple:
     """Cell sizes from the targets' density: about two targets per cell on
-    the first level, then 4x coarser per level up to the global block."""
+    average, refined (4x finer, a few scalar jobs over the distinct target
+    positions) until no cell holds more than ``max_per_cell`` targets, so a
+    dense cluster cannot hand one point a huge candidate set on the first
+    level; then 4x coarser per level up to the global block."""
     st = pos.agg(F.count(F.lit(1)).alias("n"), (F.max("s_lat") - F.min("s_lat")).alias("h"),
                  (F.max("s_lng") - F.min("s_lng")).alias("w")).first()
     n, h, w = st["n"] or 0, st["h"] or 0.0, st["w"] or 0.0
     area = max(h, 0.01) * max(w, 0.01)
     g = min(max(math.sqrt(2.0 * area / max(n, 1)), 0.001), last[0])
+    for _ in range(8):
+        cy, cx, _n = _cells(F.col("s_lat"), F.col("s_lng"), g)
+        busiest = pos.groupBy(cy.alias("cy"), cx.alias("cx")).count().agg(F.max("count")).first()[0] or 0
+        if busiest <= max_per_cell or g <= 1e-5:
+            break
+        g /= 4.0
     out = []
     while g < last[0] / 2:
-        out.append((round(g, 6), 1))
+        out.append((round(g, 9), 1))
         g *= 4
     out.append(last)
     return tuple(out)

@@ -84,3 +84,17 @@ def test_centroid_of_shapes(spark):
     c = {r["id"]: (r["c_lat"], r["c_lng"]) for r in ring_centroids(df, "id").collect()}
     assert abs(c[1][0] - 45.1) < 1e-12 and abs(c[1][1] - 10.2) < 1e-12
     assert abs(c[2][0] - 1.0) < 1e-12 and abs(c[2][1] - 1.0) < 1e-12
+
+
+def test_dense_cluster_refines_first_level(spark):
+    from airwell.operators.spatial import auto_levels
+    rnd = random.Random(11)
+    # a third of all sites inside a ~100 m patch, the rest spread over the region
+    sites = [(i, 46.0 + rnd.random() * 0.001, 11.0 + rnd.random() * 0.001) for i in range(1, 301)]
+    sites += [(1000 + i, 45.7 + rnd.random() * 1.3, 10.4 + rnd.random() * 2.0) for i in range(600)]
+    s = spark.createDataFrame(sites, "municipality_id long, latitude double, longitude double")
+    pos = s.select(F.col("latitude").alias("s_lat"), F.col("longitude").alias("s_lng")).distinct()
+    levels = auto_levels(pos)
+    assert levels[0][0] < 0.001
+    points = [(46.0005, 11.0005), (46.01, 11.01), (45.8, 10.9), (46.9, 12.3)]
+    _check(spark, points, sites)
