@@ -784,10 +784,10 @@ def metrics_pivot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("class_metrics", lambda: cte(["profiles"]) + f"""
-SELECT count(*) AS n, sum(CASE WHEN asthma_allergy AND bmi > 25 THEN 1 ELSE 0 END) AS tp,
-       sum(CASE WHEN NOT asthma_allergy AND bmi > 25 THEN 1 ELSE 0 END) AS fp,
-       sum(CASE WHEN asthma_allergy AND NOT bmi > 25 THEN 1 ELSE 0 END) AS fn,
-       sum(CASE WHEN NOT asthma_allergy AND NOT bmi > 25 THEN 1 ELSE 0 END) AS tn,
+SELECT count(*) AS n, CAST(sum(CASE WHEN asthma_allergy AND bmi > 25 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+       CAST(sum(CASE WHEN NOT asthma_allergy AND bmi > 25 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+       CAST(sum(CASE WHEN asthma_allergy AND NOT bmi > 25 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+       CAST(sum(CASE WHEN NOT asthma_allergy AND NOT bmi > 25 THEN 1 ELSE 0 END) AS BIGINT) AS tn,
        {Q.fix6('(tp + tn) / CAST(count(*) AS DOUBLE)')} AS accuracy, {Q.fix6('tp / CAST(tp + fp AS DOUBLE)')} AS precision,
        {Q.fix6('tp / CAST(tp + fn AS DOUBLE)')} AS recall
 FROM profiles""")
@@ -806,7 +806,8 @@ def _auc_sql(score: str, src: str = "profiles", label: str = "asthma_allergy") -
 
 
 @register("auc_exact", lambda: cte(["profiles"]) + f"""
-SELECT sum(CAST(asthma_allergy AS INTEGER)) AS n_pos, sum(1 - CAST(asthma_allergy AS INTEGER)) AS n_neg,
+SELECT CAST(sum(CAST(asthma_allergy AS INTEGER)) AS BIGINT) AS n_pos,
+       CAST(sum(1 - CAST(asthma_allergy AS INTEGER)) AS BIGINT) AS n_neg,
        {Q.fix6(_auc_sql('bmi'))} AS auc FROM profiles""")
 def auc_exact(spark: SparkSession, sf: str) -> DataFrame:
     """Exact ROC-AUC of bmi as a score for asthma (ties count half)."""

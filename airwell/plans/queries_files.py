@@ -50,7 +50,7 @@ def polygon_text_scan(spark: SparkSession, sf: str) -> DataFrame:
                                                  p[1].cast("string"), F.lit(")")))
     text = F.concat(F.lit("["), F.array_join(pairs, ", "), F.lit("]"))
     path = write_csv(spark, v.select("valley_id", "valley", text.alias("boundary")), "valley-rings")
-    back = FI.read_csv(spark, path, "valley_id bigint, valley string, boundary string")
+    back = FI.read_csv(spark, path, "valley_id int, valley string, boundary string")
     ring = back.select("valley_id", "valley", FI.polygon_rings("boundary").alias("ring"))
     bb = ring.select("valley_id", "valley", ring_bbox("ring").alias("b"), F.size("ring").alias("n_vertices"))
     return bb.select("valley_id", "valley", "b.lat_lo", "b.lat_hi", "b.lng_lo", "b.lng_hi", "n_vertices")
