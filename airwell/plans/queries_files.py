@@ -131,3 +131,12 @@ def cohort_cleanup(spark: SparkSession, sf: str) -> DataFrame:
         "row_key": P.stable_id("user_id", "c_mktsegment"),
     })
     return x.drop("gender", "bmi", "c_mktsegment", "c_acctbal")
+
+
+@register("risk_undefined", lambda: cte(["profiles"]) + f"""
+SELECT user_id, {Q.allergic_count()} = 0 AND (asthma_allergy OR hay_fever OR eczema) AS risk_undefined FROM profiles""")
+def risk_undefined(spark: SparkSession, sf: str) -> DataFrame:
+    """Users whose condition advice rests on an undefined mean (asthma,
+    hay fever or eczema without any pollen allergy)."""
+    from airwell.functions.scoring import risk_undefined as flag
+    return T.profiles(spark, sf).select("user_id", flag().alias("risk_undefined"))
