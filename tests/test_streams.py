@@ -93,3 +93,21 @@ def test_rejects(spark):
     assert [r["_key"] for r in good.collect()] == ["1"]
     assert sorted(r["_key"] for r in bad.collect()) == ["2", "3"]
     assert good.first()["ts"] == dt.datetime(2023, 11, 14, 22, 13, 20, 500000)
+
+
+def test_processing_time_trigger(spark):
+    """T5: the same pipeline under a processing-time trigger (1 s here,
+    1 minute in production), stopped once everything has been processed."""
+    v = T.vitals(spark, SF001)
+    base = new_work_path(spark, "t-trigger")
+    MS.publish_in_time_order(spark, v, MS.vitals_messages, "ts", 2, f"{base}/topic")
+    ev = SP.parse_vitals(MS.file_stream(spark, f"{base}/topic", max_files_per_trigger=1))
+    q = SP.run_to_parquet(SP.windowed_vitals_stream(ev), f"{base}/sink", f"{base}/ckpt",
+                          trigger={"processingTime": "1 second"})
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = spark.read.parquet(f"{base}/sink")
+    assert got.count() > 0
+    assert got.groupBy("user_id", "window_start").count().where("count > 1").count() == 0
