@@ -72,7 +72,7 @@ def _ship(spark: SparkSession) -> None:
     context._airwell_shipped = True
 
 
-def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
     """``df.mapInArrow`` with this package at hand in the workers."""
     _ship(df.sparkSession)
     return df.mapInArrow(fn, schema)

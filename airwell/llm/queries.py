@@ -10,7 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airwell.llm import minhash, quality
+from pyspark.sql import functions as F
+
+from airwell.llm import langid, minhash, pii, quality
 from airwell.llm._common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,12 +23,30 @@ def _query(fn):
     return fn
 
 
+@_query
+def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document as span lists and a digest of the base kinds."""
+    t = pii.spans(read_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return t.select(
+        "doc_id", *[count(kind) for kind in pii.BASE],
+        F.sha2(pii.span_list("spans", pii.BASE), 256).alias("base_sha256"), pii.span_list("spans").alias("spans"))
+
+
 @_query
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of documents at Jaccard 0.85."""
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), threshold=0.85)
 
 
+@_query
+def op6_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; the model is fitted on the rows outside the held-out part."""
+    docs = read_table(spark, sf_dir, "documents")
+    out = langid.predict(docs, langid.fit(docs))
+    return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 @_query
 def op9_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, divergences and verdict per document."""
