@@ -12,9 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from airwell.llm import langid, minhash, pii, quality
+from airwell.llm import (bpe, embed_dedup, html_text, langid, minhash, packing, pii, quality, sharding,
+                         token_orc)
 from airwell.llm._common import read_table
 
+# production parameters: the public tokenizer files, read on the workers
+BYTE_BPE = "byte_bpe_50k.json"
+WORD_BPE = "word_bpe_49k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -23,6 +28,30 @@ def _query(fn):
     return fn
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the file of a public tokenizer lies; the same on every machine that has the package."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@_query
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors with equal labels at cosine 0.98."""
+    return embed_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+@_query
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
+@_query
+def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as token ids in ORC files, read back and digested."""
+    return token_orc.digests(token_orc.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE)))
+
+
 @_query
 def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document as span lists and a digest of the base kinds."""
@@ -47,6 +76,18 @@ def op6_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+@_query
+def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded by the automaton, as digests."""
+    return bpe.digests(read_table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
+
+
+@_query
+def op8_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot and shard of every document."""
+    return sharding.shard(read_table(spark, sf_dir, "documents"), "doc_id")
+
+
 @_query
 def op9_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, divergences and verdict per document."""
@@ -55,6 +96,12 @@ def op9_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
         "char_jsd", "word_jsd")
 
 
+@_query
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces, packed into sequences of at most 2048 tokens."""
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -8,9 +8,11 @@ return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from airwell.llm import minhash, quality
+from airwell.llm import langid, minhash, packing, pii, quality
 from airwell.llm._common import materialize, read_table
+from airwell.llm.queries import WORD_BPE, tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,14 +20,32 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filter_documents(docs)
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language cannot be determined go."""
+    return langid.filter_documents(docs)
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (Jaccard 0.8) stays."""
     return minhash.filter_documents(docs, threshold=0.8)
 
 
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is masked in the texts; ``n_chars`` follows the masked text."""
+    return pii.redact_documents(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents with their places in sequences of 2048 tokens."""
+    return packing.pack(docs, tokenizer_path(WORD_BPE))
+
+
 STAGES = [
     ("quality", quality_stage),
+    ("language", language_stage),
     ("dedup", dedup_stage),
+    ("pii", pii_stage),
+    ("packing", packing_stage),
 ]
 
 # language ID and PII have no SQL form; the stages are tested against brute force
