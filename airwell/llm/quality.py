@@ -16,7 +16,7 @@ rule passes; repeated rows are judged alike; other columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -128,17 +128,26 @@ def references(feat: DataFrame) -> DataFrame:
         F.count("*").alias("n_ref"))
 
 
-def _jsd(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance (square root of the base-2 divergence) of two count arrays."""
-    def part(a, m):
-        return F.when(a > 0, a * F.log2(a / m)).otherwise(F.lit(0.0))
+def _plogp(a: Column) -> Column:
+    return F.when(a > 0, a * F.log2(a)).otherwise(F.lit(0.0))
 
-    def unit(x):
-        total = F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-        return F.transform(x, lambda v: v / F.greatest(total, F.lit(1e-12)))
 
-    terms = F.zip_with(unit(p), unit(q), lambda a, b: (part(a, (a + b) / 2) + part(b, (a + b) / 2)) / 2)
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, v: s + v), F.lit(0.0)))
+def _unit(c: str, total: str) -> Column:
+    return F.transform(F.col(c), lambda v: v / F.greatest(F.col(total), F.lit(1e-12)))
+
+
+def _total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+
+
+def _jsd(p: str, own: str, q: list[float]) -> Column:
+    """Jensen-Shannon distance (square root of the base-2 divergence) of the unit
+    array ``p`` and a reference: entropy of the mean less the mean entropy;
+    column ``own`` is the sum of p log p."""
+    ref = F.array(*[F.lit(float(x)) for x in q])
+    ref_own = sum(x * math.log2(x) for x in q if x > 0)
+    mean = _total(F.zip_with(F.col(p), ref, lambda a, b: _plogp((a + b) / 2)))
+    return F.sqrt(F.greatest((F.col(own) + F.lit(ref_own)) / 2 - mean, F.lit(0.0)))
 
 
 def reference_vectors(feat: DataFrame) -> list[tuple[list[float], list[float]]]:
@@ -157,24 +166,26 @@ def judge(feat: DataFrame, refs: list | None = None, max_char_jsd: float = MAX_C
     """Verdict per feature row: base_failed, char_jsd, word_jsd (distance to the
     nearest reference, null when the guard holds or no reference exists), kept."""
     refs = reference_vectors(feat) if refs is None else refs
+    unit = lambda xs: [x / max(sum(xs), 1e-12) for x in xs]
     doubles = lambda c: F.transform(F.col(c), lambda v: v.cast("double"))
-    fixed = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
     t = feat.withColumn("__p", doubles("chars")).withColumn("__c", doubles("common"))
-    rest = F.greatest(F.col("n_words") - F.aggregate("__c", F.lit(0.0), lambda s, v: s + v), F.lit(0.0))
-    t = t.withColumn("__c", F.concat("__c", F.array(rest)))
+    t = t.withColumn("__c", F.concat("__c", F.array(F.greatest(F.col("n_words") - _total(F.col("__c")), F.lit(0.0)))))
+    t = t.withColumn("__pt", _total(F.col("__p"))).withColumn("__ct", _total(F.col("__c")))
+    t = t.withColumn("__p", _unit("__p", "__pt")).withColumn("__c", _unit("__c", "__ct"))
+    t = t.withColumn("__po", _total(F.transform("__p", _plogp))).withColumn("__co", _total(F.transform("__c", _plogp)))
 
-    def nearest(c: str, vectors: list) -> Column:
+    def nearest(p: str, own: str, vectors: list) -> Column:
         if not vectors:
             return F.lit(None).cast("double")
-        return F.array_min(F.array(*[_jsd(F.col(c), fixed(v)) for v in vectors]))
+        return F.array_min(F.array(*[_jsd(p, own, v) for v in vectors]))
 
-    t = t.withColumn("char_jsd", F.when(F.col("n_chars") >= guard_chars, nearest("__p", [c for c, _ in refs])))
-    t = t.withColumn("word_jsd", F.when(F.col("n_words") >= guard_words, nearest("__c", [w for _, w in refs])))
+    t = t.withColumn("char_jsd", F.when(F.col("n_chars") >= guard_chars, nearest("__p", "__po", [unit(c) for c, _ in refs])))
+    t = t.withColumn("word_jsd", F.when(F.col("n_words") >= guard_words, nearest("__c", "__co", [unit(w) for _, w in refs])))
     t = t.withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
                      | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     char_jsd, word_jsd = F.coalesce("char_jsd", F.lit(0.0)), F.coalesce("word_jsd", F.lit(0.0))
     far = (char_jsd > max_char_jsd) | ((char_jsd > both_char_jsd) & (word_jsd > both_word_jsd))
-    return t.withColumn("kept", ~F.col("base_failed") & ~far).drop("__p", "__c")
+    return t.withColumn("kept", ~F.col("base_failed") & ~far).drop("__p", "__c", "__pt", "__ct", "__po", "__co")
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str | None = "lang", **limits) -> DataFrame:
