@@ -72,7 +72,7 @@ def _letters() -> np.ndarray:
 
 
 def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(cell, start) of every n-gram of the lower-cased text; start is its first code point."""
+    """(cell, place) of every n-gram of the lower-cased text; place is the code point of its middle or last letter."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
     c = np.where(_letters()[c], c, 0)
     c = np.concatenate([[0], c, [0, 0]])
@@ -87,7 +87,7 @@ def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
         v = (v ^ (v >> 15)) * 0x2C1B3C6D & 0xFFFFFFFF
         v = (v ^ (v >> 12)) * 0x297A2D39 & 0xFFFFFFFF
         cells.append((v ^ (v >> 15)) % DIMENSIONS)
-        starts.append(np.maximum(at - 1, 0) if n != 1 else at)
+        starts.append(at - (b[at] == 0))
     return np.concatenate(cells), np.concatenate(starts)
 
 
