@@ -92,6 +92,9 @@ LABELLED = [
     [('<article><h1>Snow</h1>', 1), ('<p>It snowed.</p>', 1), ('<p><a href="/4">The whole report on the snow in the north</a></p>', 1),
      ('<p>It snowed again.</p></article>', 1)],
     [('<p>A single paragraph may be a whole page, when its writer had nothing else to say and no wish to sell anything.</p>', 1)],
+    [('<p>the writer of this page knew no full stops and no capital letters but went on from word to word and from line to line '
+      'as one does on a long walk along the sea when the wind is loud and the next house is far away</p>', 1)],
+    [('plain words without any tags around them were the whole of this page for as long as the server could be reached', 1)],
     [('<div><a href="/5">All pages</a></div>', 0), ('<article><p>Wind</p></article>', 1)],
     [('<article><p>Sun</p></article>', 1), ('<div>Page 5</div>', 0)],
 ]

@@ -49,7 +49,7 @@ def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as token ids in ORC files, read back and digested."""
-    return token_orc.digests(token_orc.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE)))
+    return token_orc.digests(spark, token_orc.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE)))
 
 
 @_query
@@ -93,7 +93,7 @@ def op9_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, divergences and verdict per document."""
     return quality.score(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "char_jsd", "word_jsd")
+        F.round("char_jsd", 6).alias("char_jsd"), F.round("word_jsd", 6).alias("word_jsd"))
 
 
 @_query
