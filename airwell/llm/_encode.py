@@ -21,18 +21,28 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-TABLE_PIECES = 600_000      # a worker's table of encoded pieces is emptied beyond this
+TABLE_PIECES = 1_200_000    # a worker's table of encoded pieces is emptied beyond this
 JOINED = 96                 # pieces per call into the library
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 12 << 20      # texts are cut and encoded in groups of about this size
 
 _SPACE_THEN_OTHER = re.compile(r" (?=\S)")
 _SPACE_BEFORE_SPACE = re.compile(r" (?:\s|\Z)")
-_SEPARATORS = re.compile("[\x1c-\x1f]")
 _WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_ODD_WHITE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
+def byte_symbols() -> list[str]:
+    """The printable symbol of each byte in byte-level vocabularies: printable
+    Latin-1 stands for itself, the rest for code points from 256 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
 def encoder(path: str) -> "Encoder":
     """The worker's encoder for a tokenizer file, made once."""
     if path not in _ENCODERS:
@@ -41,24 +51,21 @@ def encoder(path: str) -> "Encoder":
 
 
 def _space_pieces(text: str) -> list[str]:
-    if _SPACE_BEFORE_SPACE.search(text) is None:
-        head, *rest = text.split(" ")
-    else:
-        head, *rest = _SPACE_THEN_OTHER.split(text)
+    """Pieces of a text whose spaces are not all single: cut before every space that a non-space follows."""
+    head, *rest = _SPACE_THEN_OTHER.split(text)
     rest = [" " + r for r in rest]
     return [head, *rest] if head else rest
 
 
-def _white_pieces(text: str) -> list[str]:
+def _lowered(text: str) -> str:
+    """The text in lower case where the library's normaliser would give the same."""
     if text.isascii():
-        text = text.lower()
-    elif "Σ" not in text and "İ" not in text and unicodedata.is_normalized("NFC", text):
+        return text.lower()
+    if "\u03a3" not in text and "\u0130" not in text and unicodedata.is_normalized("NFC", text):
         low = text.lower()
         if unicodedata.is_normalized("NFC", low):
-            text = low
-    if _SEPARATORS.search(text):
-        return [w for w in _WHITE.split(text) if w]
-    return text.split()
+            return low
+    return text
 
 
 class Encoder:
@@ -70,73 +77,177 @@ class Encoder:
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
-        pre, kind = told.get("pre_tokenizer") or {}, None
-        parts = pre.get("pretokenizers", [pre])
-        split = parts[0] if parts else {}
+        pre, self.kind = told.get("pre_tokenizer") or {}, None
+        split = pre.get("pretokenizers", [pre])[0]
         if told.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") \
                 and not pre.get("add_prefix_space"):
-            kind = "space"
+            self.kind = "space"
         elif split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") \
                 and "[^\\s\\p{L}\\p{N}]" in split.get("pattern", {}).get("Regex", ""):
-            kind = "white"
-        self.pieces = {"space": _space_pieces, "white": _white_pieces}.get(kind, lambda t: [t] if t else [])
-        self.stems = kind == "white"
+            self.kind = "white"
+        self.model = self.library.model
+        self.symbols = {b: s for b, s in enumerate(byte_symbols())}
         special = [t for t in told.get("added_tokens", [])
                    if t["special"] and not (t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"])]
-        self.separator = (special[0]["content"], special[0]["id"]) if special and kind else None
-        self.table: dict[str, bytes] = {}
-
-    def _one(self, piece: str) -> bytes:
-        return np.asarray(self.library.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, missing: set[str]) -> None:
-        table = self.table
-        if self.stems:  # a letter or digit followed by one final stop or comma: two pieces
+        self.separator = (special[0]["content"], special[0]["id"]) if special and self.kind else None
+        self._empty()
+
+    # -- the table of encoded pieces: a number per piece, ids in one array --
+
+    def _empty(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ends = np.zeros(1 << 16, dtype=np.int64)       # ends[n + 1]: where the ids of piece n end
+        self.ids = np.empty(1 << 18, dtype="<u4")
+
+    def _add(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        """New pieces with their ids one after the other; ``ends`` says where each one's end."""
+        n, k = len(self.number), len(pieces)
+        while n + k + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        low = self.ends[n]
+        while low + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[low:low + len(ids)] = ids
+        self.ends[n + 1:n + k + 1] = low + ends
+        self.number.update(zip(pieces, range(n, n + k)))
+
+    def _add_one(self, piece: str, ids: np.ndarray) -> None:
+        self._add([piece], ids, np.array([len(ids)]))
+
+    def _ids(self, piece: str) -> np.ndarray:
+        n = self.number[piece]
+        return self.ids[self.ends[n]:self.ends[n + 1]]
+
+    def _one(self, piece: str) -> np.ndarray:
+        return np.asarray(self.library.encode(piece, add_special_tokens=False).ids, dtype="<u4")
+
+    def _one_word(self, piece: str) -> bool:
+        """Whether a piece is one word of the pre-splitting pattern, of letters only, that no normaliser changes."""
+        if self.kind == "space":
+            return piece[0] == " " and piece[1:].isalpha()
+        return piece.isalpha() and piece == piece.lower() and unicodedata.is_normalized("NFC", piece)
+
+    def _learn(self, missing: list[str]) -> None:
+        """Encode new pieces and add them to the table."""
+        both = []
+        if self.kind == "white":    # a letter or digit and one final stop or comma are two pieces of the pattern
             both = [p for p in missing if len(p) > 1 and p[-1] in ".," and p[-2].isalnum()]
             need = {p[:-1] for p in both} | {p[-1] for p in both}
-            missing = (missing.difference(both) | need).difference(table)
-        else:
-            both = []
+            missing = list((set(missing).difference(both) | need).difference(self.number))
+        # single words go to the library's model at once, the rest through its whole chain
+        words = [p for p in missing if self._one_word(p)]
+        if words:
+            tokenize, ends, ids = self.model.tokenize, [], []
+            for w in words:
+                w = w if w.isascii() else w.encode().decode("latin-1")
+                ids += [t.id for t in tokenize(w.translate(self.symbols) if not w.isascii() or w[0] == " " else w)]
+                ends.append(len(ids))
+            self._add(words, np.array(ids, dtype="<u4"), np.array(ends))
+            missing = list(set(missing).difference(words))
         plain = [p for p in missing if self.separator and "<|" not in p]
-        for p in missing.difference(plain):
-            table[p] = self._one(p)
-        if plain:
-            mark, mark_id = self.separator
-            groups = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
+        if len(plain) < len(missing):
+            for p in set(missing).difference(plain):
+                self._add_one(p, self._one(p))
+        mark, mark_id = self.separator or ("", -1)
+        for block in range(0, len(plain), JOINED * 64):
+            part = plain[block:block + JOINED * 64]
+            groups = [part[i:i + JOINED] for i in range(0, len(part), JOINED)]
             found = self.library.encode_batch_fast([mark.join(g) for g in groups], add_special_tokens=False)
             for g, e in zip(groups, found):
                 ids = np.asarray(e.ids, dtype="<u4")
                 cuts = np.flatnonzero(ids == mark_id)
-                if len(cuts) != len(g) - 1:
+                if len(cuts) == len(g) - 1:
+                    ends = np.append(cuts, len(ids)) - np.arange(len(g))
+                    self._add(g, ids[ids != mark_id], ends)
+                else:
                     for p in g:
-                        table[p] = self._one(p)
-                    continue
-                data, low = ids.tobytes(), 0
-                for p, c in zip(g, [*(4 * cuts).tolist(), len(data)]):
-                    table[p] = data[low:c]
-                    low = c + 4
-        for p in both:
-            table[p] = table[p[:-1]] + table[p[-1]]
+                        self._add_one(p, self._one(p))
+        if both:
+            parts = [self._ids(x) for p in both for x in (p[:-1], p[-1])]
+            self._add(both, np.concatenate(parts), np.cumsum([len(x) for x in parts])[1::2])
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        missing = list({p for p in pieces if p not in self.number})
+        if missing:
+            self._learn(missing)
+        get = self.number.__getitem__
+        return np.fromiter(map(get, pieces), dtype=np.int64, count=len(pieces))
+
+    # -- texts --------------------------------------------------------------
 
     def encode(self, texts):
-        """The ids of each text (None: empty) as little-endian 32-bit bytes."""
+        """The ids of each text (None: empty), as arrays of little-endian 32-bit numbers."""
         group, size = [], 0
         for t in texts:
-            group.append(self.pieces(t) if t else [])
+            group.append(t or "")
             size += len(t or "")
             if size >= GROUP_CHARS:
                 yield from self._group(group)
                 group, size = [], 0
         yield from self._group(group)
 
-    def _group(self, group: list[list[str]]):
-        if len(self.table) > TABLE_PIECES:
-            self.table.clear()
-        missing: set[str] = set()
-        for words in group:
-            missing |= set(words).difference(self.table)
-        if missing:
-            self._learn(missing)
-        get = self.table.__getitem__
-        for words in group:
-            yield b"".join(map(get, words))
+    def _group(self, texts: list[str]):
+        if len(self.number) > TABLE_PIECES:
+            self._empty()
+        if not texts:
+            return
+        if self.kind is None:
+            for t in texts:
+                yield self._one(t) if t else np.empty(0, dtype="<u4")
+            return
+        if self.kind == "white":
+            low = [_lowered(t) for t in texts]
+            tidy = [" ".join(w for w in _WHITE.split(t) if w) if _ODD_WHITE.search(t) else t for t in low]
+            words = pc.ascii_split_whitespace(pa.array(tidy, pa.large_string()))
+            yield from self._gather(words, "", [""] * len(texts), {})
+            return
+        heads, tails, odd = [], [], {}
+        for i, t in enumerate(texts):
+            if _SPACE_BEFORE_SPACE.search(t):
+                odd[i] = _space_pieces(t)
+                t = ""
+            head, space, tail = t.partition(" ")
+            heads.append(head)
+            tails.append(tail if space else None)
+        words = pc.split_pattern(pa.array(tails, pa.large_string()), " ")
+        yield from self._gather(words, " ", heads, odd)
+
+    def _gather(self, words, lead: str, heads: list[str], odd: dict[int, list[str]]):
+        """Ids of texts given as a list array of words (each with ``lead`` before
+        it), with an optional first piece; texts in ``odd`` are lists of pieces."""
+        flat = words.flatten().dictionary_encode()
+        vocabulary = [lead + w if w else "" for w in flat.dictionary.to_pylist()]
+        index = flat.indices.to_numpy(zero_copy_only=False)
+        counts = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        number = np.full(len(vocabulary), -1, dtype=np.int64)
+        real = [i for i, w in enumerate(vocabulary) if w]
+        number[real] = self._numbers([vocabulary[i] for i in real])
+        first = self._numbers([h for h in heads if h])
+        extra = {i: self._numbers(p) for i, p in odd.items()}
+        starts, ends = self.ends[:-1], self.ends[1:]        # after all learning: the table does not move any more
+
+        number = number[index]
+        kept = number >= 0
+        owner = np.repeat(np.arange(len(counts)), counts)[kept]
+        number = number[kept]
+        at = np.cumsum(np.bincount(owner, minlength=len(counts)))
+        first = iter(first.tolist())
+        length = ends[number] - starts[number]
+        stop = np.cumsum(length)
+        low = 0
+        # every word's ids, one after the other
+        total = int(stop[-1]) if len(stop) else 0
+        source = np.repeat(starts[number] - (stop - length), length)
+        source += np.arange(total)
+        out = self.ids[source]
+        edges = np.concatenate([[0], stop])
+        for i, high in enumerate(at):
+            body = out[edges[low]:edges[high]]
+            low = high
+            if i in extra:
+                yield np.concatenate([self.ids[starts[n]:ends[n]] for n in extra[i]]) if len(extra[i]) else body
+            elif heads[i]:
+                n = next(first)
+                yield np.concatenate([self.ids[starts[n]:ends[n]], body])
+            else:
+                yield body

@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airwell.llm._common import map_arrow
+from airwell.llm._encode import byte_symbols
 
 WORD_TABLE = 400_000        # a worker's table of encoded words is emptied beyond this
 ARC_TABLE = 2_000_000       # and so is its transition table
@@ -55,14 +56,6 @@ def automaton(path: str) -> "Automaton":
     return _AUTOMATA[path]
 
 
-def byte_symbols() -> list[str]:
-    """The printable symbol of each byte in byte-level vocabularies: printable
-    Latin-1 stands for itself, the rest for code points from 256 on."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = iter(range(256, 512))
-    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
-
-
 class Automaton:
     """The automaton of a word-end BPE vocabulary and its pre-splitting."""
 

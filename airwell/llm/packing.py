@@ -41,8 +41,8 @@ def _cut(path: str, capacity: int, with_ids: bool):
             doc, piece, start, length, crc, ids = [], [], [], [], [], []
             texts = batch.column(1).to_pylist()
             end = np.uint32(END_ID).astype("<u4").tobytes()
-            for i, data in enumerate(encoder(path).encode(texts)):
-                data += end
+            for i, found in enumerate(encoder(path).encode(texts)):
+                data = found.tobytes() + end
                 for j, low in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[low:low + 4 * capacity]
                     doc.append(i)
@@ -133,6 +133,7 @@ def _place(table: np.ndarray):
 
 def assign(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``rows`` (doc_id, piece, start, length, ...; 1 <= length <= capacity) with sequence_id and offset."""
+    rows = materialize(rows, "pack-pieces")     # the range sort reads its input twice
     sorted_rows = global_position(rows, [F.col("length").desc(), "doc_id", "piece", "start"], "pack-sorted", "pos")
     lengths = {r["length"]: r["n"] for r in sorted_rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = plan(lengths, capacity)
@@ -147,7 +148,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str
 
 def sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The packed sequences: (sequence_id, n_tokens, doc_ids, ids); a group holds at most ``capacity`` ids."""
-    rows = materialize(pieces(docs, tokenizer, capacity, doc_id, text, with_ids=True), "pack-pieces")
+    rows = pieces(docs, tokenizer, capacity, doc_id, text, with_ids=True)
     placed = assign(rows, capacity).groupBy("sequence_id").agg(
         F.sum("length").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids"))).alias("p"))
     return placed.select("sequence_id", "n_tokens", F.col("p.doc_id").alias("doc_ids"), F.flatten("p.ids").alias("ids"))
