@@ -39,8 +39,9 @@ DEFAULT_WEIGHTS = Weights()
 
 
 def clamp01_guarded(x: Column) -> Column:
-    """min(max(x, 0), 1) that keeps NULL (Spark's least/greatest skip NULLs)."""
-    return F.when(x.isNotNull(), F.least(F.greatest(x, _lit(0.0)), _lit(1.0)))
+    """min(max(x, 0), 1) that keeps NULL (Spark's least/greatest skip NULLs and
+    rank NaN above all numbers; NaN counts as missing)."""
+    return F.when(x.isNotNull() & ~F.isnan(x), F.least(F.greatest(x, _lit(0.0)), _lit(1.0)))
 
 
 def nan_to_null(x) -> Column:
@@ -107,9 +108,9 @@ def ceri(pei_col=None, aqii_col=None, opii_col=None, pmhi_col=None, w: Weights =
 
 # R7 ---------------------------------------------------------------------------
 def _flag_factor(flag: str, factor: float) -> Column:
-    """factor when flag is true, 1.0 when false, NULL when the profile is
-    absent.  x * 1.0 == x exactly, so this equals the if/else of the rule."""
-    return F.when(F.col(flag), _lit(factor)).when(~F.col(flag), _lit(1.0))
+    """factor when flag is true, 1.0 when false or not set.  x * 1.0 == x
+    exactly, so this equals the if/else of the rule."""
+    return F.when(F.col(flag), _lit(factor)).otherwise(_lit(1.0))
 
 
 def risk_score(w: Weights = DEFAULT_WEIGHTS) -> Column:
@@ -122,14 +123,17 @@ def risk_score(w: Weights = DEFAULT_WEIGHTS) -> Column:
     for flag, factor in w.conditions:
         x = x * _flag_factor(flag, factor)
     x = x / _lit(K.RISK_DIVISOR)
-    return F.when(x.isNotNull(), F.least(x, _lit(1.0)))
+    # without a profile there is no personal score
+    flags = [F.col(f"{p}_allergy") for p in K.POLLENS] + [F.col(f) for f, _ in w.conditions]
+    known = F.coalesce(*flags).isNotNull()
+    return F.when(known & x.isNotNull() & ~F.isnan(x), F.least(x, _lit(1.0)))
 
 
 # R8 ---------------------------------------------------------------------------
 def advice_general(score) -> Column:
     s = _c(score)
     lo, hi = K.GENERAL_CUTS
-    return (F.when(s.isNull(), F.lit(None).cast("string"))
+    return (F.when(s.isNull() | F.isnan(s), F.lit(None).cast("string"))
             .when(s < lo, F.lit(K.GENERAL_MILD))
             .when(s < hi, F.lit(K.GENERAL_MODERATE))
             .otherwise(F.lit(K.GENERAL_SEVERE)))

@@ -28,7 +28,9 @@ from pyspark.sql.window import Window
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per ``keys``: the row with the greatest ``order`` tuple (A4).
-    A hash aggregate with partial aggregation; no sort of a key's rows."""
+    A partial aggregation on the map side ships one row per key and task.  The
+    row is a struct, so the aggregate is sort-based; each task sorts its own
+    rows by key first."""
     other = [c for c in df.columns if c not in keys]
     best = F.max_by(F.struct(*[F.col(c) for c in other]), F.struct(*[F.col(c) for c in order]))
     return df.groupBy(*keys).agg(best.alias("_r")).select(*keys, "_r.*")

@@ -41,14 +41,16 @@ def interpolate_fill(df: DataFrame, key: str, order: str, col: str, out: str | N
     out = out or col
     w = Window.partitionBy(key).orderBy(order)
     before = w.rowsBetween(Window.unboundedPreceding, 0)
-    after = w.rowsBetween(0, Window.unboundedFollowing)
+    # the next value is the last one of the reversed order: a growing frame,
+    # so both directions take one pass over the series
+    back = Window.partitionBy(key).orderBy(F.col("_i").desc()).rowsBetween(Window.unboundedPreceding, 0)
     i = F.row_number().over(w)
     pos = F.when(F.col(col).isNotNull(), F.col("_i"))
     x = (df.withColumn("_i", i)
            .withColumn("_p", F.last(col, True).over(before))
            .withColumn("_ip", F.last(pos, True).over(before))
-           .withColumn("_n", F.first(col, True).over(after))
-           .withColumn("_in", F.first(pos, True).over(after)))
+           .withColumn("_n", F.last(col, True).over(back))
+           .withColumn("_in", F.last(pos, True).over(back)))
     inner = F.col("_p") + (F.col("_n") - F.col("_p")) * (F.col("_i") - F.col("_ip")).cast("double") \
         / (F.col("_in") - F.col("_ip")).cast("double")
     val = (F.when(F.col(col).isNotNull(), F.col(col))

@@ -8,10 +8,10 @@ from pyspark.sql.window import Window
 
 
 def class_share(df: DataFrame, col: str) -> DataFrame:
-    """A5: (value, n, share).  The share divides by a total over the grouped
-    result, which has one row per class."""
+    """A5: (value, n, share).  The total is a scalar subquery, so the classes
+    stay distributed however many there are."""
     g = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    return g.withColumn("share", F.col("n") / df.agg(F.count(F.lit(1))).scalar())
 
 
 def prevalence(df: DataFrame, flags: list[str]) -> DataFrame:
@@ -28,19 +28,17 @@ def impute_mean(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
 
 def regression_metrics(df: DataFrame, y: str, yhat: str, by: list[str] | None = None) -> DataFrame:
     """N, RMSE, MAE and R^2 (1 - SSE/SST) per group, in one aggregation
-    (SST from sums of y and y^2)."""
+    (SST = population variance times n, which does not cancel at large n)."""
     e = F.col(y) - F.col(yhat)
     aggs = [F.count(F.lit(1)).alias("n"),
             F.sqrt(F.avg(e * e)).alias("rmse"),
             F.avg(F.abs(e)).alias("mae"),
             F.sum(e * e).alias("_sse"),
-            F.sum(F.col(y)).alias("_sy"),
-            F.sum(F.col(y) * F.col(y)).alias("_syy")]
+            (F.var_pop(F.col(y)) * F.count(F.lit(1))).alias("_sst")]
     g = df.where(F.col(y).isNotNull() & F.col(yhat).isNotNull())
     g = g.groupBy(*(by or [])).agg(*aggs) if by else g.agg(*aggs)
-    sst = F.col("_syy") - F.col("_sy") * F.col("_sy") / F.col("n")
-    return (g.withColumn("r2", F.when(sst > 0, F.lit(1.0) - F.col("_sse") / sst))
-             .drop("_sse", "_sy", "_syy"))
+    sst = F.col("_sst")
+    return g.withColumn("r2", F.when(sst > 0, F.lit(1.0) - F.col("_sse") / sst)).drop("_sse", "_sst")
 
 
 def class_metrics(df: DataFrame, y: str, yhat: str, by: list[str] | None = None) -> DataFrame:

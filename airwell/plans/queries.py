@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from airwell import constants as K
 from airwell.functions import classify as C
@@ -347,14 +348,19 @@ def _air_feed(spark, sf):
 
 
 def _weather_feed(spark, sf):
-    h = FS.hourly_readings(spark, sf)
-    return h.where(F.col("precipitation") > 0.2).select(
-        "municipality_id", "ts", (F.col("temperature_2m") + F.lit(0.5)).alias("temperature_2m"), "precipitation")
+    """A feed of its own source (orders), so some keys have no partner in the air-quality feed."""
+    o = T.table(spark, sf, "orders")
+    return (o.groupBy((F.col("o_custkey") % 100 + 1).alias("municipality_id"),
+                      F.timestamp_seconds(F.lit(T.READINGS_EPOCH) + (F.col("o_orderkey") % 864) * 3600).alias("ts"))
+             .agg((F.min("o_totalprice") / F.lit(1e4)).alias("temperature_2m"),
+                  F.count(F.lit(1)).cast("double").alias("precipitation")))
 
 
 FEEDS_SQL = ["""air AS (SELECT municipality_id, ts, european_aqi, pm10, pm2_5, ozone, temperature_2m FROM readings_hourly)""",
-             """wx AS (SELECT municipality_id, ts, temperature_2m + 0.5e0 AS temperature_2m, precipitation
-                       FROM readings_hourly WHERE precipitation > 0.2)"""]
+             """wx AS (SELECT o_custkey % 100 + 1 AS municipality_id,
+                              make_timestamp((1703462400 + (o_orderkey % 864) * 3600) * 1000000) AS ts,
+                              min(o_totalprice) / 1e4 AS temperature_2m, CAST(count(*) AS DOUBLE) AS precipitation
+                       FROM orders GROUP BY 1, 2)"""]
 
 
 @register("feed_merge", lambda: cte(["readings_hourly"], FEEDS_SQL) + """
@@ -692,22 +698,14 @@ def risk_table(spark: SparkSession, sf: str) -> DataFrame:
     return C.risk_table(latest_readings(spark, sf)).select("municipality_id", "pollen", "concentration", "level", "colour")
 
 
-RECENT_SQL = """recent AS (
-  SELECT * FROM readings WHERE ts >= (SELECT max(ts) FROM readings) - INTERVAL 1 DAY
-  QUALIFY row_number() OVER (PARTITION BY municipality_id ORDER BY ts DESC, reading_id DESC, pm10 DESC) = 1)"""
-
-
-@register("map_join", lambda: cte(["sites", "readings"], [RECENT_SQL, _risk_sql("recent")]) + f"""
+@register("map_join", lambda: cte(["sites", "readings"], [LATEST_SQL, _risk_sql("latest")]) + f"""
 SELECT s.municipality_id, l.pollen, coalesce({Q.class_colour('r.level')}, '#000000') AS colour
 FROM sites s CROSS JOIN (SELECT unnest(['Alder','Birch','Grass','Mugwort','Olive','Ragweed']) AS pollen) l
 LEFT JOIN risk r ON r.municipality_id = s.municipality_id AND r.pollen = l.pollen""")
 def map_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Every site x pollen layer coloured from the last day's latest
-    readings; sites without a reading in that day are black."""
-    r = T.readings(spark, sf)
-    newest = r.agg(F.max("ts")).first()[0]
-    recent = r.where(F.col("ts") >= F.lit(newest) - F.expr("INTERVAL 1 DAY"))
-    risk = C.risk_table(latest_per_key(recent, ["municipality_id"], ["ts", "reading_id", "pm10"]))
+    """Every site x pollen layer coloured from the latest state, whatever
+    its age; sites that never had a reading are black."""
+    risk = C.risk_table(latest_readings(spark, sf))
     return J.map_colours(T.sites(spark, sf), risk).select("municipality_id", "pollen", "colour")
 
 
@@ -754,7 +752,7 @@ REG_SELECT = """count(*) AS n, {rmse} AS rmse, {mae} AS mae,
 
 
 def _reg_sql_select() -> str:
-    sst = "(sum(y * y) - sum(y) * sum(y) / count(*))"
+    sst = "(var_pop(y) * count(*))"
     r2 = f"CASE WHEN {sst} > 0 THEN 1.0 - sum((y - yhat) * (y - yhat)) / {sst} END"
     return REG_SELECT.format(rmse=Q.fix6("sqrt(avg((y - yhat) * (y - yhat)))"), mae=Q.fix6("avg(abs(y - yhat))"),
                              r2=Q.fix6(r2))
@@ -768,19 +766,28 @@ def regression_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("valley_id", "n", *[fix6(c).alias(c) for c in ("rmse", "mae", "r2")])
 
 
-@register("metrics_pivot", lambda: cte(["sites", "readings_hourly"], [DAILY_SQL] + [
-    PERSIST_SQL.format(p=p).replace("pers AS", f"pers_{p} AS") for p in K.POLLENS]) + "SELECT v.valley_id, " + ", ".join(
-    f"(SELECT {Q.fix6('sqrt(avg((y - yhat) * (y - yhat)))')} FROM pers_{p} x WHERE x.valley_id = v.valley_id "
-    f"AND y IS NOT NULL AND yhat IS NOT NULL) AS {p}" for p in K.POLLENS) +
-    " FROM (SELECT DISTINCT valley_id FROM pers_alder_pollen WHERE y IS NOT NULL AND yhat IS NOT NULL) v")
+PERSIST_LONG_SQL = ["pers AS (" + " UNION ALL ".join(
+    f"SELECT s.valley_id, '{p}' AS pollen, d.{p} AS y, lag(d.{p}, 1) OVER (PARTITION BY d.municipality_id ORDER BY d.date) AS yhat "
+    "FROM daily d JOIN sites s USING (municipality_id)" for p in K.POLLENS) + ")",
+    f"m AS (SELECT valley_id, pollen, {_reg_sql_select()} FROM pers WHERE y IS NOT NULL AND yhat IS NOT NULL GROUP BY ALL)"]
+
+
+@register("metrics_pivot", lambda: cte(["sites", "readings_hourly"], [DAILY_SQL, *PERSIST_LONG_SQL]) + "SELECT valley_id, " + ", ".join(
+    f"max({m}) FILTER (pollen = '{p}') AS {p}_{m}" for p in K.POLLENS for m in ("rmse", "mae", "r2")) + " FROM m GROUP BY valley_id")
 def metrics_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    """A10: RMSE per valley (rows) x pollen (columns)."""
-    parts = None
-    for p in K.POLLENS:
-        m = M.regression_metrics(_persistence(spark, sf, p), "y", "yhat", ["valley_id"]).withColumn("pollen", F.lit(p))
-        parts = m if parts is None else parts.unionByName(m)
-    wide = M.pivot_metrics(parts, "valley_id", "pollen", K.POLLENS, ["rmse"])
-    return wide.select("valley_id", *[fix6(p).alias(p) for p in K.POLLENS])
+    """A10: RMSE, MAE and R^2 per valley (rows) x pollen (columns), in one
+    pass: the six pollens are stacked to rows, lagged per (site, pollen),
+    reduced once and pivoted."""
+    d = daily_cover(spark, sf).select("municipality_id", "date", F.explode(F.array(
+        *[F.struct(F.lit(p).alias("pollen"), F.col(p).alias("y")) for p in K.POLLENS])).alias("x")).select(
+        "municipality_id", "date", "x.pollen", "x.y")
+    w = Window.partitionBy("municipality_id", "pollen").orderBy("date")
+    d = d.withColumn("yhat", F.lag("y", 1).over(w)) \
+        .join(T.sites(spark, sf).select("municipality_id", "valley_id"), "municipality_id")
+    names = ("rmse", "mae", "r2")
+    wide = M.pivot_metrics(M.regression_metrics(d, "y", "yhat", ["valley_id", "pollen"]), "valley_id", "pollen",
+                           K.POLLENS, list(names))
+    return wide.select("valley_id", *[fix6(f"{p}_{m}").alias(f"{p}_{m}") for p in K.POLLENS for m in names])
 
 
 @register("class_metrics", lambda: cte(["profiles"]) + f"""

@@ -11,7 +11,7 @@ from airwell.operators.windows import VITAL_COLUMNS
 from airwell.plans import flagship as FS
 from airwell.plans import sqlfrag as Q
 from airwell.plans.catalog import register
-from airwell.plans.queries import LATEST_SQL, PROFILE_COLS, READING_COLS, cte
+from airwell.plans.queries import LATEST_SQL, PROFILE_COLS, READING_COLS, _risk_sql, cte
 from airwell.functions.scoring import fix6
 from airwell.session import new_work_path
 from airwell.sources import messages as MS
@@ -28,12 +28,12 @@ def _vitals_stream(spark: SparkSession, sf: str, redeliver: bool) -> DataFrame:
     # at-least-once delivery: every message arrives twice, within the same
     # micro-batch, so only the deduplication (not the watermark) removes it
     encode = (lambda d: MS.vitals_messages(d.unionAll(d))) if redeliver else MS.vitals_messages
-    MS.publish_in_time_order(spark, v, encode, "ts", 4, src)
-    events = SP.parse_vitals(MS.file_stream(spark, src, max_files_per_trigger=1))
+    MS.publish_in_time_order(v, encode, "ts", src)
+    events = SP.parse_vitals(MS.file_stream(spark, src))
     win = SP.windowed_vitals_stream(events, "1 minute", "0 seconds", dedup_events=redeliver)
     SP.run_to_parquet(win, f"{base}/sink", f"{base}/checkpoint")
     out = spark.read.parquet(f"{base}/sink")
-    return out.select("user_id", "window_start", "window_end", "lat", "lng",
+    return out.select(F.col("user_id").cast("bigint").alias("user_id"), "window_start", "window_end", "lat", "lng",
                       *[fix6(c).alias(c) for c in AVG_COLS], "n_events")
 
 
@@ -62,18 +62,60 @@ def latest_reading_stream(spark: SparkSession, sf: str) -> DataFrame:
     batch appends history and merges the latest-state snapshot."""
     base = new_work_path(spark, "readings-stream")
     src = f"{base}/topic"
-    MS.write_message_files(spark, MS.reading_messages(T.readings(spark, sf)), "readings", files=4, path=src)
+    MS.write_message_files(spark, MS.reading_messages(T.readings(spark, sf)), "readings", path=src)
     paths = SP.run_readings_stream(spark, src, base=base, max_files_per_trigger=1)
     return SP.read_snapshot(spark, paths["state"]).select(*READING_COLS)
 
 
+RISK_STREAM_SQL = lambda: cte(["readings"], [LATEST_SQL, _risk_sql("latest")]) + f"""
+SELECT municipality_id, pollen, concentration, level, {Q.class_colour('level')} AS colour FROM risk"""
+
+
+@register("risk_stream", RISK_STREAM_SQL)
+def risk_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The risk table that the readings stream keeps beside the latest state."""
+    base = new_work_path(spark, "readings-stream")
+    MS.write_message_files(spark, MS.reading_messages(T.readings(spark, sf)), "readings", path=f"{base}/topic")
+    paths = SP.run_readings_stream(spark, f"{base}/topic", base=base)
+    return SP.read_snapshot(spark, paths["risk"]).select("municipality_id", "pollen", "concentration", "level", "colour")
+
+
+# rows that must come out as they went in, one of them with a bare NaN, and one cut short
+_MALFORMED = "(municipality_id + reading_id) % 11 = 0"
+_NAN = "(municipality_id + reading_id) % 11 = 1"
+
+
+@register("reading_message_parse", lambda: cte(["readings"]) + f"""
+SELECT reading_id, municipality_id, ts, CASE WHEN {_NAN} THEN NULL ELSE pm10 END AS pm10, european_aqi, temperature_2m
+FROM readings WHERE NOT {_MALFORMED}""")
+def reading_message_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """Reading messages in the topic's field names; by key, some
+    hold a bare NaN (parsed as missing) and some are cut short (rejected)."""
+    r = T.readings(spark, sf)
+    body = MS.reading_messages(r.withColumn("pm10", F.when(F.expr(_NAN), F.lit(float("nan"))).otherwise(F.col("pm10")))
+                               .withColumn("_bad", F.expr(_MALFORMED)).drop("year"))
+    text = F.regexp_replace("value", '"pm10":"NaN"', '"pm10":NaN')
+    cut = F.when(F.get_json_object("value", "$._bad") == "true", F.expr("substring(value, 1, length(value) - 9)")).otherwise(text)
+    good, _ = SP.split_rejects(SP.parse_readings(body.withColumn("value", cut)), "municipality_id", "ts")
+    return good.select("reading_id", "municipality_id", "ts", "pm10", "european_aqi", "temperature_2m")
+
+
+@register("vitals_message_parse", lambda: cte(["vitals"]) + """
+SELECT CAST(user_id AS VARCHAR) AS user_id, ts, heart_rate, lat, lng FROM vitals""")
+def vitals_message_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """Vitals messages as the wearable sends them, with text ids and no event id."""
+    v = T.vitals(spark, sf)
+    msgs = MS.vitals_messages(v.withColumn("event_id", F.lit(None).cast("bigint")))
+    return SP.parse_vitals(msgs).select("user_id", "ts", "heart_rate", "lat", "lng")
+
+
 @register("history_stream", lambda: cte(["readings"]) + f"""
 SELECT {', '.join(READING_COLS)}, CAST(year(ts) AS INTEGER) AS year FROM readings""")
 def history_stream(spark: SparkSession, sf: str) -> DataFrame:
     """K1 via K8: the history written batch by batch holds every reading once."""
     base = new_work_path(spark, "readings-stream")
     src = f"{base}/topic"
-    MS.write_message_files(spark, MS.reading_messages(T.readings(spark, sf)), "readings", files=4, path=src)
+    MS.write_message_files(spark, MS.reading_messages(T.readings(spark, sf)), "readings", path=src)
     paths = SP.run_readings_stream(spark, src, base=base, max_files_per_trigger=1)
     return spark.read.parquet(paths["history"]).select(*READING_COLS, "year")
 
@@ -94,9 +136,10 @@ def profile_stream(spark: SparkSession, sf: str) -> DataFrame:
     p = T.profiles(spark, sf)
     body = F.struct(*[F.col(c).alias(_camel(c)) for c in PROFILE_COLS])
     msgs = p.select(F.col("user_id").cast("string").alias("key"), F.to_json(body).alias("value"))
-    MS.write_message_files(spark, msgs, "profiles", files=2, path=f"{base}/topic")
-    rows = SP.profile_rows(MS.file_stream(spark, f"{base}/topic"), PROFILE_FIELDS)
-    SP.run_to_parquet(rows, f"{base}/table", f"{base}/checkpoint")
+    MS.write_message_files(spark, msgs, "profiles", path=f"{base}/topic")
+    rows = SP.profile_rows(MS.file_stream(spark, f"{base}/topic"), PROFILE_FIELDS, mark_rejects=True)
+    SP.run_rejects(rows, ("user_id",), f"{base}/rejects", f"{base}/checkpoint-rejects")
+    SP.run_to_parquet(SP.split_rejects(rows, "user_id")[0], f"{base}/table", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/table").select(*PROFILE_COLS)
 
 
@@ -105,9 +148,9 @@ REC_STREAM_WHERE = "WHERE window_end <= (SELECT max(ts) FROM vitals)"
 
 def _rec_stream(spark: SparkSession, sf: str) -> dict:
     base = new_work_path(spark, "rec-stream")
-    MS.publish_in_time_order(spark, T.vitals(spark, sf), MS.vitals_messages, "ts", 4, f"{base}/topic")
-    return SP.run_recommendations_stream(spark, f"{base}/topic", T.sites(spark, sf), T.readings(spark, sf),
-                                         T.profiles(spark, sf), base=base, max_files_per_trigger=1)
+    MS.publish_in_time_order(T.vitals(spark, sf), MS.vitals_messages, "ts", f"{base}/topic")
+    return SP.run_recommendations_stream(spark, f"{base}/topic", T.sites(spark, sf), lambda: T.readings(spark, sf),
+                                         lambda: T.profiles(spark, sf), base=base)
 
 
 @register("recommendations_stream", lambda: _stream_rec_sql())
@@ -119,9 +162,9 @@ def recommendations_stream(spark: SparkSession, sf: str) -> DataFrame:
     exploded, one row per recommendation."""
     paths = _rec_stream(spark, sf)
     m = spark.read.schema("key string, value string").json(paths["out"])
-    v = F.from_json("value", "struct<user_id:bigint, window_end:timestamp, recommendations:array<string>>")
+    v = F.from_json("value", "struct<user_id:string, window_end:timestamp, recommendations:array<string>>")
     rows = m.select(F.col("key").cast("bigint").alias("window_key"), v.alias("v"))
-    return rows.select("window_key", "v.user_id", "v.window_end",
+    return rows.select("window_key", F.col("v.user_id").cast("bigint").alias("user_id"), "v.window_end",
                        F.posexplode("v.recommendations").alias("pos", "advice"))
 
 
@@ -148,4 +191,4 @@ def category_latest_stream(spark: SparkSession, sf: str) -> DataFrame:
     ones batch by batch (versioned snapshot merge)."""
     paths = _rec_stream(spark, sf)
     snap = SP.read_snapshot(spark, paths["latest"])
-    return snap.select("user_id", "category", "content", "window_end")
+    return snap.select(F.col("user_id").cast("bigint").alias("user_id"), "category", "content", "window_end")

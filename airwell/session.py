@@ -8,7 +8,6 @@ one ourselves.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -51,6 +50,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not d:
         d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="airwell-shared-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -62,8 +63,8 @@ def new_work_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused folder below the shared folder."""
     base = shared_dir(spark)
     path = f"{base}/airwell/{name}/{uuid.uuid4().hex}"
-    if "://" not in path or path.startswith("file:"):
-        os.makedirs(path.replace("file:", ""), exist_ok=True)
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)
     return path
 
 

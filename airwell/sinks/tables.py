@@ -30,11 +30,12 @@ def write_history(spark: SparkSession, readings: DataFrame, path: str | None = N
                   key: str = "municipality_id", ts: str = "ts") -> str:
     """K6: history laid out like a (site, year) partition key with newest
     first: one folder per year, rows clustered by site and sorted by time
-    descending inside each file.  The shuffle is on (year, site), so files
-    hold whole sites and a reader filtering on year prunes folders."""
+    descending inside each file.  Rows are range-partitioned on (year, site,
+    time): a reader filtering on year prunes folders, and a site with a large
+    share of all rows is cut by time into several tasks and files."""
     path = path or new_work_path(spark, "history")
-    (readings.repartition("year", key)
-             .sortWithinPartitions(key, F.col(ts).desc())
+    (readings.repartitionByRange("year", key, ts)
+             .sortWithinPartitions("year", key, F.col(ts).desc())
              .write.mode("overwrite").partitionBy("year").parquet(path))
     return path
 
@@ -51,8 +52,9 @@ def read_history(spark: SparkSession, path: str, years: list[int] | None = None,
 
 def write_partitioned_by_valley(spark: SparkSession, df: DataFrame, name: str, path: str | None = None) -> str:
     """K9: one folder per valley (replaces moving files into folders); rows
-    are shuffled by valley first so each folder receives few files."""
-    return write_parquet(spark, df.repartition("valley"), name, ["valley"], path)
+    are rebalanced by valley first, so each folder receives few files and a
+    large valley is split over several tasks."""
+    return write_parquet(spark, df.hint("rebalance", "valley"), name, ["valley"], path)
 
 
 def merge_latest(snapshot: DataFrame | None, batch: DataFrame, key: str, order: list[str]) -> DataFrame:

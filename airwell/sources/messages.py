@@ -50,9 +50,9 @@ def write_message_files(spark: SparkSession, msgs: DataFrame, name: str, files:
 
 
 def reading_messages(readings: DataFrame, key: Column | None = None) -> DataFrame:
-    """Readings as the producer sends them: epoch-seconds timestamp."""
+    """Readings as the producer sends them: ``timestamp`` in epoch seconds."""
     cols = [c for c in readings.columns]
-    body = F.struct(*[ts_to_epoch(F.col(c)).alias(c) if c == "ts" else F.col(c) for c in cols])
+    body = F.struct(*[ts_to_epoch(F.col(c)).alias("timestamp") if c == "ts" else F.col(c) for c in cols])
     k = key if key is not None else F.col("municipality_id").cast("string")
     return readings.select(k.alias("key"), F.to_json(body).alias("value"))
 
@@ -60,25 +60,17 @@ def reading_messages(readings: DataFrame, key: Column | None = None) -> DataFram
 def vitals_messages(vitals: DataFrame) -> DataFrame:
     """Vitals as the wearable sends them: id, position, 5 signals, epoch ts."""
     body = F.struct(
-        "event_id", F.col("user_id").alias("id"), "heart_rate", "ibi", "eda", "skin_temp", "activity_level",
+        "event_id", F.col("user_id").cast("string").alias("id"), "heart_rate", "ibi", "eda", "skin_temp", "activity_level",
         "lat", "lng", ts_to_epoch(F.col("ts")).alias("timestamp"))
     return vitals.select(F.col("user_id").cast("string").alias("key"), F.to_json(body).alias("value"))
 
 
-def publish_in_time_order(spark: SparkSession, rows: DataFrame, encode, ts: str, slices: int, path: str) -> str:
-    """Simulated producer: publish ``rows`` as messages in event-time order,
-    one file per time slice, written one after another (so file order, which
-    the file source follows, is time order).  Slice bounds are approximate
-    quantiles of ``ts`` (a few scalars on the driver)."""
-    probs = [i / slices for i in range(1, slices)]
-    cuts = rows.select(F.unix_micros(F.col(ts)).cast("double").alias("_u")).approxQuantile("_u", probs, 0.001)
-    bounds = [None] + sorted(set(cuts)) + [None]
-    u = F.unix_micros(F.col(ts)).cast("double")
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (u >= F.lit(lo))
-        if hi is not None:
-            cond = cond & (u < F.lit(hi))
-        encode(rows.where(cond)).coalesce(1).write.mode("append").json(path)
+def publish_in_time_order(rows: DataFrame, encode, ts: str, path: str) -> str:
+    """Simulated producer: publish ``rows`` as messages, range-partitioned by
+    event time in one write.  Every file is a time range, the input decides
+    how many there are, and nothing passes through one task.  Files of one
+    write have no order among each other: a reader takes them in one
+    micro-batch, or allows for their span in its watermark delay."""
+    u = F.unix_micros(F.col(ts))
+    encode(rows.withColumn("_u", u).repartitionByRange("_u").drop("_u")).write.mode("append").json(path)
     return path

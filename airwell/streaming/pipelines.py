@@ -18,61 +18,99 @@ from pyspark.sql import types as TT
 
 from airwell.functions import classify as C
 from airwell.functions.prepare import epoch_to_ts, year_of
+from airwell.functions.scoring import nan_to_null
 from airwell.operators.asof import latest_per_key
 from airwell.operators.windows import VITAL_COLUMNS
 from airwell.session import list_names, new_work_path, path_exists
 
 CORRUPT = "_corrupt_record"
 
-# -- schemas (fixed fields of the messages) -----------------------------------
-READING_FIELDS = [("reading_id", TT.LongType()), ("municipality_id", TT.LongType()), ("ts", TT.DoubleType())] + [
-    (c, TT.DoubleType()) for c in [
-        "alder_pollen", "birch_pollen", "grass_pollen", "mugwort_pollen", "olive_pollen", "ragweed_pollen",
-        "european_aqi", "pm10", "pm2_5", "nitrogen_dioxide", "sulphur_dioxide", "carbon_monoxide", "ozone",
-        "temperature_2m", "precipitation"]]
-READING_SCHEMA = TT.StructType([TT.StructField(n, t) for n, t in READING_FIELDS]
-                               + [TT.StructField(CORRUPT, TT.StringType())])
-
-VITALS_SCHEMA = TT.StructType([
-    TT.StructField("event_id", TT.LongType()), TT.StructField("id", TT.LongType()),
-    TT.StructField("heart_rate", TT.DoubleType()), TT.StructField("ibi", TT.DoubleType()),
-    TT.StructField("eda", TT.DoubleType()), TT.StructField("skin_temp", TT.DoubleType()),
-    TT.StructField("activity_level", TT.DoubleType()), TT.StructField("lat", TT.DoubleType()),
-    TT.StructField("lng", TT.DoubleType()), TT.StructField("timestamp", TT.DoubleType()),
-])
+# -- schemas: the fixed field lists of the topics' messages ---------------------
+READING_NUMBERS = [
+    "latitude", "longitude", "alder_pollen", "birch_pollen", "grass_pollen", "mugwort_pollen", "olive_pollen",
+    "ragweed_pollen", "temperature_2m", "timestamp", "relative_humidity_2m", "precipitation", "rain", "cloud_cover",
+    "cloud_cover_low", "cloud_cover_mid", "cloud_cover_high", "wind_speed_10m", "soil_temperature_0_to_7cm", "pm10",
+    "pm2_5", "carbon_monoxide", "carbon_dioxide", "nitrogen_dioxide", "sulphur_dioxide", "ozone",
+    "aerosol_optical_depth", "dust", "uv_index", "uv_index_clear_sky", "ammonia", "european_aqi", "us_aqi"]
+PROFILE_MESSAGE_FIELDS = [("user_id", "string"), ("gender", "boolean"), ("education_level", "int")] + [
+    (c, t) for t, names in (
+        ("float", ["bmi"]), ("boolean", ["current_smoker"]),
+        ("float", ["physical_activity", "diet_quality", "sleep_quality", "pollution_exposure", "pollen_exposure", "dust_exposure"]),
+        ("boolean", ["pet_allergy", "family_history_asthma", "history_of_allergies", "eczema", "hay_fever", "wheezing",
+                     "shortness_of_breath", "chest_tightness", "coughing", "nighttime_symptoms", "exercise_induced", "obesity", "cad"]),
+        ("float", ["cad_probability"]),
+        ("boolean", ["ragweed_pollen_allergy", "grass_pollen_allergy", "mugwort_pollen_allergy", "birch_pollen_allergy",
+                     "alder_pollen_allergy", "olive_pollen_allergy", "asthma_allergy"])) for c in names] + [("date_of_birth", "date")]
+
+# reading_id and event_id are optional: producers that number their messages send them
+READING_SCHEMA = TT.StructType(
+    [TT.StructField("municipality_id", TT.LongType()), TT.StructField("name", TT.StringType())]
+    + [TT.StructField(c, TT.DoubleType()) for c in READING_NUMBERS]
+    + [TT.StructField("reading_id", TT.LongType()), TT.StructField(CORRUPT, TT.StringType())])
+
+VITALS_SCHEMA = TT.StructType(
+    [TT.StructField(c, TT.DoubleType()) for c in VITAL_COLUMNS] + [TT.StructField("id", TT.StringType())]
+    + [TT.StructField(c, TT.DoubleType()) for c in ("lat", "lng", "timestamp")]
+    + [TT.StructField("event_id", TT.LongType()), TT.StructField(CORRUPT, TT.StringType())])
 
 _JSON_OPTS = {"columnNameOfCorruptRecord": CORRUPT, "mode": "PERMISSIVE"}
 
 
-# -- parsing (P1-P4, D18) -------------------------------------------------------
-def parse_readings(msgs: DataFrame, keep_key: bool = False) -> DataFrame:
+# -- parsing (P1-P4, P7, D18) ----------------------------------------------------
+def _parsed(msgs: DataFrame, schema: TT.StructType, keep_key: bool) -> DataFrame:
+    """Typed rows; a bare NaN is missing (it would rank above every number)."""
     p = msgs.select(F.col("key").cast("string").alias("_key"),
-                    F.from_json(F.col("value").cast("string"), READING_SCHEMA, _JSON_OPTS).alias("_p"))
-    out = p.select(*(["_key"] if keep_key else []), "_p.*")
-    return out.withColumn("ts", epoch_to_ts(F.col("ts"))).withColumn("year", year_of("ts"))
+                    F.from_json(F.col("value").cast("string"), schema, _JSON_OPTS).alias("_p"))
+    cols = [nan_to_null(f"_p.{f.name}").alias(f.name) if isinstance(f.dataType, TT.DoubleType) else F.col(f"_p.{f.name}")
+            for f in schema.fields]
+    return p.select(*(["_key"] if keep_key else []), *cols)
+
+
+def parse_readings(msgs: DataFrame, keep_key: bool = False) -> DataFrame:
+    p = _parsed(msgs, READING_SCHEMA, keep_key)
+    return p.withColumn("ts", epoch_to_ts(F.col("timestamp"))).drop("timestamp").withColumn("year", year_of("ts"))
 
 
-def split_rejects(parsed: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Malformed or key-less records go to a reject table."""
-    bad = F.col(CORRUPT).isNotNull() | F.col(key).isNull()
+def split_rejects(parsed: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """Malformed records and records without one of the key fields go to a reject table."""
+    bad = F.col(CORRUPT).isNotNull()
+    for key in keys:
+        bad = bad | F.col(key).isNull()
     return parsed.where(~bad).drop(CORRUPT), parsed.where(bad)
 
 
+def vitals_rows(msgs: DataFrame, keep_key: bool = False) -> DataFrame:
+    """Every vitals message, malformed ones marked.  ``msg_id`` names a message:
+    its event_id, or a hash of its fields where the producer sends none (a
+    redelivered message is equal in all of them)."""
+    p = _parsed(msgs, VITALS_SCHEMA, keep_key)
+    own = F.md5(F.to_json(F.struct("id", "timestamp", *VITAL_COLUMNS, "lat", "lng")))
+    return p.select(*(["_key"] if keep_key else []), "event_id", F.coalesce(F.col("event_id").cast("string"), own).alias("msg_id"),
+                    F.col("id").alias("user_id"), epoch_to_ts(F.col("timestamp")).alias("ts"), *VITAL_COLUMNS, "lat", "lng", CORRUPT)
+
+
+VITALS_KEYS = ("user_id", "ts")
+
+
 def parse_vitals(msgs: DataFrame) -> DataFrame:
-    p = msgs.select(F.from_json(F.col("value").cast("string"), VITALS_SCHEMA).alias("_p")).select("_p.*")
-    return p.select("event_id", F.col("id").alias("user_id"), epoch_to_ts(F.col("timestamp")).alias("ts"),
-                    *VITAL_COLUMNS, "lat", "lng")
+    """Well-formed vitals; the others are what ``run_rejects`` writes."""
+    return split_rejects(vitals_rows(msgs), *VITALS_KEYS)[0]
+
+
+def run_rejects(rows: DataFrame, keys: tuple[str, ...], sink: str, checkpoint: str) -> None:
+    """The malformed rows of a topic as a table of their own (its own query and checkpoint)."""
+    run_to_parquet(split_rejects(rows, *keys)[1], sink, checkpoint)
 
 
 # -- vitals windows (A1, T1-T6, T8) -------------------------------------------------
 def windowed_vitals_stream(events: DataFrame, size: str = "1 minute", delay: str = "0 seconds",
                            dedup_events: bool = False) -> DataFrame:
     """Streaming A1.  ``dedup_events`` drops redelivered events (same
-    event_id) within the watermark before they are counted (T8)."""
+    msg_id) within the watermark before they are counted (T8)."""
     v = events.withWatermark("ts", delay)
     if dedup_events:
-        v = v.dropDuplicatesWithinWatermark(["event_id"])
-    order = F.struct(F.col("ts"), F.col("event_id"))
+        v = v.dropDuplicatesWithinWatermark(["msg_id"])
+    order = F.struct(F.col("ts"), F.col("msg_id"))
     w = (v.groupBy(F.window("ts", size).alias("window"), "user_id")
           .agg(F.min_by("lat", order).alias("lat"), F.min_by("lng", order).alias("lng"),
                *[F.avg(c).alias(f"avg_{c}") for c in VITAL_COLUMNS], F.count(F.lit(1)).alias("n_events")))
@@ -127,33 +165,40 @@ def read_snapshot(spark: SparkSession, state: str) -> DataFrame | None:
 
 
 def latest_state_writer(spark: SparkSession, state: str, history: str, risk: str | None = None,
+                        rejects: str | None = None,
                         key: str = "municipality_id", order=("ts", "reading_id", "pm10")):
     """foreachBatch function for K8: per micro-batch
     * history: the batch's rows under ``batch=<id>/year=<y>`` (overwrite, so a
       replayed batch rewrites the same files);
     * latest state: previous snapshot U batch -> newest row per key, written
       as version ``v=<id>``; a version that exists is not written again;
-    * risk table (T10): recomputed from the new snapshot.
+    * risk table (T10): recomputed from the new snapshot; each output is
+      checked on its own, so a batch that failed in between is completed;
+    * malformed rows under ``rejects/batch=<id>`` (D18).
     The merge is a set operation on executors; nothing is collected."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        good = batch.drop(CORRUPT) if CORRUPT in batch.columns else batch
-        good = good.persist(StorageLevel.MEMORY_AND_DISK)   # read by two writes
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)   # read by several writes
         try:
+            good = batch
+            if CORRUPT in batch.columns:
+                good, bad = split_rejects(batch, key, "ts")
+                if rejects:
+                    bad.write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
             _write(good, batch_id)
         finally:
-            good.unpersist()
+            batch.unpersist()
 
     def _write(good: DataFrame, batch_id: int) -> None:
         (good.write.mode("overwrite").partitionBy("year")
              .parquet(f"{history}/batch={batch_id}"))
-        if batch_id in snapshot_versions(spark, state):
-            return
-        prev = [v for v in snapshot_versions(spark, state) if v < batch_id]
-        snap = spark.read.parquet(f"{state}/v={prev[-1]}") if prev else None
-        both = good if snap is None else snap.unionByName(good)
-        merged = latest_per_key(both, [key], list(order))
-        merged.write.mode("overwrite").parquet(f"{state}/v={batch_id}")
-        if risk:
+        versions = snapshot_versions(spark, state)
+        if batch_id not in versions:
+            prev = [v for v in versions if v < batch_id]
+            snap = spark.read.parquet(f"{state}/v={prev[-1]}") if prev else None
+            both = good if snap is None else snap.unionByName(good)
+            merged = latest_per_key(both, [key], list(order))
+            merged.write.mode("overwrite").parquet(f"{state}/v={batch_id}")
+        if risk and batch_id not in snapshot_versions(spark, risk):
             C.risk_table(spark.read.parquet(f"{state}/v={batch_id}")).write.mode("overwrite").parquet(
                 f"{risk}/v={batch_id}")
     return run
@@ -164,9 +209,10 @@ def run_readings_stream(spark: SparkSession, source: str, base: str | None = Non
     """Readings topic -> history + latest state + risk table, availableNow."""
     from airwell.sources.messages import file_stream
     base = base or new_work_path(spark, "readings-stream")
-    paths = {k: f"{base}/{k}" for k in ("history", "state", "risk", "checkpoint")}
-    parsed, _ = split_rejects(parse_readings(file_stream(spark, source, max_files_per_trigger)), "reading_id")
-    q = (parsed.writeStream.foreachBatch(latest_state_writer(spark, paths["state"], paths["history"], paths["risk"]))
+    paths = {k: f"{base}/{k}" for k in ("history", "state", "risk", "rejects", "checkpoint")}
+    parsed = parse_readings(file_stream(spark, source, max_files_per_trigger))
+    q = (parsed.writeStream.foreachBatch(latest_state_writer(
+            spark, paths["state"], paths["history"], paths["risk"], paths["rejects"]))
          .option("checkpointLocation", paths["checkpoint"]).trigger(availableNow=True).start())
     q.awaitTermination()
     return paths
@@ -181,9 +227,11 @@ def normalised_json_map(value) -> F.Column:
         F.regexp_replace(k, "([a-z0-9])([A-Z])", "$1_$2"), "([A-Z]+)([A-Z][a-z])", "$1_$2")))
 
 
-def profile_rows(msgs: DataFrame, fields: list[tuple[str, str]]) -> DataFrame:
-    """Typed profile rows from normalised maps; booleans accept true/false/1/0."""
-    m = msgs.select(normalised_json_map(F.col("value").cast("string")).alias("m"))
+def profile_rows(msgs: DataFrame, fields: list[tuple[str, str]] = PROFILE_MESSAGE_FIELDS,
+                 mark_rejects: bool = False) -> DataFrame:
+    """Typed profile rows from normalised maps; booleans accept true/false/1/0.
+    ``mark_rejects`` keeps the text of malformed messages (see split_rejects)."""
+    m = msgs.select(normalised_json_map(F.col("value").cast("string")).alias("m"), F.col("value").cast("string").alias("_v"))
     cols = []
     for name, typ in fields:
         raw = F.col("m")[name]
@@ -193,6 +241,8 @@ def profile_rows(msgs: DataFrame, fields: list[tuple[str, str]]) -> DataFrame:
         else:
             c = raw.try_cast(typ)
         cols.append(c.alias(name))
+    if mark_rejects:
+        cols.append(F.when(F.coalesce(F.size("m"), F.lit(0)) <= 0, F.col("_v")).alias(CORRUPT))
     return m.select(*cols)
 
 
@@ -202,7 +252,9 @@ def recommendations_writer(spark: SparkSession, out: str, sites: DataFrame, read
     """foreachBatch function: each micro-batch holds windows that just
     closed; they are enriched and scored with the batch operators and written
     as (key, value) messages (K3 shape) under ``batch=<id>`` (overwrite:
-    a replayed batch rewrites the same files).  ``latest`` keeps the current
+    a replayed batch rewrites the same files).  ``readings`` and ``profiles``
+    may be functions that open the table: a frame keeps the file list it was
+    made with, a function sees what arrived since.  ``latest`` keeps the current
     text per (user, category) as versioned snapshots (T9)."""
     from airwell.api import recommend
     from airwell.functions.prepare import has_category, split_category
@@ -210,6 +262,8 @@ def recommendations_writer(spark: SparkSession, out: str, sites: DataFrame, read
     from airwell.sinks.tables import merge_latest
 
     levels = site_levels(sites)   # static side: one grid for the whole stream
+    # ids of the vitals topic are text; frames of files are read again per batch
+    fresh = lambda df: df() if callable(df) else df
 
     def run(batch: DataFrame, batch_id: int) -> None:
         # the batch and its scores feed two writes: compute them once
@@ -220,7 +274,9 @@ def recommendations_writer(spark: SparkSession, out: str, sites: DataFrame, read
             batch.unpersist()
 
     def _write(batch: DataFrame, batch_id: int) -> None:
-        rec = recommend(batch, sites, readings, profiles, levels=levels).persist(StorageLevel.MEMORY_AND_DISK)
+        people = fresh(profiles)
+        people = people.withColumn("user_id", F.col("user_id").cast("string"))
+        rec = recommend(batch, sites, fresh(readings), people, levels=levels).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             _emit(rec, batch_id)
         finally:
@@ -248,7 +304,9 @@ def run_recommendations_stream(spark: SparkSession, source: str, sites: DataFram
                                delay: str = "0 seconds", max_files_per_trigger: int | None = None) -> dict:
     from airwell.sources.messages import file_stream
     base = base or new_work_path(spark, "recommendations")
-    paths = {k: f"{base}/{k}" for k in ("out", "latest", "checkpoint")}
+    paths = {k: f"{base}/{k}" for k in ("out", "latest", "rejects", "checkpoint")}
+    run_rejects(vitals_rows(file_stream(spark, source), keep_key=True), VITALS_KEYS, paths["rejects"],
+                f"{paths['checkpoint']}-rejects")
     win = windowed_vitals_stream(parse_vitals(file_stream(spark, source, max_files_per_trigger)), size, delay)
     q = (win.writeStream.outputMode("append")
          .foreachBatch(recommendations_writer(spark, paths["out"], sites, readings, profiles, paths["latest"]))

@@ -26,7 +26,7 @@ def test_vitals_stream_equals_batch_and_drops_late(spark):
     SP.run_to_parquet(SP.windowed_vitals_stream(ev), f"{base}/sink", f"{base}/ckpt")
     got = spark.read.parquet(f"{base}/sink")
     maxts = v.agg(F.max("ts")).first()[0]
-    exp = vitals_window(v).where(F.col("window_end") <= F.lit(maxts))
+    exp = vitals_window(v.withColumn("user_id", F.col("user_id").cast("string"))).where(F.col("window_end") <= F.lit(maxts))
     cols = ["user_id", "window_start", "n_events"]
     assert _rows(got, cols) == _rows(exp, cols)
 
@@ -52,7 +52,7 @@ def test_redelivery_is_deduplicated(spark):
     SP.run_to_parquet(SP.windowed_vitals_stream(ev, dedup_events=True), f"{base}/sink", f"{base}/ckpt")
     got = spark.read.parquet(f"{base}/sink")
     maxts = v.agg(F.max("ts")).first()[0]
-    exp = vitals_window(v).where(F.col("window_end") <= F.lit(maxts))
+    exp = vitals_window(v.withColumn("user_id", F.col("user_id").cast("string"))).where(F.col("window_end") <= F.lit(maxts))
     assert _rows(got, ["user_id", "window_start", "n_events"]) == _rows(exp, ["user_id", "window_start", "n_events"])
 
 
@@ -71,6 +71,10 @@ def test_latest_state_stream(spark):
     assert spark.read.parquet(paths["history"]).count() == r.count()
     risk = spark.read.parquet(f"{paths['risk']}/v={versions[-1]}")
     assert risk.count() == 6 * exp.count()
+    # a batch that failed between the snapshot and the risk table is completed on replay
+    again = f"{base}/risk-again"
+    SP.latest_state_writer(spark, paths["state"], f"{base}/history-again", again)(r.withColumn("year", F.year("ts")), versions[-1])
+    assert spark.read.parquet(f"{again}/v={versions[-1]}").count() == 6 * exp.count()
     # replaying the last batch id does not write a new version
     SP.latest_state_writer(spark, paths["state"], paths["history"])(r.limit(0).withColumn("year", F.lit(2024)),
                                                                      versions[-1])
@@ -86,11 +90,13 @@ def test_profile_stream_camelcase(spark):
 
 
 def test_rejects(spark):
-    msgs = spark.createDataFrame([("1", '{"reading_id": 5, "municipality_id": 1, "ts": 1700000000.5, "pm10": 3.0}'),
-                                  ("2", '{"reading_id": 6, "municipality_id": 1, "ts": 17'), ("3", "garbage")],
+    msgs = spark.createDataFrame([("1", '{"reading_id": 5, "municipality_id": 1, "timestamp": 1700000000.5, "pm10": 3.0}'),
+                                  ("2", '{"reading_id": 6, "municipality_id": 1, "timestamp": 17'), ("3", "garbage"),
+                                  ("4", '{"municipality_id": 2, "timestamp": 1.0, "alder_pollen": NaN, "name": "x"}')],
                                  "key string, value string")
-    good, bad = SP.split_rejects(SP.parse_readings(msgs, keep_key=True), "reading_id")
-    assert [r["_key"] for r in good.collect()] == ["1"]
+    good, bad = SP.split_rejects(SP.parse_readings(msgs, keep_key=True), "municipality_id", "ts")
+    assert [r["_key"] for r in good.collect()] == ["1", "4"]
+    assert good.where("_key = 4").first()["alder_pollen"] is None    # a bare NaN is missing
     assert sorted(r["_key"] for r in bad.collect()) == ["2", "3"]
     assert good.first()["ts"] == dt.datetime(2023, 11, 14, 22, 13, 20, 500000)
 
@@ -100,7 +106,7 @@ def test_processing_time_trigger(spark):
     1 minute in production), stopped once everything has been processed."""
     v = T.vitals(spark, SF001)
     base = new_work_path(spark, "t-trigger")
-    MS.publish_in_time_order(spark, v, MS.vitals_messages, "ts", 2, f"{base}/topic")
+    MS.publish_in_time_order(v, MS.vitals_messages, "ts", f"{base}/topic")
     ev = SP.parse_vitals(MS.file_stream(spark, f"{base}/topic", max_files_per_trigger=1))
     q = SP.run_to_parquet(SP.windowed_vitals_stream(ev), f"{base}/sink", f"{base}/ckpt",
                           trigger={"processingTime": "1 second"})
@@ -111,3 +117,33 @@ def test_processing_time_trigger(spark):
     got = spark.read.parquet(f"{base}/sink")
     assert got.count() > 0
     assert got.groupBy("user_id", "window_start").count().where("count > 1").count() == 0
+
+
+def test_rejects_of_all_topics(spark):
+    r = T.readings(spark, SF001).limit(20)
+    base = new_work_path(spark, "t-rejects")
+    bad = spark.createDataFrame([("k", "{broken"), ("k", '{"pm10": 1.0}')], "key string, value string")
+    MS.write_message_files(spark, MS.reading_messages(r).unionByName(bad), "r", path=f"{base}/topic")
+    paths = SP.run_readings_stream(spark, f"{base}/topic", base=base)
+    assert spark.read.parquet(paths["rejects"]).count() == 2
+    assert spark.read.parquet(paths["history"]).count() == 20
+    v = MS.vitals_messages(T.vitals(spark, SF001).limit(5)).unionByName(bad)
+    good, rejected = SP.split_rejects(SP.vitals_rows(v), *SP.VITALS_KEYS)
+    assert (good.count(), rejected.count()) == (5, 2)
+    p = spark.createDataFrame([("k", '{"UserId": "a-1", "Gender": true}'), ("k", "{broken"), ("k", '{"Gender": true}')],
+                              "key string, value string")
+    good, rejected = SP.split_rejects(SP.profile_rows(p, mark_rejects=True), "user_id")
+    assert [x["user_id"] for x in good.collect()] == ["a-1"] and rejected.count() == 2
+
+
+def test_messages_without_event_id_are_deduplicated_by_content(spark):
+    v = T.vitals(spark, SF001).withColumn("event_id", F.lit(None).cast("bigint"))
+    base = new_work_path(spark, "t-dedup-content")
+    msgs = MS.vitals_messages(v)
+    MS.write_message_files(spark, msgs.unionByName(msgs), "v", path=f"{base}/topic")
+    ev = SP.parse_vitals(MS.file_stream(spark, f"{base}/topic"))
+    SP.run_to_parquet(SP.windowed_vitals_stream(ev, dedup_events=True), f"{base}/sink", f"{base}/ckpt")
+    got = spark.read.parquet(f"{base}/sink").agg(F.sum("n_events")).first()[0]
+    exp = vitals_window(T.vitals(spark, SF001)).where(F.col("window_end") <= F.lit(v.agg(F.max("ts")).first()[0])) \
+        .agg(F.sum("n_events")).first()[0]
+    assert got == exp
