@@ -41,7 +41,7 @@ SHINGLE = 5
 COORDINATES = 256
 DOMAIN_BITS = 20
 MISS = 1e-8
-MINOR = 64              # a bucket with more members outside its largest component is split by one more band
+MINOR = 1000            # a bucket with more members outside its largest component is split by one more band
 CHUNK_BYTES = 1 << 20   # texts are hashed in pieces of about this size
 SIGMA = 0x9E3779B97F4A7C15
 
@@ -195,50 +195,82 @@ def _sets(batches):
             names=["id", "shingles"])
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _set_table(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, shingles) of the documents in ``ids``, written once.  The texts are
+    joined by shuffle at every size: the ids grow with the corpus."""
+    chosen = texts.hint("merge").join(ids, texts["doc_id"] == ids["id"], "left_semi")
+    return materialize(map_arrow(chosen, _sets, "id long, shingles array<bigint>"), "minhash-sets")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    chosen = texts.join(ids, texts["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"])
-    sets = materialize(map_arrow(chosen, _sets, "id long, shingles array<bigint>"), "minhash-sets")
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(left, "a").join(right, "b") \
         .withColumn("both", both) \
-        .filter(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
-
-
-def _mixed_pairs(rows: DataFrame, bands: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components inside buckets (used, id, n, component).
+        .filter(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b").distinct()
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows (used, id, component, ...) of buckets with several components, with
+    the bucket's key, its largest component and the number of members outside it."""
+    rows = rows.withColumn("key", F.xxhash64("used"))
+    sizes = rows.groupBy("key", "component").count()
+    state = sizes.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("major"),
+                                     F.count("*").alias("parts"),
+                                     (F.sum("count") - F.max("count")).alias("minor")) \
+        .filter(F.col("parts") > 1).drop("parts")
+    return rows.join(state, "key")
+
+
+def _with_own(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Mixed rows with ``own``: how many of a document's shingles no other document
+    of any mixed bucket has.  These can be in no intersection, so documents with
+    too many of them cannot reach the threshold with any other and go."""
+    mixed = materialize(_mixed(rows).select("used", "id", "n", "component"), "minhash-mixed")
+    ids = mixed.select(F.col("id").alias("__id")).distinct()
+    each = sets.join(ids, sets["id"] == ids["__id"], "left_semi").select("id", F.explode("shingles").alias("s"))
+    single = each.groupBy("s").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter(F.col("lo") == F.col("hi"))
+    own = single.groupBy("lo").agg(F.count("*").alias("own"))
+    return mixed.join(own, mixed["id"] == own["lo"], "left") \
+        .select("used", "id", "n", "component", F.coalesce("own", F.lit(0)).alias("own")) \
+        .filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
+
+
+def _mixed_pairs(rows: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components inside buckets (used, id, n, component, own).
 
     In each bucket the members outside its largest component meet all members
-    of other components.  A bucket with more than MINOR such members is replaced
-    by its sub-buckets by one more band, twice at most; what is still wide after
-    that is compared whole, so no pair is lost."""
+    of other components, if their sizes and own shingles leave room for the
+    threshold; a pair that meets in several buckets is taken in the first.  A
+    bucket with more than MINOR such members is replaced by its sub-buckets by
+    one more band, twice at most; what is still wide after that is compared
+    whole, so no pair is lost."""
+    keys = buckets.groupBy(F.col("id").alias("__id")).agg(F.array_sort(F.collect_set("key")).alias("keys"))
     out = None
     for level in range(3):
-        rows = rows.withColumn("key", F.xxhash64("used"))
-        sizes = rows.groupBy("key", "component").count()
-        state = sizes.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("major"),
-                                         F.count("*").alias("parts"),
-                                         (F.sum("count") - F.max("count")).alias("minor")) \
-            .filter(F.col("parts") > 1).drop("parts")
-        rows = materialize(rows.join(state, "key"), "minhash-mixed")
+        rows = materialize(_mixed(rows), "minhash-mixed")
         small = rows if level == 2 else rows.filter(F.col("minor") <= MINOR)
-        x = small.filter(F.col("component") != F.col("major")) \
-            .select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        y = small.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), "major")
-        close = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+        small = small.join(keys, F.col("id") == F.col("__id")).drop("__id")
+        x = small.filter(F.col("component") != F.col("major")).select(
+            "key", "used", F.col("id").alias("a"), F.col("n").alias("na"), F.col("own").alias("oa"),
+            F.col("component").alias("ca"), F.col("keys").alias("ka"))
+        y = small.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ob"),
+                         F.col("component").alias("cb"), F.col("keys").alias("kb"), "major")
+        room = 100 * F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob")) \
+            >= percent * F.greatest(F.col("na") + F.col("ob"), F.col("nb") + F.col("oa"))
         once = (F.col("cb") == F.col("major")) | (F.col("a") < F.col("b"))
-        pairs = x.join(y, "key").filter((F.col("ca") != F.col("cb")) & once & close) \
+        first = F.slice(F.array_intersect("ka", "kb"), 1, F.size("used")) == F.col("used")
+        pairs = x.join(y, (x["key"] == y["key"]) & (F.col("ca") != F.col("cb")) & once & room & first) \
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         out = pairs if out is None else out.union(pairs)
         wide = rows.filter(F.col("minor") > MINOR)
         if level == 2 or wide.isEmpty():
             break
-        more = bands.select(F.col("id").alias("__id"), F.col("key").alias("band"))
+        more = buckets.select(F.col("id").alias("__id"), F.col("key").alias("band"))
         rows = wide.join(more, wide["id"] == more["__id"]).filter(~F.array_contains("used", F.col("band"))) \
-            .select(F.array_sort(F.array_append("used", F.col("band"))).alias("used"), "id", "n", "component").distinct()
+            .select(F.array_sort(F.array_append("used", F.col("band"))).alias("used"), "id", "n", "component", "own").distinct()
     return out.distinct()
 
 
@@ -269,15 +301,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_
                          .select("key", F.col("doc_id").alias("id"), "n", "lead").distinct(), "minhash-buckets")
     star = materialize(bucket.filter(F.col("id") != F.col("lead"))
                        .select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "minhash-stars")
-    links = materialize(_confirm(star, texts, percent), "minhash-links")
+    sets = _set_table(bucket.select("id").distinct(), texts)
+    links = materialize(_confirm(star, sets, percent), "minhash-links")
 
     # buckets in which several components are left
     comp = materialize(components(links), "minhash-comp")
     c = comp.select(F.col("node").alias("__n"), F.col("component").alias("__c"))
     rest = bucket.join(c, bucket["id"] == c["__n"], "left") \
         .select(F.array("key").alias("used"), "id", "n", F.coalesce("__c", "id").alias("component"))
+    rest = materialize(_with_own(rest, sets, percent), "minhash-rest")
     pairs = _mixed_pairs(rest, bucket, percent).join(star, ["a", "b"], "left_anti")
-    more = materialize(_confirm(materialize(pairs, "minhash-pairs"), texts, percent), "minhash-links")
+    more = materialize(_confirm(materialize(pairs, "minhash-pairs"), sets, percent), "minhash-links")
     edges = links.union(more).union(member.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     final = components(edges)
     done = final.select(F.col("node").alias("__n"), F.col("component").alias("__c"))
