@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from airwell.operators.cohort import uniform
+
 
 def drop_null_rows(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
     """F1 / F2: rows with any NULL (or any NULL in ``subset``) removed."""
@@ -33,9 +35,9 @@ def keep_with_key_in(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def hash_split(df: DataFrame, key: str, fractions: list[float], seed: int = 42) -> list[DataFrame]:
-    """F8, repeatable form: a row's part depends only on its key and the seed,
-    not on partitioning or file order."""
-    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    """F8, repeatable form: a row's part is the MD5 draw of its key and the
+    seed, so it depends neither on partitioning nor on file order."""
+    u = uniform(key, f"split{seed}")
     tot = float(sum(fractions))
     out, lo = [], 0.0
     for i, f in enumerate(fractions):

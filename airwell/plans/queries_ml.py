@@ -117,10 +117,3 @@ def forecast_two_step(spark: SparkSession, sf: str) -> DataFrame:
         r = t2.select("municipality_id", "valley_id", "date", "today", "tomorrow")
         out = r if out is None else out.unionByName(r)
     return out
-
-
-@register("valley_of_sites")
-def valley_of_sites(spark: SparkSession, sf: str) -> DataFrame:
-    """M11's valley choice for every site position: polygon, else centroid."""
-    s = T.sites(spark, sf).select(F.col("latitude").alias("lat"), F.col("longitude").alias("lng"))
-    return valley_for_points(s, T.valleys(spark, sf))
