@@ -8,7 +8,8 @@ cells, so it never forms all (point, site) pairs:
   also the tie rule for equal distances), an aggregation;
 * points are reduced to distinct positions too (many events share one);
 * level by level, with growing cell sizes, each remaining point is joined to
-  the sites in its 3x3 block of cells.  Its best hit is final when it lies
+  the sites in its 3x3 block of cells (the sites are repeated into the cells
+  around them, the points keep one row).  Its best hit is final when it lies
   strictly inside the block's guaranteed radius; otherwise the point moves on
   to the next, coarser level;
 * the last level's block covers the globe, so every point is resolved.  Only
@@ -96,17 +97,18 @@ def nearest_grid(points: DataFrame, targets: DataFrame, lat: str, lng: str, targ
     found = []
     for i, (g, k) in enumerate(levels):
         last = i == len(levels) - 1
+        # the sites are repeated into the cells around them; a point keeps one
+        # row and looks up its own cell, so the large side is shuffled once
         scy, scx, ncx = _cells(F.col("s_lat"), F.col("s_lng"), g)
-        s_l = pos.select("s_id", "s_lat", "s_lng", scy.alias("cy"), scx.alias("cx"))
         pcy, pcx, _ = _cells(F.col("p_lat"), F.col("p_lng"), g)
         offs = F.sequence(F.lit(-k), F.lit(k))
-        p_l = (remaining
-               .withColumn("dy", F.explode(offs))
-               .withColumn("dx", F.explode(offs))
-               .select("p_lat", "p_lng", (pcy + F.col("dy")).alias("cy"),
-                       F.pmod(pcx + F.col("dx"), F.lit(ncx)).alias("cx")))
+        s_l = (pos.withColumn("dy", F.explode(offs)).withColumn("dx", F.explode(offs))
+               .select("s_id", "s_lat", "s_lng", (scy + F.col("dy")).alias("cy"),
+                       F.pmod(scx + F.col("dx"), F.lit(ncx)).alias("cx"))
+               .where((F.col("cy") >= 0) & (F.col("cy") <= math.ceil(180.0 / g))))
         if k * 2 + 1 >= ncx:   # block wraps around in longitude: avoid duplicate cells
-            p_l = p_l.distinct()
+            s_l = s_l.distinct()
+        p_l = remaining.select("p_lat", "p_lng", pcy.alias("cy"), pcx.alias("cx"))
         # left join: points whose block is empty keep a row with no site
         cand = p_l.join(s_l, ["cy", "cx"], "left").withColumn("d", dist_fn())
         # rank key NULL for the empty-block row, so min_by skips it
@@ -160,21 +162,6 @@ def attach_nearest_site(df: DataFrame, sites: DataFrame, lat: str = "lat", lng:
     return df.join(near, [lat, lng], "left")
 
 
-def nearest_site_brute(points: DataFrame, sites: DataFrame, lat="lat", lng="lng",
-                       site_id="municipality_id", site_lat="latitude", site_lng="longitude",
-                       max_km: float = NEAREST_RADIUS_KM) -> DataFrame:
-    """All-pairs reference implementation, for tests on small fixtures only."""
-    p = points.select(F.col(lat).alias("p_lat"), F.col(lng).alias("p_lng")).distinct()
-    s = sites.select(F.col(site_id).alias("s_id"), F.col(site_lat).alias("s_lat"), F.col(site_lng).alias("s_lng"))
-    cand = p.crossJoin(s).withColumn("d", haversine_km("p_lat", "p_lng", "s_lat", "s_lng"))
-    best = cand.groupBy("p_lat", "p_lng").agg(
-        F.min_by(F.struct(F.col("s_id").alias("site"), F.col("d").alias("dist")),
-                 F.struct(F.round("d", RANK_DECIMALS), F.col("s_id"))).alias("b"))
-    return (best.where(F.col("b.dist") <= max_km)
-            .select(F.col("p_lat").alias(lat), F.col("p_lng").alias(lng),
-                    F.col("b.site").alias(site_id), F.col("b.dist").alias("distance_km")))
-
-
 # --------------------------------------------------------------------------- J7
 def point_in_valley(points: DataFrame, valleys: DataFrame, lat: str = "lat", lng: str = "lng",
                     cell_deg: float = 0.25) -> DataFrame:
