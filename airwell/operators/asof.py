@@ -3,10 +3,10 @@ with ``right_ts <= left_ts``.
 
 Spark has no as-of operator, and a plain range join on the key alone pairs a
 left row with every earlier reading of its site.  Here the time axis is cut
-into buckets so that both steps are equi-joins:
+into buckets, so that no step pairs rows by a range:
 
-1. in-bucket: left (key, bucket) joins the right rows of the same
-   (key, bucket) with ``right_ts <= left_ts`` and keeps the newest;
+1. in-bucket: left and right rows of a (key, bucket) are put in one time
+   order and each left row takes the last right row before it, one pass;
 2. carry-over: for left rows with no match in their own bucket, the answer is
    the last right row of the latest earlier bucket.  That is precomputed per
    (key, bucket) from one row per (key, bucket with data), spread over the gap
@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from airwell.session import materialize
+
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per ``keys``: the row with the greatest ``order`` tuple (A4).
@@ -58,6 +60,8 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_t
     lk = (left.select(F.col(key).alias("_k"), F.col(left_ts).alias("_t"))
           .where(F.col("_k").isNotNull() & F.col("_t").isNotNull()).distinct()
           .withColumn("_b", F.floor(F.unix_seconds(F.col("_t")) / b)))
+    # read by the bounds, the in-bucket pass and the look-ups: written once
+    lk = materialize(lk, "asof-left")
     # the left's bucket range (two scalars): right rows after it are never
     # needed; right rows before it matter only through each key's last one
     lo, hi = lk.agg(F.min("_b"), F.max("_b")).first()
@@ -79,10 +83,13 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_t
                 .agg(F.max_by(F.struct(*[F.col(c) for c in rest]), F.struct(*[F.col(c) for c in order[1:]])).alias("_r"))
                 .select("_k", "_b", rts, *[F.col("_r." + c).alias(c) for c in rest]))
 
-    # 1. newest right row in the same bucket, not after the left time
-    inb = (lk.join(rr, ["_k", "_b"]).where(F.col(rts) <= F.col("_t"))
-           .groupBy("_k", "_t")
-           .agg(F.max_by(F.struct(*payload), F.col(rts)).alias("_m")))
+    # 1. newest right row in the same bucket, not after the left time: right
+    # rows sort before left rows of the same time
+    events = (rr.select("_k", "_b", F.col(rts).alias("_t"), F.lit(0).alias("_left"), F.struct(*payload).alias("_r"))
+              .unionByName(lk.withColumn("_left", F.lit(1)), allowMissingColumns=True))
+    run = Window.partitionBy("_k", "_b").orderBy("_t", "_left").rowsBetween(Window.unboundedPreceding, 0)
+    inb = (events.withColumn("_m", F.last("_r", True).over(run))
+           .where((F.col("_left") == 1) & F.col("_m").isNotNull()).select("_k", "_t", "_m"))
 
     # 2. last right row before each bucket, for buckets after the first one with data
     last_in_bucket = (rr.groupBy("_k", "_b")
