@@ -46,8 +46,3 @@ def hash_split(df: DataFrame, key: str, fractions: list[float], seed: int = 42)
         out.append(df.where(cond))
         lo = hi
     return out
-
-
-def random_split(df: DataFrame, fractions: list[float], seed: int = 42) -> list[DataFrame]:
-    """F8 as the original: seeded random split (membership differs by engine)."""
-    return df.randomSplit(fractions, seed)

@@ -154,14 +154,6 @@ def nearest_site(points: DataFrame, sites: DataFrame, lat: str = "lat", lng: str
                     F.col("site").alias(site_id), F.col("dist").alias("distance_km")))
 
 
-def attach_nearest_site(df: DataFrame, sites: DataFrame, lat: str = "lat", lng: str = "lng",
-                        site_id: str = "municipality_id", **kw) -> DataFrame:
-    """Left-join each row of ``df`` to its nearest site (computed once per
-    distinct position)."""
-    near = nearest_site(df.select(lat, lng), sites, lat, lng, site_id=site_id, **kw)
-    return df.join(near, [lat, lng], "left")
-
-
 # --------------------------------------------------------------------------- J7
 def point_in_valley(points: DataFrame, valleys: DataFrame, lat: str = "lat", lng: str = "lng",
                     cell_deg: float = 0.25) -> DataFrame:

@@ -56,6 +56,21 @@ def vitals_stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return _vitals_stream(spark, sf, redeliver=True)
 
 
+@register("vitals_stream_update", lambda: cte(["vitals"], [FS.win_sql(1)]) + f"""
+SELECT user_id, window_start, window_end, lat, lng, {", ".join(f"{Q.fix6(c)} AS {c}" for c in AVG_COLS)}, n_events FROM win""")
+def vitals_stream_update(spark: SparkSession, sf: str) -> DataFrame:
+    """T4: the windows in update mode, merged batch by batch into the table of
+    current windows; windows that are still open are in it too."""
+    base = new_work_path(spark, "vitals-update")
+    MS.publish_in_time_order(T.vitals(spark, sf), MS.vitals_messages, "ts", f"{base}/topic")
+    events = SP.parse_vitals(MS.file_stream(spark, f"{base}/topic"))
+    win = SP.windowed_vitals_stream(events, "1 minute", "1 day")
+    SP.run_update_to_state(win, f"{base}/state", f"{base}/checkpoint", ["user_id", "window_start"], ["n_events"])
+    out = SP.read_snapshot(spark, f"{base}/state")
+    return out.select(F.col("user_id").cast("bigint").alias("user_id"), "window_start", "window_end", "lat", "lng",
+                      *[fix6(c).alias(c) for c in AVG_COLS], "n_events")
+
+
 @register("latest_reading_stream", lambda: cte(["readings"], [LATEST_SQL]) + f"SELECT {', '.join(READING_COLS)} FROM latest")
 def latest_reading_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Readings topic in several micro-batches; each

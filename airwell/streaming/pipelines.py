@@ -133,6 +133,34 @@ def run_to_parquet(df: DataFrame, sink: str, checkpoint: str, mode: str = "appen
     return q
 
 
+def run_update_to_state(df: DataFrame, state: str, checkpoint: str, key: list[str], order: list[str],
+                        trigger: dict | None = None):
+    """T4, update mode: every micro-batch holds the rows that changed; they are
+    merged into a versioned table of the current row per ``key`` (greatest
+    ``order``).  A batch id that has a version is not written again."""
+    spark = df.sparkSession
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        versions = snapshot_versions(spark, state)
+        if batch_id in versions:
+            return
+        prev = [v for v in versions if v < batch_id]
+        both = batch if not prev else spark.read.parquet(f"{state}/v={prev[-1]}").unionByName(batch)
+        latest_per_key(both, key, order).write.mode("overwrite").parquet(f"{state}/v={batch_id}")
+
+    q = (df.writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", checkpoint)
+         .trigger(**(trigger or {"availableNow": True})).start())
+    if not trigger or trigger.get("availableNow"):
+        q.awaitTermination()
+    return q
+
+
+def to_console(df: DataFrame, checkpoint: str, mode: str = "append", rows: int = 20, trigger: dict | None = None):
+    """K4: print each micro-batch's first rows (debugging)."""
+    return (df.writeStream.outputMode(mode).format("console").option("numRows", rows).option("truncate", False)
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
+
+
 def to_kafka(df: DataFrame, servers: str, topic: str, checkpoint: str, mode: str = "append",
              trigger: str = "1 minute"):
     """K3: (key, value) sink to a topic with a processing-time trigger."""
@@ -142,7 +170,7 @@ def to_kafka(df: DataFrame, servers: str, topic: str, checkpoint: str, mode: str
 
 
 def to_memory(df: DataFrame, name: str, mode: str = "append"):
-    """K4: debug sink (``console`` works the same way)."""
+    """K4: debug sink in a table of the session."""
     return df.writeStream.outputMode(mode).format("memory").queryName(name).start()
 
 
