@@ -32,19 +32,22 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from operator import itemgetter
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airwell.llm._common import map_arrow
+from airwell.llm._common import map_arrow, values_of
 from airwell.llm._encode import byte_symbols
 
-WORD_TABLE = 400_000        # a worker's table of encoded words is emptied beyond this
-ARC_TABLE = 2_000_000       # and so is its transition table
+WORD_TABLE = 500_000        # a worker's table of encoded words is emptied beyond this
+GROUP_CHARS = 6 << 20       # texts are learned in groups of about this size
+ARC_TABLE = 1_000_000       # and so is its transition table
 NEVER = 1 << 60
 
+_IDS, _LABELS, _COUNT = itemgetter(0), itemgetter(1), itemgetter(2)
 _AUTOMATA: dict[str, "Automaton"] = {}
 _BREAK = regex.compile("[\t-\r \x85\\p{Z}]+")
 _CONTROL = regex.compile("[\x1c-\x1f]")
@@ -66,7 +69,8 @@ class Automaton:
         self.ids: dict[str, int] = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
         self.labels = {i: t for t, i in self.ids.items()}
-        self.symbols = byte_symbols()
+        self.decimal = {i: str(i) for i in self.labels}
+        self.symbols = {b: s for b, s in enumerate(byte_symbols())}
         self.special = {t["content"]: t["id"] for t in told.get("added_tokens", [])}
         self.labels.update({i: t for t, i in self.special.items()})
         self._cut_special = regex.compile(
@@ -75,6 +79,7 @@ class Automaton:
         self._words = regex.compile(split)
         self._compile([tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
         self.word_table: dict[str, tuple[str, str, int]] = {}
+        self.chunk_table: dict[str, tuple[str, str, int]] = {}
 
     # -- construction ------------------------------------------------------
 
@@ -94,7 +99,14 @@ class Automaton:
                 derived[w] = ((w, NEVER), *((s, min(t, time)) for s, t in derived[a]))
         self._branched, self._derived, self._lost = branched, derived, lost
         self.by_text = {s: i for s, i in ids.items() if i in branched}
-        self.longest = max((len(s.removesuffix(self.end) if self.end else s) for s in self.by_text), default=1)
+        # how far back a label may start, by the last two symbols before its end
+        self.back: dict[str, int] = {}
+        self.back_end: dict[str, int] = {}
+        for label in self.by_text:
+            final = bool(self.end) and label.endswith(self.end)
+            text = label.removesuffix(self.end) if final else label
+            far = self.back_end if final else self.back
+            far[text[-2:]] = max(far.get(text[-2:], 1), len(text))
         self.arcs: dict[int, bool] = {}
 
     def arc(self, state: int, label: int) -> bool:
@@ -113,87 +125,128 @@ class Automaton:
             self.arcs[key] = known
         return known
 
-    def path(self, word: list[str]) -> list[int]:
-        """The labels of a word's path; ``word`` is a list of symbols, the last with the word end."""
-        n = len(word)
-        text = "".join(word)
-        reached = [-1] * (n + 1)     # label that ends at a place
-        came = [0] * (n + 1)         # and where it starts
-        by_text, arc, longest = self.by_text, self.arc, self.longest
-        for j in range(1, n + 1):
-            stop = j if j < n else len(text)
-            for i in range(max(0, j - longest), j):
-                label = by_text.get(text[i:stop])
-                if label is not None and (i == 0 or (reached[i] >= 0 and arc(reached[i], label))):
-                    reached[j], came[j] = label, i
+    def paths(self, words: list[str]):
+        """(word, labels of its path) of every word, a string of symbols, in
+        sorted order: what the walk of a word shares with the one before is kept."""
+        by_text, arcs, width, end = self.by_text, self.arcs, self.width, self.end
+        reached, came = [-1], [0]       # label that ends at a place, and where it starts
+        before = ""
+        for word in sorted(words):
+            n = len(word)
+            keep = 0
+            for a, b in zip(word, before):
+                if a != b:
                     break
-        if n and reached[n] < 0:
-            raise ValueError(f"no path for {text!r}: a symbol is not in the vocabulary")
-        out, j = [], n
-        while j:
-            out.append(reached[j])
-            j = came[j]
-        return out[::-1]
+                keep += 1
+            keep = min(keep, n - 1, max(len(before) - 1, 0))
+            del reached[keep + 1:], came[keep + 1:]
+            for j in range(keep + 1, n + 1):
+                if j < n:
+                    far, tail = self.back.get(word[max(0, j - 2):j], 1), ""
+                else:
+                    far, tail = self.back_end.get(word[max(0, j - 2):], 1) if end else self.back.get(word[max(0, j - 2):], 1), end
+                for i in range(max(0, j - far), j):
+                    label = by_text.get(word[i:j] + tail)
+                    if label is not None:
+                        if i == 0:
+                            break
+                        state = reached[i]
+                        known = arcs.get(state * width + label)
+                        if self.arc(state, label) if known is None else known:
+                            break
+                else:
+                    raise ValueError(f"no path for {word!r}: a symbol is not in the vocabulary")
+                reached.append(label)
+                came.append(i)
+            before, labels, j = word, [], n
+            while j:
+                labels.append(reached[j])
+                j = came[j]
+            yield word, labels[::-1]
 
     # -- texts -------------------------------------------------------------
 
-    def _chunk(self, chunk: str) -> list[int]:
-        """Ids of a piece without white space: normalise, pre-split, walk each word."""
-        text = unicodedata.normalize("NFC", chunk)
-        text = "".join(c.lower() for c in text) if not text.isascii() else text.lower()
+    def _split(self, chunk: str) -> list[str]:
+        """The words of a chunk without white space, as symbols: normalised, pre-split."""
+        if chunk.isascii():
+            low = chunk.lower()
+            if low.isalpha():
+                return [low]
+            if len(low) > 1 and low[-1] in ".," and low[:-1].isalpha():
+                return [low[:-1], low[-1]]
+        else:
+            text = unicodedata.normalize("NFC", chunk)
+            low = "".join(c.lower() for c in text)
+        found = self._words.findall(low)
+        return [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.symbols) for w in found]
+
+    def _learn(self, chunks) -> None:
+        """Walk the new words of new chunks and add both to their tables."""
+        if len(self.word_table) > WORD_TABLE:
+            self.word_table.clear()
+        split = {c: self._split(c) for c in chunks}
+        words, labels, decimal = self.word_table, self.labels, self.decimal
+        for word, path in self.paths(list({w for ws in split.values() for w in ws if w not in words})):
+            words[word] = (" ".join([decimal[i] for i in path]), " ".join([labels[i] for i in path]), len(path))
+        for c, ws in split.items():
+            parts = [words[w] for w in ws]
+            self.chunk_table[c] = parts[0] if len(parts) == 1 else (
+                " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts]), sum(p[2] for p in parts))
+
+    def _pieces(self, text: str) -> list[str]:
+        """The chunks and special tokens of a text."""
+        if not (self._cut_special and any(s in text for s in self.special)):
+            return [c for c in _BREAK.split(text) if c] if _CONTROL.search(text) else text.split()
         out = []
-        for m in self._words.findall(text):
-            word = [self.symbols[b] for b in m.encode("utf-8")]
-            word[-1] += self.end
-            out += self.path(word)
+        for part in self._cut_special.split(text):
+            out += [part] if part in self.special else [c for c in _BREAK.split(part) if c]
         return out
 
-    def _entry(self, chunk: str) -> tuple[str, str, int]:
-        if len(self.word_table) > WORD_TABLE:
-            self.word_table.clear()
-        low = chunk.lower() if chunk.isascii() else chunk
-        if len(chunk) > 1 and chunk[-1] in ".," and chunk[-2].isalnum():   # pre-splitting always cuts here
-            stem, stop = self.word_table.get(chunk[:-1]) or self._entry(chunk[:-1]), self.word_table.get(chunk[-1]) or self._entry(chunk[-1])
-            e = self.word_table[chunk] = (f"{stem[0]} {stop[0]}", f"{stem[1]} {stop[1]}", stem[2] + stop[2])
-            return e
-        if low != chunk:
-            e = self.word_table[chunk] = self.word_table.get(low) or self._entry(low)
-            return e
-        ids = self._chunk(chunk)
-        e = self.word_table[chunk] = (" ".join(map(str, ids)), " ".join(self.labels[i] for i in ids), len(ids))
-        return e
-
-    def _entries(self, text: str):
-        """(ids, labels, count) of every chunk and special token of a text."""
-        parts = self._cut_special.split(text) if self._cut_special and any(s in text for s in self.special) else [text]
-        get = self.word_table.get
-        for part in parts:
-            if part in self.special:
-                yield str(self.special[part]), part, 1
-                continue
-            chunks = _BREAK.split(part) if _CONTROL.search(part) else part.split()
-            for c in chunks:
-                if c:
-                    yield get(c) or self._entry(c)
-
-    def encode(self, text: str | None) -> list[int]:
-        return [int(i) for e in self._entries(text or "") for i in e[0].split()]
+    def _entries(self, texts):
+        """Per text, (ids, labels, count) of its pieces; new pieces are learned a group of texts at a time."""
+        group, size = [], 0
+        for t in [*texts, None]:
+            if t is not None:
+                group.append(self._pieces(t))
+                size += len(t)
+            if t is None or size >= GROUP_CHARS:
+                table = self.chunk_table
+                table.update((s, (str(i), s, 1)) for s, i in self.special.items())
+                new: set[str] = set()
+                for pieces in group:
+                    new |= set(pieces).difference(table)
+                if new:
+                    # a full table is emptied first, so what the group needs is learned anew
+                    if len(table) > WORD_TABLE:
+                        table.clear()
+                        table.update((s, (str(i), s, 1)) for s, i in self.special.items())
+                        new = {p for pieces in group for p in pieces}.difference(table)
+                    self._learn(new)
+                get = table.__getitem__
+                for pieces in group:
+                    yield list(map(get, pieces))
+                group, size = [], 0
+
+    def encode(self, texts):
+        """The ids of each text (None: empty)."""
+        for entries in self._entries(t or "" for t in texts):
+            yield [int(i) for e in entries for i in e[0].split()]
 
     def decode(self, ids: list[int]) -> str:
         """The arc labels of a path, joined as the library does without a decoder."""
         return " ".join(self.labels[i] for i in ids)
 
-    def digest(self, text: str | None) -> tuple[int, str, str]:
-        """(number of ids, decimal ids joined by spaces, decoded text)."""
-        found = [e for e in self._entries(text or "") if e[2]]
-        return sum(e[2] for e in found), " ".join([e[0] for e in found]), " ".join([e[1] for e in found])
+    def digests(self, texts):
+        """(number of ids, decimal ids joined by spaces, decoded text) of each text."""
+        for entries in self._entries(t or "" for t in texts):
+            yield sum(map(_COUNT, entries)), " ".join(filter(None, map(_IDS, entries))), " ".join(filter(None, map(_LABELS, entries)))
 
 
 def _ids_of(path: str):
     def run(batches):
         a = automaton(path)
         for batch in batches:
-            ids = [a.encode(t) for t in batch.column(1).to_pylist()]
+            ids = list(a.encode(values_of(batch.column(1))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
     return run
 
@@ -212,8 +265,7 @@ def _digests_of(path: str):
         a = automaton(path)
         for batch in batches:
             n, ids, decoded = [], [], []
-            for t in batch.column(1).to_pylist():
-                count, decimal, text = a.digest(t)
+            for count, decimal, text in a.digests(values_of(batch.column(1))):
                 n.append(count)
                 ids.append(hashlib.sha256(decimal.encode()).hexdigest())
                 decoded.append(hashlib.sha256(text.encode()).hexdigest())

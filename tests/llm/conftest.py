@@ -3,6 +3,8 @@ and very long texts, ties, repeated rows, extra columns with clashing names."""
 
 import pytest
 
+from tests.conftest import SF001, SF01  # noqa: F401
+
 PROSE = ("The harbour of the old town was quiet in the morning, and the first boats came in with the light. "
          "It is said that the fishers know the way home by the smell of the bread. ")
 

@@ -52,9 +52,10 @@ def test_a_tokenizer_with_other_rules_is_used_whole(tmp_path):
 
 def test_automaton_gives_the_library_ids_and_texts(spark):
     t, a = library(WORD_BPE), bpe.automaton(tokenizer_path(WORD_BPE))
-    for text in texts(spark):
+    some = texts(spark)
+    for text, got in zip(some, a.encode(some)):
         ids = t.encode(text, add_special_tokens=False).ids
-        assert a.encode(text) == ids
+        assert got == ids
         assert a.decode(ids) == t.decode(ids, skip_special_tokens=False)
 
 
