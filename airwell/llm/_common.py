@@ -6,12 +6,13 @@ import io
 import os
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airwell.session import materialize, new_work_path
 
-__all__ = ["materialize", "new_work_path", "read_table", "text_of", "global_position", "map_arrow", "WHITE"]
+__all__ = ["materialize", "new_work_path", "read_table", "text_of", "global_position", "map_arrow", "values_of", "WHITE"]
 
 # white space of the word rule: space, tab, line feed, vertical tab, form feed, carriage return
 WHITE = r"[\x20\x09-\x0D]+"
@@ -72,7 +73,21 @@ def _ship(spark: SparkSession) -> None:
     context._airwell_shipped = True
 
 
+def _releasing(fn):
+    """``fn`` with Arrow's free memory given back at the end of a task: workers live on between tasks."""
+    def run(batches):
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+    return run
+
+
 def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
     """``df.mapInArrow`` with this package at hand in the workers."""
     _ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(_releasing(fn), schema)
+
+
+def values_of(column, rows: int = 256):
+    """The values of an Arrow column, turned to Python objects a few rows at a time."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()

@@ -7,7 +7,8 @@ The cut depends on the tokenizer's own description:
 
 * byte-level with its regular expression and no normaliser: before every space
   that a non-space follows (white space before it stays with the left piece,
-  where it is matched the same way);
+  where it is matched the same way), and around a line feed between two other
+  characters;
 * a split pattern that matches no white space and removes the rest: at white
   space; text is lower-cased first where the normaliser would do the same;
 * anything else: not at all.
@@ -19,19 +20,22 @@ import json
 import os
 import re
 import unicodedata
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-TABLE_PIECES = 1_200_000    # a worker's table of encoded pieces is emptied beyond this
+TABLE_PIECES = 300_000      # a worker's table of encoded pieces is emptied beyond this
 JOINED = 96                 # pieces per call into the library
-GROUP_CHARS = 12 << 20      # texts are cut and encoded in groups of about this size
+GROUP_CHARS = 4 << 20       # texts are cut and encoded in groups of about this size
 
 _SPACE_THEN_OTHER = re.compile(r" (?=\S)")
-_SPACE_BEFORE_SPACE = re.compile(r" (?:\s|\Z)")
+_WHITE_RUN = re.compile(r"[ \n](?:\s|\Z)|\x01")
 _WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_OTHER_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x01"
 _ODD_WHITE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_TOKEN_ID = attrgetter("id")
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -43,11 +47,22 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
-def encoder(path: str) -> "Encoder":
-    """The worker's encoder for a tokenizer file, made once."""
+def encoder(path: str, table_pieces: int = TABLE_PIECES, group_chars: int = GROUP_CHARS) -> "Encoder":
+    """The worker's encoder for a tokenizer file, made once; larger tables and
+    groups encode fewer pieces again, at some 200 bytes a piece."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    found = _ENCODERS[path]
+    found.table_pieces, found.group_chars = table_pieces, group_chars
+    return found
+
+
+def _odd(text: str) -> bool:
+    """Whether a text has other white space than single spaces and line feeds inside it."""
+    if not text.isascii():
+        return _WHITE_RUN.search(text) is not None
+    return "  " in text or "\n " in text or " \n" in text or "\n\n" in text or text.endswith((" ", "\n")) \
+        or any(c in text for c in _OTHER_ASCII)
 
 
 def _space_pieces(text: str) -> list[str]:
@@ -69,6 +84,8 @@ def _lowered(text: str) -> str:
 
 
 class Encoder:
+    table_pieces, group_chars = TABLE_PIECES, GROUP_CHARS
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -114,33 +131,31 @@ class Encoder:
     def _add_one(self, piece: str, ids: np.ndarray) -> None:
         self._add([piece], ids, np.array([len(ids)]))
 
-    def _ids(self, piece: str) -> np.ndarray:
-        n = self.number[piece]
-        return self.ids[self.ends[n]:self.ends[n + 1]]
-
     def _one(self, piece: str) -> np.ndarray:
         return np.asarray(self.library.encode(piece, add_special_tokens=False).ids, dtype="<u4")
 
-    def _one_word(self, piece: str) -> bool:
-        """Whether a piece is one word of the pre-splitting pattern, of letters only, that no normaliser changes."""
+    def _one_word(self, pieces: list[str]) -> list[str]:
+        """The pieces that are one word of the pre-splitting pattern, of letters only, that no normaliser changes."""
         if self.kind == "space":
-            return piece[0] == " " and piece[1:].isalpha()
-        return piece.isalpha() and piece == piece.lower() and unicodedata.is_normalized("NFC", piece)
+            return [p for p in pieces if (p[1:] if p[0] == " " else p).isalpha()]
+        return [p for p in pieces if p.isalpha() and p == p.lower() and unicodedata.is_normalized("NFC", p)]
 
     def _learn(self, missing: list[str]) -> None:
         """Encode new pieces and add them to the table."""
-        both = []
-        if self.kind == "white":    # a letter or digit and one final stop or comma are two pieces of the pattern
-            both = [p for p in missing if len(p) > 1 and p[-1] in ".," and p[-2].isalnum()]
-            need = {p[:-1] for p in both} | {p[-1] for p in both}
-            missing = list((set(missing).difference(both) | need).difference(self.number))
+        # a letter or digit and one final stop or comma are two pieces of either pattern
+        both = [p for p in missing if len(p) > 1 and p[-1] in ".," and p[-2].isalnum()]
+        need = {p[:-1] for p in both} | {p[-1] for p in both}
+        missing = list((set(missing).difference(both) | need).difference(self.number))
         # single words go to the library's model at once, the rest through its whole chain
-        words = [p for p in missing if self._one_word(p)]
+        words = self._one_word(missing)
         if words:
-            tokenize, ends, ids = self.model.tokenize, [], []
+            tokenize, space, ends, ids = self.model.tokenize, self.symbols[32], [], []
             for w in words:
-                w = w if w.isascii() else w.encode().decode("latin-1")
-                ids += [t.id for t in tokenize(w.translate(self.symbols) if not w.isascii() or w[0] == " " else w)]
+                if not w.isascii():
+                    w = w.encode().decode("latin-1").translate(self.symbols)
+                elif w[0] == " ":
+                    w = space + w[1:]
+                ids.extend(map(_TOKEN_ID, tokenize(w)))
                 ends.append(len(ids))
             self._add(words, np.array(ids, dtype="<u4"), np.array(ends))
             missing = list(set(missing).difference(words))
@@ -163,15 +178,30 @@ class Encoder:
                     for p in g:
                         self._add_one(p, self._one(p))
         if both:
-            parts = [self._ids(x) for p in both for x in (p[:-1], p[-1])]
-            self._add(both, np.concatenate(parts), np.cumsum([len(x) for x in parts])[1::2])
+            number = self.number
+            pairs = np.fromiter((number[x] for p in both for x in (p[:-1], p[-1])), dtype=np.int64, count=2 * len(both))
+            ids, ends = self._take(pairs)
+            self._add(both, ids, ends[1::2])
+
+    def _take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after the other, and where each one's end."""
+        start = self.ends[numbers]
+        length = self.ends[numbers + 1] - start
+        stop = np.cumsum(length)
+        total = int(stop[-1]) if len(stop) else 0
+        kind = np.int32 if max(total, len(self.ids)) < 1 << 31 else np.int64
+        source = np.repeat((start - (stop - length)).astype(kind), length)
+        source += np.arange(total, dtype=kind)
+        return self.ids[source], stop
 
     def _numbers(self, pieces: list[str]) -> np.ndarray:
-        missing = list({p for p in pieces if p not in self.number})
-        if missing:
-            self._learn(missing)
-        get = self.number.__getitem__
-        return np.fromiter(map(get, pieces), dtype=np.int64, count=len(pieces))
+        got = list(map(self.number.get, pieces))
+        unknown = [i for i, n in enumerate(got) if n is None]
+        if unknown:
+            self._learn(list({pieces[i] for i in unknown}))
+            for i in unknown:
+                got[i] = self.number[pieces[i]]
+        return np.array(got, dtype=np.int64)
 
     # -- texts --------------------------------------------------------------
 
@@ -181,13 +211,13 @@ class Encoder:
         for t in texts:
             group.append(t or "")
             size += len(t or "")
-            if size >= GROUP_CHARS:
+            if size >= self.group_chars:
                 yield from self._group(group)
                 group, size = [], 0
         yield from self._group(group)
 
     def _group(self, texts: list[str]):
-        if len(self.number) > TABLE_PIECES:
+        if len(self.number) > self.table_pieces:
             self._empty()
         if not texts:
             return
@@ -203,10 +233,11 @@ class Encoder:
             return
         heads, tails, odd = [], [], {}
         for i, t in enumerate(texts):
-            if _SPACE_BEFORE_SPACE.search(t):
+            if _odd(t):
                 odd[i] = _space_pieces(t)
                 t = ""
-            head, space, tail = t.partition(" ")
+            # line feeds become words of their own; a mark says that no space stood before a word
+            head, space, tail = t.replace("\n", " \x01\n \x01").partition(" ")
             heads.append(head)
             tails.append(tail if space else None)
         words = pc.split_pattern(pa.array(tails, pa.large_string()), " ")
@@ -216,7 +247,9 @@ class Encoder:
         """Ids of texts given as a list array of words (each with ``lead`` before
         it), with an optional first piece; texts in ``odd`` are lists of pieces."""
         flat = words.flatten().dictionary_encode()
-        vocabulary = [lead + w if w else "" for w in flat.dictionary.to_pylist()]
+        vocabulary = flat.dictionary.to_pylist()
+        if lead:
+            vocabulary = [lead + w if w[:1] != "\x01" else w[1:] for w in vocabulary]
         index = flat.indices.to_numpy(zero_copy_only=False)
         counts = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         number = np.full(len(vocabulary), -1, dtype=np.int64)
@@ -224,30 +257,24 @@ class Encoder:
         number[real] = self._numbers([vocabulary[i] for i in real])
         first = self._numbers([h for h in heads if h])
         extra = {i: self._numbers(p) for i, p in odd.items()}
-        starts, ends = self.ends[:-1], self.ends[1:]        # after all learning: the table does not move any more
-
+        # after all learning: the table does not move any more
         number = number[index]
-        kept = number >= 0
-        owner = np.repeat(np.arange(len(counts)), counts)[kept]
-        number = number[kept]
-        at = np.cumsum(np.bincount(owner, minlength=len(counts)))
-        first = iter(first.tolist())
-        length = ends[number] - starts[number]
-        stop = np.cumsum(length)
-        low = 0
-        # every word's ids, one after the other
-        total = int(stop[-1]) if len(stop) else 0
-        source = np.repeat(starts[number] - (stop - length), length)
-        source += np.arange(total)
-        out = self.ids[source]
+        if (number < 0).any():
+            kept = number >= 0
+            owner = np.repeat(np.arange(len(counts)), counts)[kept]
+            number, counts = number[kept], np.bincount(owner, minlength=len(counts))
+        out, stop = self._take(number)
         edges = np.concatenate([[0], stop])
-        for i, high in enumerate(at):
+        lead_ids, lead_stop = self._take(first)
+        lead_edges = np.concatenate([[0], lead_stop])
+        low = n_lead = 0
+        for i, high in enumerate(np.cumsum(counts).tolist()):
             body = out[edges[low]:edges[high]]
             low = high
             if i in extra:
-                yield np.concatenate([self.ids[starts[n]:ends[n]] for n in extra[i]]) if len(extra[i]) else body
+                yield self._take(extra[i])[0] if len(extra[i]) else body
             elif heads[i]:
-                n = next(first)
-                yield np.concatenate([self.ids[starts[n]:ends[n]], body])
+                yield np.concatenate([lead_ids[lead_edges[n_lead]:lead_edges[n_lead + 1]], body])
+                n_lead += 1
             else:
                 yield body

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airwell.llm._common import map_arrow
+from airwell.llm._common import map_arrow, values_of
 
 MAX_DEPTH = 6
 FEATURES = ("words", "link_density", "words_before", "link_before", "words_after", "link_after",
@@ -276,7 +276,7 @@ def main_text(page: str | None, tree) -> str:
 def _extract(tree):
     def run(batches):
         for batch in batches:
-            texts = [main_text(p, tree) for p in batch.column(2).to_pylist()]
+            texts = [main_text(p, tree) for p in values_of(batch.column(2))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"])

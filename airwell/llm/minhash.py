@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airwell.llm._common import map_arrow, materialize
+from airwell.llm._common import map_arrow, materialize, values_of
 from airwell.llm._graph import components
 
 SHINGLE = 5
@@ -117,9 +117,8 @@ def _shingles(words: np.ndarray) -> np.ndarray:
     return np.unique(acc)
 
 
-def shingle_sets(texts) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes per text (None: empty), hashed piece by piece."""
-    out: list[np.ndarray] = []
+def shingle_sets(texts):
+    """Sorted distinct shingle hashes of each text (None: empty), hashed piece by piece."""
     group: list[bytes] = []
     size = 0
 
@@ -130,7 +129,7 @@ def shingle_sets(texts) -> list[np.ndarray]:
         cut = np.searchsorted(start, ends)
         low = 0
         for high in cut:
-            out.append(_shingles(words[low:high]))
+            yield _shingles(words[low:high])
             low = high
 
     for t in texts:
@@ -138,11 +137,10 @@ def shingle_sets(texts) -> list[np.ndarray]:
         group.append(b)
         size += len(b)
         if size >= CHUNK_BYTES:
-            flush()
+            yield from flush()
             group, size = [], 0
     if group:
-        flush()
-    return out
+        yield from flush()
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -169,7 +167,7 @@ def _sketch(bands: int, rows: int):
         for batch in batches:
             ids = batch.column(0)
             n, fp, keys, offsets = [], [], [], [0]
-            for s in shingle_sets(batch.column(1).to_pylist()):
+            for s in shingle_sets(values_of(batch.column(1))):
                 n.append(len(s))
                 if len(s):
                     fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
@@ -187,7 +185,7 @@ def _sketch(bands: int, rows: int):
 
 def _sets(batches):
     for batch in batches:
-        sets = shingle_sets(batch.column(1).to_pylist())
+        sets = list(shingle_sets(values_of(batch.column(1))))
         offsets = np.cumsum([0, *[len(s) for s in sets]]).astype(np.int32)
         flat = np.concatenate(sets) if sets else np.empty(0, dtype=np.uint64)
         yield pa.RecordBatch.from_arrays(

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airwell.llm._common import global_position, map_arrow, materialize
+from airwell.llm._common import global_position, map_arrow, materialize, values_of
 from airwell.llm._encode import encoder
 
 CAPACITY = 2048
@@ -39,7 +39,7 @@ def _cut(path: str, capacity: int, with_ids: bool):
     def run(batches):
         for batch in batches:
             doc, piece, start, length, crc, ids = [], [], [], [], [], []
-            texts = batch.column(1).to_pylist()
+            texts = values_of(batch.column(1))
             end = np.uint32(END_ID).astype("<u4").tobytes()
             for i, found in enumerate(encoder(path).encode(texts)):
                 data = found.tobytes() + end

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airwell.llm._common import map_arrow
+from airwell.llm._common import map_arrow, values_of
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
@@ -148,7 +148,7 @@ _SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), (
 def _spans_of(batches):
     for batch in batches:
         rows = [[{"kind": k, "start": s, "end": e, "score": x, "value": t[s:e]} for k, s, e, x in find_spans(t)]
-                for t in batch.column(1).to_pylist()]
+                for t in values_of(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, _SPAN_TYPE)], names=["doc_id", "spans"])
 
 
@@ -170,7 +170,7 @@ def span_list(column: str, kinds=KINDS) -> Column:
 def _redactor(column: int):
     def run(batches):
         for batch in batches:
-            texts = pa.array([redact(t) for t in batch.column(column).to_pylist()], batch.column(column).type)
+            texts = pa.array([redact(t) for t in values_of(batch.column(column))], batch.column(column).type)
             yield batch.set_column(column, batch.schema.field(column), texts)
     return run
 

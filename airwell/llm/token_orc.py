@@ -22,33 +22,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from airwell.llm._common import map_arrow, new_work_path
+from airwell.llm._common import map_arrow, new_work_path, values_of
 from airwell.llm._encode import encoder
 
 END_ID = 0
 STRIPE_BYTES = 16 << 20
 ROW_INDEX_STRIDE = 1000
 BLOOM_FPP = 0.01
-SLICE_ROWS = 1000
+TABLE_PIECES = 900_000      # of a worker's table of encoded pieces (about 200 bytes each)
+GROUP_CHARS = 24 << 20      # of texts encoded together
 
 
 def _encode_sorted(path: str):
     def run(batches):
         start = 0
-        end = np.uint32(END_ID).astype("<u4").tobytes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(at, SLICE_ROWS)
-                data = [d + end for d in encoder(path).encode(batch.column(1).to_pylist())]
-                n = np.array([len(d) // 4 for d in data], dtype=np.int64)
-                ends = np.cumsum(n)
-                ids = np.frombuffer(b"".join(data), dtype="<u4").astype(np.int32)
-                offsets = np.concatenate([[0], ends]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(start + ends - n), pa.array(n),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))],
-                    names=["doc_id", "start", "n_tokens", "ids"])
-                start += int(ends[-1]) if len(ends) else 0
+        end = np.array([END_ID], dtype="<u4")
+        for batch in batches:
+            texts = values_of(batch.column(1))
+            data = [part for d in encoder(path, TABLE_PIECES, GROUP_CHARS).encode(texts) for part in (d, end)]
+            if not data:
+                continue
+            n = np.array([len(d) + 1 for d in data[::2]], dtype=np.int64)
+            ends = np.cumsum(n)
+            ids = np.concatenate(data).view(np.int32)
+            offsets = np.concatenate([[0], ends]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(start + ends - n), pa.array(n),
+                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))],
+                names=["doc_id", "start", "n_tokens", "ids"])
+            start += int(ends[-1])
     return run
 
 
@@ -61,20 +63,29 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
     rows.write.mode("overwrite") \
         .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", str(BLOOM_FPP)) \
         .option("orc.create.index", "true").option("orc.row.index.stride", str(ROW_INDEX_STRIDE)) \
-        .option("orc.stripe.size", str(STRIPE_BYTES)).option("orc.compress", "ZSTD").orc(path)
+        .option("orc.stripe.size", str(STRIPE_BYTES)).option("orc.compress", "SNAPPY").orc(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) with ``start`` counted over all files."""
+def _stored(spark: SparkSession, path: str) -> DataFrame:
     schema = "doc_id long, start long, n_tokens long, ids array<int>"
-    rows = spark.read.schema(schema).orc(path).withColumn("__file", F.col("_metadata.file_path"))
-    # one small row per file: its ids and its first document
-    files = rows.groupBy("__file").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
+    return spark.read.schema(schema).orc(path).withColumn("file", F.col("_metadata.file_path"))
+
+
+def _count_from_first(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """``rows`` (file, start, ...) with ``start`` counted over all files: each
+    file's total, from its two small columns, summed over the files before it."""
+    files = stored.groupBy("file").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
                                        F.max(F.col("start") + F.col("n_tokens")).alias("total"))
-    order = Window.orderBy(F.col("low").asc_nulls_first(), F.col("high").asc_nulls_first(), "__file")
-    base = files.select(F.col("__file").alias("__f"), (F.sum("total").over(order) - F.col("total")).alias("base"))
-    return rows.join(base, F.col("__file") == F.col("__f")) \
-        .select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids")
+    order = Window.orderBy(F.col("low").asc_nulls_first(), F.col("high").asc_nulls_first(), "file")
+    base = files.select(F.col("file").alias("__f"), (F.sum("total").over(order) - F.col("total")).alias("__base"))
+    return rows.join(base, F.col("file") == F.col("__f")).withColumn("start", F.col("__base") + F.col("start")) \
+        .drop("file", "__f", "__base")
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) with ``start`` counted over all files."""
+    stored = _stored(spark, path)
+    return _count_from_first(stored, stored)
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
@@ -85,22 +96,25 @@ def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
 
 def _crc(batches):
     for batch in batches:
-        ids = batch.column(2)
+        ids = batch.column(3)
         values = ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
         offsets = ids.offsets.to_numpy()
         crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())],
-            names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            [*batch.columns[:3], pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())],
+            names=["file", "doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def digests(rows: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of rows of ``read_tokens``, from their ids."""
-    return map_arrow(rows.select("doc_id", "start", "ids"), _crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of the files in ``path``, from their ids."""
+    stored = _stored(spark, path)
+    small = map_arrow(stored.select("file", "doc_id", "start", "ids"), _crc,
+                      "file string, doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _count_from_first(small, stored)
 
 
-def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Write ``docs`` to a fresh shared folder and read the files back."""
+def round_trip(docs: DataFrame, tokenizer: str) -> str:
+    """Write ``docs`` to a fresh shared folder and return it."""
     path = new_work_path(docs.sparkSession, "token-orc")
     write_tokens(docs, path, tokenizer)
-    return read_tokens(docs.sparkSession, path)
+    return path
