@@ -16,7 +16,7 @@ class.  In each band bucket all members are compared with the bucket's first
 one; components then show which buckets still hold different components, and
 only there members of different components are compared.  A large mixed bucket
 is split first by a second band: two documents that share a band but no other
-of the many bands are below the threshold (again up to 1e-8).
+of the many bands are below the threshold (up to 1e-7; see ``least_hits``).
 
 Defined edge results: a null or blank text has an empty set, links with
 nothing and is kept; a null id links with nothing, its component is null and
@@ -27,6 +27,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -54,6 +55,18 @@ def bands_for(threshold: float, coordinates: int = COORDINATES, miss: float = MI
     return coordinates, 1
 
 
+def least_hits(p: float, n: int, miss: float = 10 * MISS) -> int:
+    """The most of ``n`` trials that succeed all but surely, each with
+    probability ``p``: fewer do with probability ``miss`` at most; at least one."""
+    below, need = 0.0, 0
+    while need < n:
+        below += math.comb(n, need) * p ** need * (1 - p) ** (n - need)
+        if below > miss:
+            break
+        need += 1
+    return max(1, need)
+
+
 @lru_cache(1)
 def _tables():
     """Byte codes, the powers of the word hash's base (grown on demand) and the windows of ``pi``."""
@@ -162,24 +175,34 @@ def _band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
         return acc
 
 
+def _marks(sig: np.ndarray) -> np.ndarray:
+    """The signature in two bytes a coordinate: its number and eight bits of its
+    value, so that the size of an intersection counts the coordinates that agree."""
+    return (np.arange(len(sig)) * 256 + (_mix(sig.astype(np.uint64)) & np.uint64(255)).astype(np.int64) - 32768).astype(np.int16)
+
+
 def _sketch(bands: int, rows: int):
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
-            n, fp, keys, offsets = [], [], [], [0]
+            n, fp, keys, marks, offsets = [], [], [], [], [0]
             for s in shingle_sets(values_of(batch.column(1))):
                 n.append(len(s))
                 if len(s):
                     fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    keys.append(_band_keys(signature(s), bands, rows))
+                    sig = signature(s)
+                    keys.append(_band_keys(sig, bands, rows))
+                    marks.append(_marks(sig))
                 else:
                     fp.append(None)
+                    marks.append(None)
                 offsets.append(offsets[-1] + (bands if len(s) else 0))
             flat = np.concatenate(keys) if keys else np.empty(0, dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(n, pa.int64()), pa.array(fp, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64)))],
-                names=["doc_id", "n_shingles", "fp", "bands"])
+                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64))),
+                 pa.array(marks, pa.list_(pa.int16()))],
+                names=["doc_id", "n_shingles", "fp", "bands", "marks"])
     return run
 
 
@@ -236,16 +259,21 @@ def _with_own(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
 
 
-def _mixed_pairs(rows: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
+def _mixed_pairs(rows: DataFrame, buckets: DataFrame, marks: DataFrame, percent: int, common: int, alike: int) -> DataFrame:
     """Pairs of different components inside buckets (used, id, n, component, own).
 
     In each bucket the members outside its largest component meet all members
     of other components, if their sizes and own shingles leave room for the
-    threshold; a pair that meets in several buckets is taken in the first.  A
-    bucket with more than MINOR such members is replaced by its sub-buckets by
+    threshold, if they share ``common`` bands and if ``alike`` coordinates of
+    their signatures agree; a pair that meets in several
+    buckets is taken in the first.  A bucket with more than MINOR such members is replaced by its sub-buckets by
     one more band, twice at most; what is still wide after that is compared
     whole, so no pair is lost."""
     keys = buckets.groupBy(F.col("id").alias("__id")).agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    # rows that share an id are one document: what any of them shows counts
+    marks = marks.join(rows.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi") \
+        .groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("marks"))).alias("marks"))
+    keys = materialize(keys.join(marks, F.col("__id") == F.col("doc_id")).drop("doc_id"), "minhash-marks")
     out = None
     for level in range(3):
         rows = materialize(_mixed(rows), "minhash-mixed")
@@ -253,14 +281,16 @@ def _mixed_pairs(rows: DataFrame, buckets: DataFrame, percent: int) -> DataFrame
         small = small.join(keys, F.col("id") == F.col("__id")).drop("__id")
         x = small.filter(F.col("component") != F.col("major")).select(
             "key", "used", F.col("id").alias("a"), F.col("n").alias("na"), F.col("own").alias("oa"),
-            F.col("component").alias("ca"), F.col("keys").alias("ka"))
+            F.col("component").alias("ca"), F.col("keys").alias("ka"), F.col("marks").alias("ma"))
         y = small.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ob"),
-                         F.col("component").alias("cb"), F.col("keys").alias("kb"), "major")
+                         F.col("component").alias("cb"), F.col("keys").alias("kb"), F.col("marks").alias("mb"), "major")
         room = 100 * F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob")) \
             >= percent * F.greatest(F.col("na") + F.col("ob"), F.col("nb") + F.col("oa"))
         once = (F.col("cb") == F.col("major")) | (F.col("a") < F.col("b"))
-        first = F.slice(F.array_intersect("ka", "kb"), 1, F.size("used")) == F.col("used")
-        pairs = x.join(y, (x["key"] == y["key"]) & (F.col("ca") != F.col("cb")) & once & room & first) \
+        shared = F.array_intersect("ka", "kb")
+        near = F.size(F.array_intersect("ma", "mb")) >= alike
+        first = (F.size(shared) >= common) & (F.slice(shared, 1, F.size("used")) == F.col("used"))
+        pairs = x.join(y, (x["key"] == y["key"]) & (F.col("ca") != F.col("cb")) & once & room & first & near) \
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         out = pairs if out is None else out.union(pairs)
         wide = rows.filter(F.col("minor") > MINOR)
@@ -279,7 +309,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_
     bands, rows = bands_for(threshold)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sketch = materialize(map_arrow(
-        texts, _sketch(bands, rows), "doc_id long, n_shingles long, fp binary, bands array<bigint>"), "minhash-sketch")
+        texts, _sketch(bands, rows), "doc_id long, n_shingles long, fp binary, bands array<bigint>, "
+        "marks array<smallint>"), "minhash-sketch")
     known = sketch.filter(F.col("doc_id").isNotNull() & F.col("fp").isNotNull())
 
     # classes of equal sets, named by their smallest id; only real ones are kept as a table
@@ -308,7 +339,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_
     rest = bucket.join(c, bucket["id"] == c["__n"], "left") \
         .select(F.array("key").alias("used"), "id", "n", F.coalesce("__c", "id").alias("component"))
     rest = materialize(_with_own(rest, sets, percent), "minhash-rest")
-    pairs = _mixed_pairs(rest, bucket, percent).join(star, ["a", "b"], "left_anti")
+    pairs = _mixed_pairs(rest, bucket, known.select("doc_id", "marks"), percent, least_hits(threshold ** rows, bands),
+                         least_hits(threshold, COORDINATES)).join(star, ["a", "b"], "left_anti")
     more = materialize(_confirm(materialize(pairs, "minhash-pairs"), sets, percent), "minhash-links")
     edges = links.union(more).union(member.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     final = components(edges)
