@@ -8,10 +8,15 @@ equal size by position (with the first rows of the next block added), so a
 label or a run of equal keys with very many rows is many blocks.
 
 Vectors that are equal in every component form one class first and stand for
-all their copies.  The number of passes follows from the size of the largest
-label, so that a pair at the threshold is missed with a probability below
-``miss`` at every size.  Inside the components so found, links are counted by
-comparing all members block against block; nothing is emitted per pair.
+all their copies.  A pair counts as met in a pass if it agrees in the leading
+bits of the key: vectors that do are a cell, and a cell with more than
+``window`` vectors is compared whole, tile against tile.  The passes follow
+from the leading bits, so that a pair at the threshold is missed with a
+probability below ``miss`` however the vectors of a label lie.  How many bits
+lead is chosen per label by the least work at the measured sizes of its cells;
+where no number of bits splits a label well enough (a narrow cone), none do,
+and the label is one cell.  Inside the components so found, links are counted
+by comparing all members block against block; nothing is emitted per pair.
 
 Defined edge results: null or zero vectors, vectors with a null or non-finite
 component, and rows without label or id link with nothing, are their own
@@ -34,18 +39,24 @@ from airwell.llm._graph import components
 
 WINDOW = 32
 MISS = 1e-6
-BLOCK = 2048        # rows of a window block
+BLOCK = 2048        # rows of a window block, and of a tile of a cell
 TILE = 512          # rows of a counting tile
-SPARE_BITS = 8
+BITS = 62           # bits of a key
+MEASURED = 2        # passes in which cells are measured
+FURTHER = (4, 8, 12, 16, 24, 32, 40, 50)    # leading bits tried above those of evenly spread vectors
+
+
+def passes_at(lead: int, threshold: float, miss: float = MISS) -> int:
+    """A pair at the threshold agrees in one sign with probability 1 - angle / pi:
+    the passes after which it has agreed in ``lead`` bits at least once."""
+    agree = (1 - math.acos(threshold) / math.pi) ** lead
+    return 1 if agree >= 1 else max(4, math.ceil(math.log(miss) / math.log1p(-agree)))
 
 
 def passes_for(rows: int, threshold: float, window: int = WINDOW, miss: float = MISS) -> tuple[int, int]:
-    """(passes, bits): a pair at the threshold agrees in one sign with probability
-    1 - angle / pi; agreeing in the leading bits that leave ``window`` vectors
-    of ``rows`` makes it neighbours."""
-    agree = 1 - math.acos(threshold) / math.pi
-    lead = max(1, math.ceil(math.log2(max(2, rows / window))) + 1)
-    return max(4, math.ceil(math.log(miss) / math.log(1 - agree ** lead))), min(62, lead + SPARE_BITS)
+    """(passes, leading bits) that leave less than ``window`` of ``rows`` evenly spread vectors in a cell."""
+    lead = min(BITS, max(1, math.ceil(math.log2(max(2, rows / window))) + 1))
+    return passes_at(lead, threshold, miss), lead
 
 
 def _classes(batches):
@@ -75,24 +86,29 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _keys(passes: int, bits: int):
-    def run(batches):
-        planes: dict[int, np.ndarray] = {}
-        for batch in batches:
-            dims = np.asarray(batch.column(1).to_pylist(), dtype=int)
-            vectors = batch.column(2).to_pylist()
-            out = np.zeros((len(vectors), passes), dtype=np.int64)
-            for d in np.unique(dims):
-                if d not in planes:
-                    planes[d] = np.random.default_rng(977 + d).standard_normal((d, passes * bits))
-                at = np.flatnonzero(dims == d)
-                for low in range(0, len(at), 1024):
-                    part = at[low:low + 1024]
-                    sign = (_unit(np.array([vectors[i] for i in part])) @ planes[d] > 0).reshape(len(part), passes, bits)
-                    out[part] = sign @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
+def _keys(batches):
+    """One key per pass, for as many passes as the row asks for."""
+    powers = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+    for batch in batches:
+        dims, passes = (np.asarray(batch.column(i).to_pylist(), dtype=int) for i in (2, 5))
+        for low in range(0, len(dims), 1024):
+            part = slice(low, low + 1024)
+            vectors = batch.column(3).slice(low, 1024).to_pylist()
+            out = np.zeros((len(vectors), passes[part].max()), dtype=np.int64)
+            for d in np.unique(dims[part]):
+                at = np.flatnonzero(dims[part] == d)
+                x = _unit(np.array([vectors[i] for i in at]))
+                for k in range(passes[part][at].max()):
+                    sign = x @ np.random.default_rng([977, d, k]).standard_normal((d, BITS)) > 0
+                    out[at, k] = sign @ powers
+            keys = [row[:n] for row, n in zip(out, passes[part])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(list(out), pa.list_(pa.int64()))], names=["id", "keys"])
-    return run
+                [*(batch.column(i).slice(low, 1024) for i in (0, 1, 2, 4)), pa.array(keys, pa.list_(pa.int64()))],
+                names=["id", "label", "dim", "lead", "keys"])
+
+
+def _cell(key, lead):
+    return F.shiftright(key, BITS - lead) if isinstance(lead, int) else F.expr(f"shiftright({key}, {BITS} - {lead})")
 
 
 def _window_pairs(window: int, threshold: float):
@@ -133,6 +149,34 @@ def _window_pairs(window: int, threshold: float):
     return run
 
 
+def _cell_pairs(threshold: float):
+    """Per pair of tiles of a cell: a spanning forest of the confirmed pairs (what the union needs)."""
+    def run(key, table):
+        a, b = [], []
+        cell, tile, names = (table.column(c).to_numpy() for c in ("low", "tile", "id"))
+        vectors = table.column("v").to_pylist()
+        for c in np.unique(cell):
+            rows, cols = (np.flatnonzero((cell == c) & (tile == key[i].as_py())) for i in (1, 2))
+            if not len(rows) or not len(cols):
+                continue
+            nodes = np.unique(np.concatenate([rows, cols]))
+            x = _unit(np.array([vectors[i] for i in nodes]))
+            own, met = np.searchsorted(nodes, rows), np.searchsorted(nodes, cols)
+            y, tree = x[met].T, np.arange(len(nodes))
+            for low in range(0, len(own), 256):
+                hit = x[own[low:low + 256]] @ y >= threshold
+                for i, line in zip(own[low:low + 256], hit):
+                    found = met[line]
+                    trees, at = np.unique(tree[found], return_index=True)
+                    new = trees != tree[i]
+                    if new.any():
+                        a += [int(names[nodes[i]])] * int(new.sum())
+                        b += names[nodes[found[at[new]]]].tolist()
+                        tree[np.isin(tree, trees[new])] = tree[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return run
+
+
 def _tile_counts(threshold: float):
     """Per pair of tiles of a component: links of each member of the one with members of the other."""
     def run(key, table):
@@ -175,12 +219,26 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "
         .dropDuplicates(["id", "fp"]).select("id", "label", "dim", "v", "copies")
     first = materialize(first, "vec-first")
     largest = first.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
-    passes, bits = passes_for(largest, threshold, window, miss)
+    even = passes_for(largest, threshold, window, miss)[1]
+
+    # the leading bits of each label: the least work over all passes at the measured cells
+    leads = sorted({0, even // 2, even, *(min(BITS, even + x) for x in FURTHER)})
+    key_type = "id long, label string, dim int, lead int, keys array<long>"
+    tried = map_arrow(first.select("id", "label", "dim", "v", F.lit(0).alias("lead"), F.lit(MEASURED).alias("passes")), _keys, key_type) \
+        .select("label", "dim", F.posexplode("keys").alias("pass", "key"))
+    tried = tried.select("label", "dim", "pass", F.explode(F.array(*[
+        F.struct(F.lit(x).alias("lead"), F.lit(passes_at(x, threshold, miss)).alias("passes"), _cell("key", x).alias("cell"))
+        for x in leads])).alias("t")).select("label", "dim", "pass", "t.*")
+    sizes = tried.groupBy("label", "dim", "pass", "lead", "passes", "cell").count()
+    work = sizes.groupBy("label", "dim", "lead", "passes").agg(
+        (F.sum(F.col("count").cast("double") * F.greatest(F.col("count"), F.lit(window))) * F.col("passes")).alias("work"))
+    chosen = materialize(work.groupBy(F.col("label").alias("__label"), F.col("dim").alias("__dim")).agg(
+        F.min(F.struct("work", "lead", "passes")).alias("p")).select("__label", "__dim", "p.lead", "p.passes"), "vec-leads")
 
     # sort keys only; vectors join their blocks afterwards
-    keys = map_arrow(first.select("id", "dim", "v"), _keys(passes, bits), "id long, keys array<long>") \
-        .join(first.select(F.col("id").alias("__id"), "label", "dim"), F.col("id") == F.col("__id")) \
-        .select("id", "label", "dim", F.posexplode("keys").alias("pass", "key"))
+    keys = first.join(chosen, (F.col("label") == F.col("__label")) & (F.col("dim") == F.col("__dim")))
+    keys = map_arrow(keys.select("id", "label", "dim", "v", "lead", "passes"), _keys, key_type) \
+        .select("id", "label", "dim", "lead", F.posexplode("keys").alias("pass", "key"))
     placed = global_position(keys, ["pass", "label", "dim", "key", "id"], "vec-sorted", "pos")
     block = F.floor(F.col("pos") / BLOCK).cast("long")
     near_start = F.col("pos") % BLOCK < window
@@ -188,6 +246,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "
         F.when(near_start & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))).alias("block"))
     rows = blocks.join(first.select(F.col("id").alias("__id"), "label", "dim", "v"), F.col("id") == F.col("__id")).drop("__id")
     pairs = rows.groupBy("block").applyInArrow(_window_pairs(window, threshold), "a long, b long")
+
+    # cells above the window, tile against tile; those of one tile are handled together, by where they lie
+    named_cells = placed.withColumn("cell", _cell("key", "lead"))
+    wide = named_cells.groupBy(*[F.col(c).alias(f"__{c}") for c in ("pass", "label", "dim", "cell")]).agg(
+        F.min("pos").alias("low"), F.max("pos").alias("high")).filter(F.col("high") - F.col("low") > window)
+    in_wide = named_cells.join(wide, (F.col("pass") == F.col("__pass")) & (F.col("label") == F.col("__label"))
+                               & (F.col("dim") == F.col("__dim")) & (F.col("cell") == F.col("__cell"))) \
+        .select(F.col("id").alias("__id"), F.col("label").alias("__l"), F.col("dim").alias("__d"), "low",
+                F.floor((F.col("pos") - F.col("low")) / BLOCK).cast("int").alias("tile"),
+                (F.floor((F.col("high") - F.col("low")) / BLOCK) + 1).cast("int").alias("n_tiles")) \
+        .withColumn("unit", F.when(F.col("n_tiles") == 1, -1 - F.floor(F.col("low") / BLOCK)).otherwise(F.col("low")))
+    in_wide = in_wide.join(first.select("id", "label", "dim", "v"), (F.col("id") == F.col("__id")) & (F.col("label") == F.col("__l"))
+                           & (F.col("dim") == F.col("__d"))) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1))) \
+        .select("unit", F.least("tile", "other").alias("one"), F.greatest("tile", "other").alias("two"), "low", "tile", "id", "v")
+    pairs = pairs.union(in_wide.groupBy("unit", "one", "two").applyInArrow(_cell_pairs(threshold), "a long, b long"))
     comp = materialize(components(materialize(pairs.distinct(), "vec-pairs"), "vec-comp"), "vec-comp")
 
     # links inside components, tile against tile

@@ -80,3 +80,29 @@ def test_passes_grow_with_the_rows(rows):
     passes, bits = embed_dedup.passes_for(rows, 0.98)
     assert 4 <= passes < 1000 and bits <= 62
     assert passes <= embed_dedup.passes_for(rows * 10, 0.98)[0]
+
+
+def test_labels_in_narrow_cones(spark):
+    """Labels whose vectors all have a cosine near c, with isolated pairs above the threshold among them."""
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    rows = []
+    for n, c in enumerate((0.9, 0.95, 0.97)):
+        centre = unit(rng.normal(size=64))
+        rest = unit(rng.normal(size=(1200, 64)))
+        x = unit(np.sqrt(c) * centre + np.sqrt(1 - c) * unit(rest - (rest @ centre)[:, None] * centre))
+        side = rng.normal(size=(60, 64))
+        side = unit(side - (side * x[:60]).sum(axis=1, keepdims=True) * x[:60])
+        near = 0.983 * x[:60] + np.sqrt(1 - 0.983 ** 2) * side
+        rows += [(10_000 * n + i, v.tolist(), n) for i, v in enumerate(np.concatenate([x, near]))]
+    compare(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), rows)
+
+
+def test_wide_cells_of_many_tiles(spark, monkeypatch):
+    """One cell is cut into tiles, and a pair across tiles is found."""
+    monkeypatch.setattr(embed_dedup, "BLOCK", 64)
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=32)
+    x = centre + 0.2 * rng.normal(size=(400, 32))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([x, x[:50] + 0.02 * rng.normal(size=(50, 32))]))]
+    compare(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), rows)
