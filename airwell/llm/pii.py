@@ -2,9 +2,11 @@
 
 Patterns propose spans per kind, leftmost and non-overlapping in a kind.
 Validators confirm them: parts of an ip up to 255, Luhn for cards, digit counts
-for phones, mod 97 for bank account numbers.  A context word of the kind
-within ``CONTEXT`` characters raises a span's score.  Kinds of ``BASE`` are
-kept whenever they are confirmed; ``iban`` is kept on its checksum, ``ssn`` (a
+for phones, mod 97 for bank account numbers.  An account number has the length of
+its country, whatever tokens stand around it; where none of that length holds,
+the token ends of the run are tried from the last (of a known country, the last
+only).  A context word of the kind within ``CONTEXT`` characters raises a
+span's score.  Kinds of ``BASE`` are kept whenever they are confirmed; ``iban`` is kept on its checksum, ``ssn`` (a
 national number without a checksum) only with a context word.
 
 All matchers take time in proportion to the text: runs are entered at their
@@ -47,7 +49,13 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+# Characters of an account number per country.
+_IBAN_CHARS = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 "
+    "FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 "
+    "LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 "
+    "SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30").split()}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _DIGIT = re.compile("[0-9]")
 _NEAR = {k: re.compile("|".join(re.escape(w) for w in ws)) for k, ws in WORDS.items()}
@@ -100,9 +108,36 @@ def _valid_phone(s: str) -> bool:
     return 9 <= len(_only_digits(s)) <= 15
 
 
-def _valid_iban(s: str) -> bool:
-    s = s.replace(" ", "")
-    return 15 <= len(s) <= 34 and mod97(s)
+def _ibans(text: str):
+    """Numbers of their country's length first; then other runs, in what those leave free."""
+    held, others, free = [], [], 0
+    m = _IBAN.search(text)
+    while m:
+        start, ends, chars = m.start(), {}, 0
+        for i in range(start, m.end()):
+            chars += text[i] != " "
+            after = text[i + 1:i + 2]
+            if chars >= 15 and not (after.isascii() and after.isalnum()):
+                ends.setdefault(chars, i + 1)
+        right = [ends[n] for n in sorted(ends, reverse=True) if mod97(text[start:ends[n]].replace(" ", ""))]
+        known = _IBAN_CHARS.get(text[start:start + 2])
+        if start >= free and ends.get(known) in right:
+            free = ends[known]
+            held.append((start, free))
+        elif right:
+            others.append((start, [e for e in right if known is None or e == max(ends.values())]))
+        m = _IBAN.search(text, start + 1)
+    taken = iter([*held, (len(text), len(text))])
+    low, high = next(taken)
+    free = 0
+    for start, right in others:
+        while high <= start and low < len(text):
+            low, high = next(taken)
+        end = next((e for e in right if e <= low), None)
+        if start >= free and end:
+            held.append((start, end))
+            free = end
+    return sorted(held)
 
 
 def _score(kind: str, text: str, start: int, end: int) -> float:
@@ -120,9 +155,10 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
     if _DIGIT.search(text):
         for kind, pattern, valid, needs in (
                 ("ip", _IP, _valid_ip, "."), ("card", _CARD, _valid_card, None), ("phone", _PHONE, _valid_phone, "+"),
-                ("iban", _IBAN, _valid_iban, None), ("ssn", _SSN, None, "-")):
+                ("ssn", _SSN, None, "-")):
             if needs is None or needs in text:
                 out += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if valid is None or valid(m.group())]
+        out += [("iban", *s) for s in _ibans(text)]
     out.sort(key=lambda s: (s[1], KINDS.index(s[0])))
     scored = [(*s, _score(s[0], text, s[1], s[2])) for s in out]
     return [s for s in scored if s[0] in BASE or s[3] >= NEEDED]

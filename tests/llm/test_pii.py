@@ -72,3 +72,23 @@ def test_time_grows_with_the_text():
     for t in ("1" * 200_000, "1." * 100_000, "a" * 200_000, "a@" * 100_000, "+1" * 100_000, "A1" * 100_000, "1 " * 100_000):
         pii.find_spans(t)
     assert time.time() - start < 20
+
+
+def test_account_numbers_before_capitals_and_digits():
+    for number, rest in (("DE89 3704 0044 0532 0130 00", " BIC COBADEFF"), ("DE89370400440532013000", " 12.05.2024"),
+                         ("GB82WEST12345698765432", " 100 EUR"), ("GB82 WEST 1234 5698 7654 32", " I paid"),
+                         ("NO9386011117947", " 7 A 12"), ("DE89 3704 0044 0532 0130 00", " GB82 WEST 1234 5698 7654 32")):
+        for before in ("", "Pay ", "REF AB12 "):
+            text = before + number + rest
+            found = [text[a:b] for k, a, b, _ in pii.find_spans(text) if k == "iban"]
+            assert found[:1] == [number] and len(found) == 1 + rest.startswith(" GB82"), text
+            assert number not in pii.redact(text)
+    assert [s for s in pii.find_spans("DE89 3704 0044 0532 0130 01 BIC COBADEFF") if s[0] == "iban"] == []
+
+
+def test_time_grows_with_the_account_starts():
+    import time
+    start = time.time()
+    for t in ("AB12 " * 40_000, "DE89 3704 " * 20_000):
+        pii.find_spans(t)
+    assert time.time() - start < 20
