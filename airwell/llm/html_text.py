@@ -9,7 +9,8 @@ the small labelled table below, tells main text from the rest.
 
 Defined edge results: a null or empty page, and a page without main text, give
 the empty string; scripts, styles, markup comments and the head never give
-text; unclosed elements end where an enclosing element ends; repeated rows
+text; unclosed elements end where an enclosing element ends, except those
+of raw text (scripts, styles, titles, text fields, frames); repeated rows
 agree; other columns are ignored.
 """
 
@@ -33,6 +34,12 @@ FEATURES = ("words", "link_density", "words_before", "link_before", "words_after
 # Element names and name parts.
 SKIPPED = ("script", "style", "noscript", "template", "head", "svg", "math", "iframe", "object", "canvas",
            "textarea", "select", "option", "title", "button")
+RAW = ("script", "style", "textarea", "title", "iframe")   # these run to their end tag, or to the end of the page
+FOREIGN = ("svg", "math")       # elements may close themselves in these, and page elements end them, except inside HOSTS
+HOSTS = ("foreignobject", "desc", "title", "annotation-xml", "mi", "mo", "mn", "ms", "mtext")
+ENDS_FOREIGN = ("b", "big", "blockquote", "body", "br", "center", "code", "dd", "div", "dl", "dt", "em", "embed", "h1", "h2", "h3",
+                "h4", "h5", "h6", "head", "hr", "i", "img", "li", "listing", "menu", "meta", "nobr", "ol", "p", "pre", "ruby", "s",
+                "small", "span", "strong", "strike", "sub", "sup", "table", "tt", "u", "ul", "var")
 AWAY_TAGS = ("nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset")
 AWAY_NAMES = ("nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "sidebar",
               "side", "ad", "ads", "advert", "adverts", "advertisement", "banner", "promo", "sponsor", "sponsored",
@@ -100,10 +107,10 @@ LABELLED = [
 ]
 
 _NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*+)")
-_TAG_END = re.compile(r"(?:[^>\"']++|\"[^\"]{0,4096}+\"|'[^']{0,4096}+')*+>")
+_TAG_MARK = re.compile(r">|=\s*+[\"']")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
-_SKIP_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in SKIPPED}
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("head", *RAW)}
 
 
 def _place(name: str, rest: str) -> str:
@@ -122,21 +129,46 @@ def _place(name: str, rest: str) -> str:
     return found
 
 
+def _tag_end(page: str, at: int, dead: set[int]) -> int:
+    """Where a tag ends: after the first ``>`` outside of quoted values, or if
+    there is none, after the first one.  ``dead``: marks from which none was found."""
+    seen, start = [], at
+    while (m := _TAG_MARK.search(page, at)) and m.start() not in dead:
+        if m[0] == ">":
+            return m.end()
+        seen.append(m.start())
+        at = page.find(m[0][-1], m.end()) + 1
+        if at == 0:
+            break
+    dead.update(seen)
+    return page.find(">", start) + 1
+
+
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     """Flat text blocks: (text, words, words in links, named away, in article, heading)."""
     out: list = []
     stack: list[tuple[str, str]] = []
     opened: Counter = Counter()     # open elements by name, and by place
     parts: list[tuple[str, bool]] = []
+    dead: set[int] = set()
     links = 0
+    skipped = 0     # depth of the outermost open element without text
 
     def push(name: str, place: str):
         stack.append((name, place))
-        opened.update((name, f"/{place}", "/heading" if name in HEADINGS else "/"))
+        opened.update((name, f"/{place}", "/heading" if name in HEADINGS and not skipped else "/"))
 
     def pop():
+        nonlocal skipped
         name, place = stack.pop()
-        opened.subtract((name, f"/{place}", "/heading" if name in HEADINGS else "/"))
+        opened.subtract((name, f"/{place}", "/heading" if name in HEADINGS and not skipped else "/"))
+        if len(stack) < skipped:
+            skipped = 0
+
+    def close(name: str):
+        while stack[-1][0] != name:
+            pop()
+        pop()
 
     def flush():
         text = " ".join("".join(p for p, _ in parts).split())
@@ -151,7 +183,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     while at < end:
         stop = page.find("<", at)
         stop = end if stop < 0 else stop
-        if stop > at:
+        if stop > at and not skipped:
             parts.append((html.unescape(page[at:stop]), links > 0))
         if stop == end:
             break
@@ -162,41 +194,63 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             continue
         m = _NAME.match(page, stop + 1)
         if m is None:       # a bare "<" is text
-            parts.append(("<", links > 0))
+            if not skipped:
+                parts.append(("<", links > 0))
             at = stop + 1
             continue
-        tail = _TAG_END.match(page, m.end())
-        at = tail.end() if tail else page.find(">", m.end()) + 1
+        at = _tag_end(page, m.end(), dead)
         if at == 0:         # the page ends inside a tag
             break
         rest = page[m.end():at - 1]
         name, closing = m[1].lower(), page[stop + 1] == "/"
-        if name in _SKIP_END:
+        foreign = opened["svg"] > 0 or opened["math"] > 0
+        if foreign and not closing and name in ENDS_FOREIGN and not any(opened[h] > 0 for h in HOSTS):
+            while opened["svg"] > 0 or opened["math"] > 0:
+                pop()
+            foreign = False
+        if name in _RAW_END and not foreign:
             if not closing:
-                done = _SKIP_END[name].search(page, at)
+                done = _RAW_END[name].search(page, at)
                 if name != "head":
                     at = done.end() if done else end
                 elif done:
                     at = done.end()
             continue
+        if name in SKIPPED:
+            if closing:
+                if opened[name] > 0:
+                    close(name)
+            elif not ((foreign or name in FOREIGN) and rest.endswith("/")):
+                if name == "option" and stack and stack[-1][0] == name or name == "button" and opened[name] > 0:
+                    close(name)
+                push(name, "")
+                skipped = skipped or len(stack)
+            continue
         if name in INLINE:
+            if skipped:
+                continue
             if name == "br":
                 parts.append((" ", False))
             elif name == "a":
                 links = 0 if closing else 1
             continue
-        flush()
-        links = 0
+        if skipped and closing and opened[name] > 0:
+            while skipped and stack[-1][0] != name:
+                pop()
+            if skipped:
+                pop()
+                continue
+        if not skipped:
+            flush()
+            links = 0
         if closing:
             if opened[name] > 0:
-                while stack[-1][0] != name:
-                    pop()
-                pop()
+                close(name)
         elif name not in VOID and not rest.rstrip().endswith("/"):
             if name in REPEATED or name in HEADINGS:    # these end the paragraph, heading or item before them
                 while stack and (stack[-1][0] in ("p", *HEADINGS) or (stack[-1][0] == name and name in REPEATED)):
                     pop()
-            push(name, _place(name, rest))
+            push(name, "" if skipped else _place(name, rest))
     flush()
     return out
 

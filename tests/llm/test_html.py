@@ -57,3 +57,25 @@ def test_time_grows_with_the_page():
                  "<div><p>x" * 20_000, "&amp" * 50_000, "</p>" * 50_000):
         html_text.blocks(page)
     assert time.time() - start < 20
+
+
+def test_text_after_elements_without_end_tag():
+    tree = html_text.fit()
+    two = "<p>One.</p>{}<p>Two.</p></article>"
+    for part in ('<svg class="i"/>', "<math/>", '<svg viewBox="0"><path d="x"/><title/></svg>', "<svg><path d='x'>", "<div><button>Menu</div>",
+                 "<div><select><option>a<option>b</select></div>", "<div><select><option>a<option>b</div>", "<div><object data='x'>no</div>",
+                 "<div><canvas>no</div>", "<div><button>a<button>b</button></div>", "<svg><foreignObject><p>no</p></foreignObject></svg>",
+                 "<noscript><div><h2>no</h2></div></noscript>", "<template><p>no<li>no</template>", "<svg><style>p{}</style><title>no</title></svg>",
+                 '<div data-x="' + "a > b " * 2000 + '"></div>', "<img alt='" + "x>" * 5000 + "'>"):
+        assert html_text.main_text("<article>" + two.format(part), tree) == "One.\nTwo.", part[:60]
+        assert html_text.main_text("<article>" + two.format(part) + "<svg><p>x</p></svg>", tree).startswith("One.\nTwo."), part[:60]
+    assert [b[0] for b in html_text.blocks("<p>One <svg/>and <button><div>no</div></button>two</p>")] == ["One and two"]
+    assert [b[0] for b in html_text.blocks("<p class=x'>One.</p><p>It's two.</p><p>He's three.</p>")] == ["One.", "It's two.", "He's three."]
+
+
+def test_time_grows_with_unclosed_elements_and_values():
+    start = time.time()
+    for page in ("<button>" * 50_000, "<svg>" * 50_000 + "</p>" * 50_000, "<option>" * 50_000, "<svg><title>" * 30_000, '<a b=">" ' * 30_000,
+                 "<a b='>c=\"" * 40_000, "<a" + " =" * 100_000, "<object><p>" * 30_000 + "</div>", "<svg><p>" * 30_000):
+        html_text.blocks(page)
+    assert time.time() - start < 20
