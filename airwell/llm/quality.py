@@ -71,7 +71,9 @@ def _repeat_words(t: DataFrame) -> DataFrame:
 
     A window becomes one long: the high bits of its hash over the bits of its
     position (as many as the row needs), so one primitive sort brings equal
-    windows together with their places.
+    windows together with their places.  The words of neighbours with equal hash
+    bits are compared; where they differ, the windows found in the row are
+    ordered by their words instead.
     """
     bits = F.ceil(F.log2(F.col("n_words") + F.lit(2))).cast("int")
     t = t.withColumn("k", bits)
@@ -87,10 +89,16 @@ def _repeat_words(t: DataFrame) -> DataFrame:
     t = t.withColumn("e", F.when(F.size("s") >= 2, same).otherwise(F.array().cast("array<int>")))
     t = t.withColumn("p", F.expr(
         "sort_array(transform(array_union(e, transform(e, x -> x + 1)), x -> s[x] & (shiftleft(1L, k) - 1L)))"))
+    place = "cast(s[x{}] & (shiftleft(1L, k) - 1L) as int)"
+    differs = " or ".join(f"w[{place.format('')} + {j}] != w[{place.format(' + 1')} + {j}]" for j in range(3))
+    by_words = F.expr("array_sort(transform(p, i -> struct(concat_ws(' ', slice(w, cast(i as int) + 1, 3)) as v, i as i)))")
+    t = t.withColumn("c", F.when(F.expr(f"exists(e, x -> {differs})"), by_words))
+    t = t.withColumn("p", F.when(F.col("c").isNull(), F.col("p")).otherwise(F.expr(
+        "sort_array(transform(filter(c, (x, j) -> (j > 0 and get(c, j - 1).v = x.v) or (get(c, j + 1).v <=> x.v)), x -> x.i))")))
     covered = F.expr("aggregate(zip_with(slice(p, 1, size(p) - 1), slice(p, 2, size(p) - 1), "
                      "(a, b) -> least(b - a, 3L)), 3L, (x, y) -> x + y)")
     return t.withColumn("n_repeat_words", F.when(F.size("p") > 0, covered).otherwise(F.lit(0)).cast("long")) \
-        .drop("k", "s", "e", "p")
+        .drop("k", "s", "e", "p", "c")
 
 
 def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:

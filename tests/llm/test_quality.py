@@ -91,3 +91,22 @@ def test_filter_keeps_columns_and_whole_rows(edge_docs, no_docs):
 def test_no_python_in_the_plan(spark, edge_docs):
     plan = quality.features(edge_docs)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "BroadcastNestedLoop"))
+
+
+def test_windows_of_equal_hash_are_compared_by_words(spark):
+    """Third words made so that two different windows have the same 64-bit hash."""
+    p1, p2, p5, top = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x27D4EB2F165667C5, 1 << 64
+    turn = lambda x, n: (x << n | x >> (64 - n)) % top
+    hashes = [r.h % top for r in spark.range(60_000).selectExpr("xxhash64(concat('a', id), 'b') as h").collect()]
+    first = (hashes[0] + p5 + 8) % top ^ turn(int.from_bytes(b"ordinary", "little") * p2 % top, 31) * p1 % top
+    made = []
+    for i, h in enumerate(hashes[1:], 1):
+        k = turn((first ^ (h + p5 + 8) % top) * pow(p1, -1, top) % top, 33) * pow(p2, -1, top) % top
+        word = k.to_bytes(8, "little")
+        if all(0x21 <= c <= 0x7E for c in word):
+            made.append(f"a{i} b {word.decode()}")
+    one, two = "a0 b ordinary", made[0]
+    texts = [f"{one} x {two} y", f"{one} x {two} y {one} z", f"{two} x {one} y {two} z {one}", f"{one} {one} {two}", one, ""]
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.n_repeat_words for r in quality.features(docs).collect()}
+    assert got == {i: brute(t)[4] for i, t in enumerate(texts)}
