@@ -1,5 +1,5 @@
 """Operators for building language-model training corpora on Spark.
 
-Ten operators, one module each; their registered queries are in ``queries``.
+Thirteen operators, one module each; their registered queries are in ``queries``.
 Nothing outside this package imports it.
 """

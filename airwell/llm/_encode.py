@@ -12,6 +12,13 @@ The cut depends on the tokenizer's own description:
 * a split pattern that matches no white space and removes the rest: at white
   space; text is lower-cased first where the normaliser would do the same;
 * anything else: not at all.
+
+Merges in ascending rank are also what tiktoken does, without objects per token.
+It is used where it is proved to give the library's ids: ids ascend in merge
+order and every token of the vocabulary merges to itself (``_in_rank_order``).
+Then a merge that joins two neighbours to a token's bytes is that token's own
+merge: nothing has crossed the token's edges before, so its bytes were merged as
+they are alone.  Everything outside that proof goes through the library.
 """
 
 from __future__ import annotations
@@ -35,6 +42,12 @@ _WHITE_RUN = re.compile(r"[ \n](?:\s|\Z)|\x01")
 _WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _OTHER_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x01"
 _ODD_WHITE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+# fixed value: the pre-splitting pattern of byte-level vocabularies
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# blocks whose characters' classes are the same in all recent versions of Unicode
+_STABLE = re.compile("[\x00-\u07ff\u1e00-\u20bf\u2100-\u214f\u2190-\u27bf]*")
+_LONG_WHITE = re.compile(r"\s{1000}")
+_WORD_END = "\x01"          # stands for the end-of-word suffix in the ranks of words
 _TOKEN_ID = attrgetter("id")
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -57,6 +70,85 @@ def encoder(path: str, table_pieces: int = TABLE_PIECES, group_chars: int = GROU
     return found
 
 
+def rank_encoder(path: str, literal: bool = False) -> "RankEncoder":
+    """The worker's whole-text encoder of a byte-level file, made once; ``literal``
+    reads the strings of special tokens as plain text."""
+    key = f"{path} {literal}"
+    if key not in _ENCODERS:
+        _ENCODERS[key] = RankEncoder(path, literal)
+    return _ENCODERS[key]
+
+
+def _in_rank_order(merges: list, vocab: dict[str, int], alone=None) -> bool:
+    """Whether ids ascend in merge order and every merged token merges to itself
+    (``alone`` tells it for a token where the library can; else merges are followed here)."""
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
+    ids = [vocab[a + b] for a, b in pairs]
+    if any(x >= y for x, y in zip(ids, ids[1:])) or len(set(pairs)) < len(pairs):
+        return False
+    if alone:
+        return all(alone(a + b) == [i] for (a, b), i in zip(pairs, ids))
+    rank, whole = {p: i for i, p in enumerate(pairs)}, {}
+    for a, b in pairs:
+        whole[a + b] = whole[a] + whole[b] if a in whole and b in whole else whole.get(a, (a,)) + whole.get(b, (b,))
+    none = len(pairs)
+    for token, symbols in whole.items():
+        parts = list(symbols)
+        while len(parts) > 1:
+            found = [rank.get(p, none) for p in zip(parts, parts[1:])]
+            best = min(found)
+            if best == none:
+                return False
+            at = found.index(best)
+            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+    return True
+
+
+class RankEncoder:
+    """Whole texts through tiktoken where that is proved equal, else through the library.
+
+    Texts with characters of blocks that are still being filled (their class may
+    differ between versions of Unicode), with very long runs of white space, or
+    with a special token's string (unless ``literal``) go to the library."""
+
+    def __init__(self, path: str, literal: bool = False):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        if literal:
+            self.library.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        model, pre = told["model"], told.get("pre_tokenizer") or {}
+        added = [t["content"] for t in told.get("added_tokens", [])]
+        self.special = [] if literal else added
+        number = {s: b for b, s in enumerate(byte_symbols())}
+        self.bytes = {i: bytes(number[c] for c in t) for t, i in model["vocab"].items()
+                      if t not in added and all(c in number for c in t)}
+        self.core = None
+        plain = all(model.get(k) in (None, False, "") for k in (
+            "dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback"))
+        if plain and told.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") \
+                and not pre.get("add_prefix_space") and {bytes([b]) for b in range(256)} <= set(self.bytes.values()) \
+                and _in_rank_order(model["merges"], model["vocab"], lambda t: [x.id for x in self.library.model.tokenize(t)]):
+            import tiktoken
+            self.core = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL, special_tokens={},
+                                          mergeable_ranks={b: i for i, b in self.bytes.items()})
+
+    def ids(self, text: str) -> list[int]:
+        if self.core is None or not (text.isascii() or _STABLE.fullmatch(text)) or _LONG_WHITE.search(text) \
+                or any(s in text for s in self.special):
+            return self.library.encode(text, add_special_tokens=False).ids
+        return self.core.encode_ordinary(text)
+
+    def encode(self, texts):
+        """The ids of each text (None: empty), as arrays of little-endian 32-bit numbers."""
+        for t in texts:
+            yield np.array(self.ids(t) if t else [], dtype="<u4")
+
+
 def _odd(text: str) -> bool:
     """Whether a text has other white space than single spaces and line feeds inside it."""
     if not text.isascii():
@@ -106,9 +198,30 @@ class Encoder:
         self.symbols = {b: s for b, s in enumerate(byte_symbols())}
         special = [t for t in told.get("added_tokens", [])
                    if t["special"] and not (t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"])]
+        self.ranks = self._word_ranks(told["model"]) if self.kind == "white" else None
         self.separator = (special[0]["content"], special[0]["id"]) if special and self.kind else None
         self._empty()
 
+    def _word_ranks(self, model: dict):
+        """tiktoken over whole words, each closed by a byte for the suffix, if that is proved equal."""
+        suffix, vocab = model.get("end_of_word_suffix"), model["vocab"]
+        number = {s: bytes([b]) for b, s in self.symbols.items()}
+        if not suffix or any(model.get(k) not in (None, False, "") for k in (
+                "dropout", "unk_token", "continuing_subword_prefix", "ignore_merges", "byte_fallback")):
+            return None
+        first = max((vocab.get(s + suffix, 1 << 40) for s in number), default=0)
+        merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        if first >= min(merged, default=0) or not _in_rank_order(model["merges"], vocab):
+            return None
+        ranks, self.final = {}, np.zeros(max(vocab.values()) + 1, dtype=bool)
+        for t, i in vocab.items():
+            body, end = (t[:-len(suffix)], _WORD_END) if t.endswith(suffix) else (t, "")
+            if all(c in number for c in body) and b"\x01" not in (b := b"".join(number[c] for c in body)):
+                ranks[b + end.encode()] = i
+                self.final[i] = bool(end)
+        import tiktoken
+        return tiktoken.Encoding("words", pat_str=r"[^\x01]+\x01", special_tokens={}, mergeable_ranks=ranks)
+
     # -- the table of encoded pieces: a number per piece, ids in one array --
 
     def _empty(self) -> None:
@@ -148,7 +261,11 @@ class Encoder:
         missing = list((set(missing).difference(both) | need).difference(self.number))
         # single words go to the library's model at once, the rest through its whole chain
         words = self._one_word(missing)
-        if words:
+        if words and self.ranks:
+            ids = np.array(self.ranks.encode_ordinary(_WORD_END.join(words) + _WORD_END), dtype="<u4")
+            self._add(words, ids, np.flatnonzero(self.final[ids]) + 1)
+            missing = list(set(missing).difference(words))
+        elif words:
             tokenize, space, ends, ids = self.model.tokenize, self.symbols[32], [], []
             for w in words:
                 if not w.isascii():

@@ -96,7 +96,7 @@ def _emails(text: str):
 
 
 def _valid_ip(s: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split("."))
+    return all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in s.split(".")))
 
 
 def _valid_card(s: str) -> bool:

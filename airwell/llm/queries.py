@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from airwell.llm import (bpe, embed_dedup, html_text, langid, minhash, packing, pii, quality, sharding,
-                         token_orc)
+from airwell.llm import (align, bin_slack, bpe, embed_dedup, hard_negatives, html_text, langid, minhash, packing, pii,
+                         quality, sharding, token_orc)
 from airwell.llm._common import read_table
 
 # production parameters: the public tokenizer files, read on the workers
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -102,6 +103,26 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
 
 
+@_query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens by two tokenizers, cut into groups at their common ends."""
+    return align.align(read_table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), tokenizer_path(PIECE_BPE))
+
+
+@_query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; labels of every seventh one are moved on first."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), lambda vec_id: vec_id % 100 == 0)
+
+
+@_query
+def op13_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces, packed into full sequences of 2048 tokens."""
+    return bin_slack.pack(read_table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -47,6 +47,26 @@ def test_odd_texts():
         assert [s[:3] for s in pii.find_spans(t) if s[0] in pii.BASE] == brute(t), t
 
 
+def test_runs_of_thousands_of_digits():
+    n = 5000
+    runs = ["0" * n, "1" * n, "9" * n]
+    texts = [f"{r}.1.1.1 1.{r}.1.1 a@{r}.com {r}@b.co +{r} +1 {r} {r} {'4-' * n}4 DE{r} {'12 ' * n}" for r in runs]
+    texts += ["0" * n + "1.0.0." + "0" * n + "255", "0" * n + "256.1.1.1", ("0" * n + ".") * 3 + "0" * n]
+    for t in texts:
+        # the brute force reads a part as a number once its zeros are gone
+        short = [(k, m.start(), m.end()) for k, p in PATTERNS.items() for m in re.finditer(p, t)
+                 if (all(len(x.lstrip("0")) < 4 and int(x.lstrip("0") or "0") < 256 for x in m.group().split(".")) if k == "ip"
+                     else valid(k, m.group()))]
+        short.sort(key=lambda s: (s[1], list(PATTERNS).index(s[0])))
+        assert [s[:3] for s in pii.find_spans(t) if s[0] in pii.BASE] == short
+
+
+def test_a_long_run_of_zeros_does_not_end_the_job(spark):
+    docs = spark.createDataFrame([(1, "0" * 5000 + ".1.1.1"), (2, "see 10.0.0.1")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.redact_documents(docs).collect()}
+    assert got == {1: "<IP>", 2: "see <IP>"}
+
+
 def test_checksums_and_context():
     kinds = lambda t: [s[0] for s in pii.find_spans(t) if s[0] not in pii.BASE]
     assert kinds("Pay to DE89 3704 0044 0532 0130 00 today") == ["iban"]
