@@ -23,34 +23,40 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from airwell.llm._common import map_arrow, new_work_path, values_of
-from airwell.llm._encode import encoder
+from airwell.llm._encode import encoder, rank_encoder
 
 END_ID = 0
 STRIPE_BYTES = 16 << 20
 ROW_INDEX_STRIDE = 1000
 BLOOM_FPP = 0.01
-TABLE_PIECES = 900_000      # of a worker's table of encoded pieces (about 200 bytes each)
-GROUP_CHARS = 24 << 20      # of texts encoded together
+BATCH_IDS = 1 << 20     # ids handed to the writer at a time
 
 
 def _encode_sorted(path: str):
+    """Rows of a sorted partition with their ids, a bounded number of ids at a time."""
+    def rows_of(doc_ids, data, start):
+        n = np.array([len(d) + 1 for d in data[::2]], dtype=np.int64)
+        ends = np.cumsum(n)
+        ids = np.concatenate(data).view(np.int32)
+        offsets = np.concatenate([[0], ends]).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [doc_ids, pa.array(start + ends - n), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))],
+            names=["doc_id", "start", "n_tokens", "ids"]), start + int(ends[-1])
+
     def run(batches):
-        start = 0
-        end = np.array([END_ID], dtype="<u4")
+        start, end = 0, np.array([END_ID], dtype="<u4")
+        encode = rank_encoder(path)
+        if encode.core is None:
+            encode = encoder(path)
         for batch in batches:
-            texts = values_of(batch.column(1))
-            data = [part for d in encoder(path, TABLE_PIECES, GROUP_CHARS).encode(texts) for part in (d, end)]
-            if not data:
-                continue
-            n = np.array([len(d) + 1 for d in data[::2]], dtype=np.int64)
-            ends = np.cumsum(n)
-            ids = np.concatenate(data).view(np.int32)
-            offsets = np.concatenate([[0], ends]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(start + ends - n), pa.array(n),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))],
-                names=["doc_id", "start", "n_tokens", "ids"])
-            start += int(ends[-1])
+            first, data, held = 0, [], 0
+            for i, ids in enumerate(encode.encode(values_of(batch.column(1), 32))):
+                data += [ids, end]
+                held += len(ids) + 1
+                if held >= BATCH_IDS or i + 1 == batch.num_rows:
+                    rows, start = rows_of(batch.column(0).slice(first, i + 1 - first), data, start)
+                    yield rows
+                    first, data, held = i + 1, [], 0
     return run
 
 
