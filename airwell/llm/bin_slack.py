@@ -42,6 +42,7 @@ from airwell.llm._encode import encoder
 CAPACITY = 2048
 END_ID = 1
 FLUSH_BYTES = 8 << 20       # ids handed on at a time
+SMALL_TAPE = 200_000        # rests on the tape (some 50 bytes each without ids) up to which they are sent to the ids
 
 
 def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
@@ -208,8 +209,10 @@ def assign(rows: DataFrame, capacity: int = CAPACITY, with_ids: bool = False) ->
     ids = rows.filter(F.col("length") < capacity).select(F.col("piece").alias("__piece"), "ids")
     if with_ids:
         whole = whole.join(ids, F.col("piece") == F.col("__piece"))
-    cut = placed.filter("on_tape").select("piece", "doc_id", "start", "doc_tokens", "offset") \
-        .join(ids, F.col("piece") == F.col("__piece")).select("doc_id", "start", "doc_tokens", "offset", "ids")
+    on_tape = placed.filter("on_tape").select("piece", "doc_id", "start", "doc_tokens", "offset")
+    if int((np.diff(table[:, 0], append=sum(counts.values())) * table[:, 5]).sum()) <= SMALL_TAPE:
+        on_tape = F.broadcast(on_tape)      # the plan tells the number of rows; more are joined by a shuffle
+    cut = ids.join(on_tape, F.col("piece") == F.col("__piece")).select("doc_id", "start", "doc_tokens", "offset", "ids")
     id_type = rows.schema["doc_id"].dataType.simpleString()
     cut = map_arrow(cut, _cut_tape(capacity, windows, tape, with_ids),
                     f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from airwell.llm import bin_slack
 from airwell.llm.queries import WORD_BPE, op13_min_slack_packing, tokenizer_path
@@ -112,7 +113,9 @@ def test_plan_does_not_grow_with_the_rows():
     assert large < 3 * small + 2048
 
 
-def test_slack_is_cut_and_the_end_is_powers_of_two(spark):
+@pytest.mark.parametrize("small", [bin_slack.SMALL_TAPE, 0])
+def test_slack_is_cut_and_the_end_is_powers_of_two(spark, monkeypatch, small):
+    monkeypatch.setattr(bin_slack, "SMALL_TAPE", small)
     # five rests of 5 in windows of 8: no multiset fills one, so all lie on the tape
     docs = spark.createDataFrame([(i, "a b c d") for i in range(5)], "doc_id long, text string")
     rows = bin_slack.pack(docs, tokenizer_path(WORD_BPE), capacity=8).collect()
