@@ -1,21 +1,15 @@
-"""Model training / scoring queries (M3, M6, M9-M11, W4).  Tree learners of
-two engines differ, so these are compared by rows and quality bands, not by
-values: no oracle SQL."""
+"""Classifier queries (M3, M5, M6, M9).  Tree learners of two engines differ, so
+these are compared by rows and quality bands, not by values: no oracle SQL.
+The forecast (M10, M11) is in ``queries_forest``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airwell.operators import features as W
 from airwell.operators import filters as FL
-from airwell.operators import metrics as M
 from airwell.operators import ml as ML
-from airwell.operators.asof import latest_per_key
-from airwell.operators.spatial import valley_for_points
-from airwell.plans import flagship as FS
 from airwell.plans.catalog import register
-from airwell.session import materialize, new_work_path
 from airwell.sources import tables as T
 
 CLASSIFIER_COLS = ["age", "bmi", "gender", "current_smoker", "family_history_asthma", "eczema", "hay_fever"]
@@ -45,75 +39,3 @@ def gbt_score(spark: SparkSession, sf: str) -> DataFrame:
     model = ML.train_classifier(train, CLASSIFIER_COLS, "label", "gbt", num_trees=100, max_depth=6,
                                 weight_col="weight")
     return ML.score(model, test, ["user_id", "label"])
-
-
-# ---------------------------------------------------------------- forecast
-SELECTED_POLLEN = "birch_pollen"
-WEATHER = ["temperature_2m", "precipitation"]
-
-
-def daily_features(spark: SparkSession, sf: str, pollen: str = SELECTED_POLLEN) -> DataFrame:
-    """Daily series per site with the valley, gap-filled pollen (W2), lags
-    (W1) and weather features (W3); rows with gaps dropped (F1)."""
-    from airwell.plans.queries import daily_cover
-    d = daily_cover(spark, sf)
-    d = W.interpolate_fill(d, "municipality_id", "date", pollen)
-    d = W.lags(d, "municipality_id", "date", pollen, 3)
-    sites = T.sites(spark, sf).select("municipality_id", "valley_id")
-    # written once to the shared folder: every per-valley fit and prediction
-    # reads this table instead of re-deriving it from the readings
-    return materialize(d.join(sites, "municipality_id"), "daily-features")
-
-
-def lag_cols(pollen: str) -> list[str]:
-    return [f"{pollen}_lag_{i}" for i in (1, 2, 3)]
-
-
-@register("forecast_valley")
-def forecast_valley(spark: SparkSession, sf: str) -> DataFrame:
-    """One forest per valley for the selected pollen, trained on an
-    80/20 split by (site, date) hash; held-out RMSE / MAE / R^2 per valley."""
-    feats = daily_features(spark, sf).withColumn("_k", F.concat_ws("|", "municipality_id", "date"))
-    train, test = FL.hash_split(feats, "_k", [0.8, 0.2])
-    cols = lag_cols(SELECTED_POLLEN) + W.feature_columns(feats.columns)
-    valleys = [r[0] for r in train.select("valley_id").distinct().collect()]
-    path = new_work_path(spark, "models")
-    fitted = ML.train_forests(train, [(v,) for v in valleys], ["valley_id"], lambda g: SELECTED_POLLEN,
-                              lambda g: cols, path)
-    preds = None
-    from pyspark.ml.feature import VectorAssembler
-    for v, mpath, n, model in fitted:
-        if model is None:
-            continue
-        t = VectorAssembler(inputCols=cols, outputCol="features").transform(
-            test.where(F.col("valley_id") == v).select("valley_id", *cols, SELECTED_POLLEN).na.drop())
-        p = model.transform(t).select("valley_id", SELECTED_POLLEN, "prediction")
-        preds = p if preds is None else preds.unionByName(p)
-    return M.regression_metrics(preds, SELECTED_POLLEN, "prediction", ["valley_id"])
-
-
-@register("forecast_two_step")
-def forecast_two_step(spark: SparkSession, sf: str) -> DataFrame:
-    """M11 + W4: each site's newest complete day (F7) -> its valley's model
-    (valley by site registry) -> today's prediction -> lags shifted (D9) ->
-    tomorrow's prediction."""
-    feats = daily_features(spark, sf)
-    cols = lag_cols(SELECTED_POLLEN) + W.feature_columns(feats.columns)
-    full = feats.na.drop(subset=cols + [SELECTED_POLLEN])
-    valleys = [r[0] for r in full.select("valley_id").distinct().collect()]
-    path = new_work_path(spark, "models")
-    fitted = ML.train_forests(full, [(v,) for v in valleys], ["valley_id"], lambda g: SELECTED_POLLEN,
-                              lambda g: cols, path)
-    today = latest_per_key(full.select("municipality_id", "valley_id", "date", *cols), ["municipality_id"], ["date"])
-    from pyspark.ml.feature import VectorAssembler
-    out = None
-    for v, mpath, n, model in fitted:
-        if model is None:
-            continue
-        va = VectorAssembler(inputCols=cols, outputCol="features")
-        t = model.transform(va.transform(today.where(F.col("valley_id") == v))).withColumnRenamed("prediction", "today")
-        t2 = t.drop("features").withColumns(W.shift_lags(lag_cols(SELECTED_POLLEN), F.col("today")))
-        t2 = model.transform(va.transform(t2)).withColumnRenamed("prediction", "tomorrow")
-        r = t2.select("municipality_id", "valley_id", "date", "today", "tomorrow")
-        out = r if out is None else out.unionByName(r)
-    return out
