@@ -267,17 +267,17 @@ def _mixed_pairs(rows: DataFrame, buckets: DataFrame, marks: DataFrame, percent:
     threshold, if they share ``common`` bands and if ``alike`` coordinates of
     their signatures agree; a pair that meets in several
     buckets is taken in the first.  A bucket with more than MINOR such members is replaced by its sub-buckets by
-    one more band, twice at most; what is still wide after that is compared
-    whole, so no pair is lost."""
+    one more band until those have the ``common`` bands that a pair must share: every pair meets in one of
+    them, so splitting loses none, and they are compared whole."""
     keys = buckets.groupBy(F.col("id").alias("__id")).agg(F.array_sort(F.collect_set("key")).alias("keys"))
     # rows that share an id are one document: what any of them shows counts
     marks = marks.join(rows.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi") \
         .groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("marks"))).alias("marks"))
     keys = materialize(keys.join(marks, F.col("__id") == F.col("doc_id")).drop("doc_id"), "minhash-marks")
     out = None
-    for level in range(3):
+    for level in range(common):
         rows = materialize(_mixed(rows), "minhash-mixed")
-        small = rows if level == 2 else rows.filter(F.col("minor") <= MINOR)
+        small = rows if level + 1 == common else rows.filter(F.col("minor") <= MINOR)
         small = small.join(keys, F.col("id") == F.col("__id")).drop("__id")
         x = small.filter(F.col("component") != F.col("major")).select(
             "key", "used", F.col("id").alias("a"), F.col("n").alias("na"), F.col("own").alias("oa"),
@@ -294,7 +294,7 @@ def _mixed_pairs(rows: DataFrame, buckets: DataFrame, marks: DataFrame, percent:
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         out = pairs if out is None else out.union(pairs)
         wide = rows.filter(F.col("minor") > MINOR)
-        if level == 2 or wide.isEmpty():
+        if level + 1 == common or wide.isEmpty():
             break
         more = buckets.select(F.col("id").alias("__id"), F.col("key").alias("band"))
         rows = wide.join(more, wide["id"] == more["__id"]).filter(~F.array_contains("used", F.col("band"))) \

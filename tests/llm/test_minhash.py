@@ -104,3 +104,19 @@ def test_components_of_long_chains_and_hubs(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(201)} == {0} and {got[1000 + i] for i in range(300)} == {1000}
     assert got[5000] == got[4999] == 4999 and len(got) == 201 + 300 + 2
+
+
+@pytest.mark.parametrize("minor", [1000, 4, 2])
+@pytest.mark.parametrize("bands", [2, 3, 5])
+def test_wide_buckets_lose_no_pair(spark, monkeypatch, minor, bands):
+    """Hand-made: twelve documents of as many components that share exactly ``bands`` bands meet in all pairs, however wide
+    a bucket may be before it is split; documents that share one band never do."""
+    monkeypatch.setattr(minhash, "MINOR", minor)
+    ids = list(range(12))
+    shared, marks = [(k, i) for k in range(bands) for i in ids], [(i, [1, 2, 3, 4]) for i in ids]
+    shared += [(90, i) for i in (0, 20, 21, 22, 23)] + [(100 + i, i) for i in ids]      # one common band, or a band of one's own
+    marks += [(i, [1, 2, 3, 4]) for i in range(20, 24)]
+    buckets = spark.createDataFrame(shared, "key long, id long")
+    rows = buckets.selectExpr("array(key) as used", "id", "10 as n", "id as component", "0L as own")
+    got = minhash._mixed_pairs(rows, buckets, spark.createDataFrame(marks, "doc_id long, marks array<int>"), 80, 2, 3).collect()
+    assert sorted((r.a, r.b) for r in got) == [(i, j) for i in ids for j in ids if i < j]

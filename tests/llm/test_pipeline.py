@@ -25,8 +25,8 @@ def test_stages_against_brute_force(spark, tmp_path):
             assert {r.doc_id: r.text for r in after}.items() <= {r.doc_id: r.text for r in before}.items()
         elif name == "language":
             told = {r.doc_id: r for r in langid.predict(docs, langid.fit(docs)).collect()}
-            assert {r.doc_id for r in after} == {i for i, r in told.items() if r.lang_pred != "und" and not (
-                r.ambiguous and r.score < langid.MIN_SCORE)}
+            assert {r.doc_id for r in after} == {i for i, r in told.items() if r.lang_pred != "und" and not r.ambiguous}
+            assert len(after) >= 0.98 * len(before)
         elif name == "dedup":
             comp = brute([(r.doc_id, r.text) for r in before], 80)
             assert {r.doc_id for r in after} == {i for i, c in comp.items() if i == c}
