@@ -7,6 +7,13 @@ itself a menu, header, footer, sidebar, notice, advert, form or comment list;
 inside an article or main element; a heading).  A decision tree, grown here on
 the small labelled table below, tells main text from the rest.
 
+Names are whole words of a class, id or role at its first or last place
+(``site-footer``, ``ad-box``); words that tell a state of the page
+(``has-sidebar``, ``header-fixed``) name nothing.  ``html`` and ``body`` name
+nothing either, and an article or main element inside a wrapper counts more than
+the wrapper's layout name (a comment list or a box of related pages stays one).
+A ``header`` inside an article is the article's own.
+
 Defined edge results: a null or empty page, and a page without main text, give
 the empty string; scripts, styles, markup comments and the head never give
 text; unclosed elements end where an enclosing element ends, except those
@@ -27,7 +34,7 @@ from pyspark.sql import functions as F
 
 from airwell.llm._common import map_arrow, values_of
 
-MAX_DEPTH = 6
+MAX_DEPTH = 8
 FEATURES = ("words", "link_density", "words_before", "link_before", "words_after", "link_after",
             "sentence", "named_away", "in_article", "heading")
 
@@ -47,6 +54,12 @@ AWAY_NAMES = ("nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs"
               "signup", "search", "share", "social", "related", "recommended", "comment", "comments", "disqus", "reply",
               "replies", "respond", "widget", "pagination", "pager", "copyright", "toolbar", "skip", "form")
 AWAY_ROLES = ("navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "dialog", "alert")
+# names of boxes that stay away even where they hold article elements; the others may be the page's layout
+BOX_NAMES = ("related", "recommended", "comment", "comments", "disqus", "reply", "replies", "respond", "newsletter", "popup", "modal",
+             "cookie", "cookies", "consent", "widget", "ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored")
+STATE_STARTS = ("no", "has", "with", "without", "is", "not", "js", "layout", "page", "theme", "template", "show", "hide", "hidden", "enable")
+STATE_ENDS = ("fixed", "sticky", "open", "opened", "closed", "collapsed", "active", "enabled", "disabled", "hidden", "visible", "transparent",
+              "offset", "padding", "page", "layout", "above", "below", "on", "off", "loaded")
 ARTICLE_TAGS = ("article", "main")
 ARTICLE_NAMES = ("article", "content", "main", "post", "entry", "story", "body")
 INLINE = ("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i",
@@ -96,7 +109,7 @@ LABELLED = [
      ('<p>Then came the motor.</p>', 1),
      ('<p>Today the stairs are empty, and a small machine turns the light on at dusk and off at dawn without any help at all.</p>', 1),
      ('<p><a href="/3">All stories from the coast and the sea in one place</a></p>', 0), ('<p>Print this</p>', 0)],
-    [('<article><h1>Snow</h1>', 1), ('<p>It snowed.</p>', 1), ('<p><a href="/4">The whole report on the snow in the north</a></p>', 1),
+    [('<article><h1>Snow</h1>', 1), ('<p>It snowed.</p>', 1), ('<h2>In the north</h2>', 1), ('<p><a href="/4">The whole report on the snow in the north</a></p>', 1),
      ('<p>It snowed again.</p></article>', 1)],
     [('<p>A single paragraph may be a whole page, when its writer had nothing else to say and no wish to sell anything.</p>', 1)],
     [('<p>the writer of this page knew no full stops and no capital letters but went on from word to word and from line to line '
@@ -104,6 +117,27 @@ LABELLED = [
     [('plain words without any tags around them were the whole of this page for as long as the server could be reached', 1)],
     [('<div><a href="/5">All pages</a></div>', 0), ('<article><p>Wind</p></article>', 1)],
     [('<article><p>Sun</p></article>', 1), ('<div>Page 5</div>', 0)],
+    # layouts without names: what stands next to lists of links is not main text
+    [('<div><p>Most read</p>', 0), ('<p><a href="/1">How the mill was saved by its neighbours</a></p>', 0),
+     ('<p><a href="/2">Twelve boats and one storm in the bay</a></p></div>', 0),
+     ('<div><h1>The mill by the river</h1>', 1), ('<p>The mill has ground the corn of three villages since the bridge was built, and nobody '
+      'remembers a year in which its wheel stood still for longer than a week.</p>', 1), ('<p>Until now.</p>', 1),
+     ('<p>In the spring the river changed its bed after a long rain, and the wheel hangs above dry stones while the miller waits for help '
+      'from the county.</p></div>', 1),
+     ('<div><p>More stories</p>', 0), ('<p><a href="/3">A bridge for the people on the other side</a></p>', 0),
+     ('<p><a href="/4">The last baker of the upper valley</a></p></div>', 0), ('<div><p>Contact</p>', 0), ('<p><a href="/5">Imprint of this page</a></p></div>', 0)],
+    [('<div><a href="/">Start</a></div>', 0), ('<div>Our shop</div>', 0), ('<div><a href="/s">All offers of the week</a></div>', 0),
+     ('<div><p>The winter came early in that year, and the children walked to the school on paths that the men had cut through the snow '
+      'in the night before.</p>', 1), ('<p>It was quiet.</p>', 1),
+     ('<p>Only the dogs were heard from farm to farm, and sometimes the bell of the sledge that brought the letters from the town below.</p></div>', 1),
+     ('<div>Top of the page</div>', 0), ('<div><a href="#top">Back to the top of it</a></div>', 0)],
+    # a title outside of the article, and what an article's own header holds
+    [('<h1>Two wells and a garden</h1>', 1), ('<article><header><h2>Water</h2></header>', 1),
+     ('<p>Both wells are older than the house, and both were dug by hand in a summer without rain by the sisters who lived here.</p></article>', 1),
+     ('<div><p><a href="/6">Other gardens of the region</a></p></div>', 0)],
+    [('<div class="has-sidebar"><div class="content"><h1>Bells</h1>', 1), ('<p>There are four.</p>', 1),
+     ('<p>Three of them came from the old church across the river, which was given up after the flood.</p></div>', 1),
+     ('<div class="sidebar"><p>All bells of the land on a map that you can order here for little money and good friends.</p></div></div>', 0)],
 ]
 
 _NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*+)")
@@ -113,19 +147,31 @@ _PART = re.compile(r"[a-z]+")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("head", *RAW)}
 
 
-def _place(name: str, rest: str) -> str:
-    """'away', 'article' or '' for an opening tag."""
-    if name in AWAY_TAGS:
+def _place(name: str, rest: str, in_article: bool = False) -> str:
+    """'away' (a box whatever it holds), 'layout' (away unless an article is inside), 'article' or '' for an opening tag."""
+    if name in ("html", "body"):
+        return ""
+    if name in AWAY_TAGS and not (name == "header" and in_article):
         return "away"
-    if name in ARTICLE_TAGS:
-        return "article"
-    found = ""
+    found = "article" if name in ARTICLE_TAGS else ""
     for key, *values in _ATTRIBUTE.findall(rest) if rest else ():
-        parts = _PART.findall("".join(values).lower())
-        if any(p in AWAY_ROLES for p in parts) if key.lower() == "role" else any(p in AWAY_NAMES for p in parts):
-            return "away"
-        if any(p in ARTICLE_NAMES for p in parts):
-            found = "article"
+        for token in "".join(values).lower().split():
+            words = _PART.findall(token)
+            if key.lower() == "role":
+                if token in AWAY_ROLES:
+                    return "away"
+                continue
+            if not words or words[0] in STATE_STARTS and len(words) > 1 or words[-1] in STATE_ENDS:
+                continue
+            if words[0] in ARTICLE_NAMES and words[-1] in ("header", "title", "heading"):
+                continue
+            own = [w for w in (words[0], words[-1]) if w in AWAY_NAMES]
+            if any(w in BOX_NAMES for w in own):
+                return "away"
+            if own and found != "article":
+                found = "layout"
+            elif not found and any(w in ARTICLE_NAMES for w in words):
+                found = "article"
     return found
 
 
@@ -153,14 +199,19 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     dead: set[int] = set()
     links = 0
     skipped = 0     # depth of the outermost open element without text
+    outer: list[int] = []       # layout names that are open outside of each open article or main element
 
     def push(name: str, place: str):
         stack.append((name, place))
+        if name in ARTICLE_TAGS:
+            outer.append(opened["/layout"])
         opened.update((name, f"/{place}", "/heading" if name in HEADINGS and not skipped else "/"))
 
     def pop():
         nonlocal skipped
         name, place = stack.pop()
+        if name in ARTICLE_TAGS:
+            outer.pop()
         opened.subtract((name, f"/{place}", "/heading" if name in HEADINGS and not skipped else "/"))
         if len(stack) < skipped:
             skipped = 0
@@ -175,8 +226,8 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         if text:
             linked = sum(len(p.split()) for p, in_link in parts if in_link)
             words = len(text.split())
-            out.append((text, words, min(words, linked), opened["/away"] > 0, opened["/article"] > 0,
-                        opened["/heading"] > 0))
+            away = opened["/away"] > 0 or opened["/layout"] > (outer[-1] if outer else 0)
+            out.append((text, words, min(words, linked), away, opened["/article"] > 0, opened["/heading"] > 0))
         parts.clear()
 
     at, end = 0, len(page)
@@ -250,7 +301,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             if name in REPEATED or name in HEADINGS:    # these end the paragraph, heading or item before them
                 while stack and (stack[-1][0] in ("p", *HEADINGS) or (stack[-1][0] == name and name in REPEATED)):
                     pop()
-            push(name, "" if skipped else _place(name, rest))
+            push(name, "" if skipped else _place(name, rest, opened["article"] + opened["main"] > 0))
     flush()
     return out
 

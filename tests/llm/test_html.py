@@ -25,7 +25,47 @@ def test_given_pages(spark):
 def test_tree_fits_its_table_and_uses_neighbours_features():
     x, y = html_text.labelled_rows()
     assert x.shape == (len(y), len(html_text.FEATURES))
-    assert (html_text.classify(html_text.fit(), x) == y).mean() == 1.0
+    tree = html_text.fit()
+    assert (html_text.classify(tree, x) == y).mean() == 1.0
+
+    def used(node):
+        return {html_text.FEATURES[node[0]]} | used(node[2]) | used(node[3]) if isinstance(node, tuple) else set()
+    assert used(tree) & {"link_before", "link_after"} and "named_away" in used(tree)
+
+
+TITLE = "The ferry to the islands"
+TEXT = ["The ferry crosses twice a day from spring to autumn, and in the winter only when the harbour is free of ice and the crew is well.",
+        "Nobody waits.", "Those who miss it sleep in the small house by the pier, where a lamp burns and somebody has always left bread on the table."]
+BODY = f"<h1>{TITLE}</h1>" + "".join(f"<p>{t}</p>" for t in TEXT)
+MENU = '<ul><li><a href="/a">Home</a></li><li><a href="/b">All the news</a></li><li><a href="/c">About</a></li></ul>'
+SIDE = '<p>Order the letter of the islands now and get the map of all harbours for free with it, as long as we have some.</p>'
+
+# held-out layouts: none of them is in the labelled table
+LAYOUTS = [
+    f'<body class="single has-sidebar"><nav>{MENU}</nav><article>{BODY}</article></body>',
+    f'<body><div class="content no-sidebar">{BODY}</div></body>',
+    f'<body><div id="page" class="header-fixed"><article>{BODY}</article></div></body>',
+    f'<body class="sidebar-left menu-open"><div class="site-nav">{MENU}</div><main>{BODY}</main></body>',
+    f'<html class="js no-touch nav-sticky"><body><div class="layout-with-sidebar"><main><article>{BODY}</article></main>'
+    f'<div class="sidebar">{SIDE}</div></div></body></html>',
+    f'<body><div class="sidebar-wrapper"><article>{BODY}</article></div><div class="sidebar">{SIDE}</div></body>',
+    f'<body><div class="header-page-footer"><div class="menu">{MENU}</div><article>{BODY}</article></div></body>',
+    f'<body><article><header class="entry-header"><h1>{TITLE}</h1></header>{BODY.split("</h1>")[1]}</article><footer>{SIDE}</footer></body>',
+    f'<body><h1>{TITLE}</h1><article>{BODY.split("</h1>")[1]}</article><div class="comments"><article><p>I was there in May and it was '
+    f'very good, thank you all.</p></article></div></body>',
+    f'<body><div class="main-nav">{MENU}</div><div class="post"><div class="post-title"><h1>{TITLE}</h1></div>{BODY.split("</h1>")[1]}</div>'
+    f'<div class="related-posts"><article><p>{SIDE}</p></article></div></body>',
+    f'<body>{MENU}<div>{BODY}</div>{MENU}</body>',
+    f'<body><table><tr><td>{MENU}</td></tr><tr><td>{BODY}</td></tr></table><p>Most read</p>{MENU}</body>',
+    f'<body><div class="cookie-notice">{SIDE}</div><div class="story">{BODY}</div><div class="ad-box">{SIDE}</div></body>',
+    f'<body><div class="menu-enabled"><div class="is-search-open">{BODY}</div></div><div id="search">{SIDE}</div></body>',
+]
+
+
+def test_held_out_layouts():
+    tree = html_text.fit()
+    for page in LAYOUTS:
+        assert html_text.main_text(page, tree) == "\n".join([TITLE, *TEXT]), page[:90]
 
 
 def test_parts_that_are_not_main_text():
