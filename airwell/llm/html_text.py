@@ -124,7 +124,7 @@ LABELLED = [
       'remembers a year in which its wheel stood still for longer than a week.</p>', 1), ('<p>Until now.</p>', 1),
      ('<p>In the spring the river changed its bed after a long rain, and the wheel hangs above dry stones while the miller waits for help '
       'from the county.</p></div>', 1),
-     ('<div><p>More stories</p>', 0), ('<p><a href="/3">A bridge for the people on the other side</a></p>', 0),
+     ('<div><p>More good stories from our town</p>', 0), ('<p><a href="/3">A bridge for the people on the other side</a></p>', 0),
      ('<p><a href="/4">The last baker of the upper valley</a></p></div>', 0), ('<div><p>Contact</p>', 0), ('<p><a href="/5">Imprint of this page</a></p></div>', 0)],
     [('<div><a href="/">Start</a></div>', 0), ('<div>Our shop</div>', 0), ('<div><a href="/s">All offers of the week</a></div>', 0),
      ('<div><p>The winter came early in that year, and the children walked to the school on paths that the men had cut through the snow '
