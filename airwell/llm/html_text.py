@@ -131,6 +131,12 @@ LABELLED = [
       'in the night before.</p>', 1), ('<p>It was quiet.</p>', 1),
      ('<p>Only the dogs were heard from farm to farm, and sometimes the bell of the sledge that brought the letters from the town below.</p></div>', 1),
      ('<div>Top of the page</div>', 0), ('<div><a href="#top">Back to the top of it</a></div>', 0)],
+    [('<div><h1>Salt</h1>', 1), ('<p>Salt came over the pass on mules, two sacks to an animal, and paid for the houses that still stand around '
+      'the square with their painted walls.</p>', 1), ('<h2>The trade</h2>', 1),
+     ('<p>In good years four hundred mules went up in a week, and the toll at the upper gate fed the whole valley until the railway was '
+      'built.</p></div>', 1),
+     ('<div><p>What other readers of this page liked</p>', 0), ('<p><a href="/7">The road of the iron and its seven inns</a></p>', 0),
+     ('<p>Pages that belong to the same subject</p>', 0), ('<p><a href="/8">How glass came to the islands of the lagoon</a></p></div>', 0)],
     # a title outside of the article, and what an article's own header holds
     [('<h1>Two wells and a garden</h1>', 1), ('<article><header><h2>Water</h2></header>', 1),
      ('<p>Both wells are older than the house, and both were dug by hand in a summer without rain by the sisters who lived here.</p></article>', 1),
