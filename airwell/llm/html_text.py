@@ -89,7 +89,7 @@ LABELLED = [
     [('<div class="cookie-notice"><p>We use cookies to make this page better for you and to count our visitors.</p></div>', 0),
      ('<div id="menu"><a href="/a">Start</a> <a href="/b">Shop</a></div>', 0),
      ('<div id="content"><h1>How to plant a tree</h1>', 1), ('<p>Dig a hole that is twice as wide as the roots. Water it well.</p>', 1),
-     ('<ul><li>A spade</li>', 1), ('<li>Ten litres of water</li></ul>', 1), ('<blockquote>Who plants a tree plants hope.</blockquote>', 1),
+     ('<ul><li>A spade</li>', 1), ('<li>Ten <a href="/w">litres of water</a></li></ul>', 1), ('<blockquote>Who plants a tree plants hope.</blockquote>', 1),
      ('<p>Read <a href="/soil">our long guide to soils</a> too.</p></div>', 1),
      ('<form action="/s"><p>Your name and your address, please</p><input name="n"></form>', 0),
      ('<div class="related"><p><a href="/p1">Roses in June and how to cut them</a></p></div>', 0)],
@@ -137,9 +137,6 @@ LABELLED = [
       'built.</p></div>', 1),
      ('<div><p>What other readers of this page liked</p>', 0), ('<p><a href="/7">The road of the iron and its seven inns</a></p>', 0),
      ('<p>Pages that belong to the same subject</p>', 0), ('<p><a href="/8">How glass came to the islands of the lagoon</a></p></div>', 0)],
-    [('<article><h2>What to bring</h2>', 1), ('<p>Shoes.</p>', 1), ('<ul><li>Rope</li>', 1), ('<li>A <a href="/9">lamp</a></li>', 1), ('<li>Bread</li></ul>', 1),
-     ('<form><p>Ask us for the walk of your choice.</p></form>', 0), ('<p><a href="/11">The old list of things to bring along</a></p></article>', 1),
-     ('<div><p><a href="/10">All walks in the hills</a></p></div>', 0)],
     # a title outside of the article, and what an article's own header holds
     [('<h1>Two wells and a garden</h1>', 1), ('<article><header><h2>Water</h2></header>', 1),
      ('<p>Both wells are older than the house, and both were dug by hand in a summer without rain by the sisters who lived here.</p></article>', 1),
