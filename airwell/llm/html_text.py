@@ -89,7 +89,7 @@ LABELLED = [
     [('<div class="cookie-notice"><p>We use cookies to make this page better for you and to count our visitors.</p></div>', 0),
      ('<div id="menu"><a href="/a">Start</a> <a href="/b">Shop</a></div>', 0),
      ('<div id="content"><h1>How to plant a tree</h1>', 1), ('<p>Dig a hole that is twice as wide as the roots. Water it well.</p>', 1),
-     ('<ul><li>A spade</li>', 1), ('<li>Ten <a href="/w">litres of water</a></li></ul>', 1), ('<blockquote>Who plants a tree plants hope.</blockquote>', 1),
+     ('<ul><li>A spade</li>', 1), ('<li>Good <a href="/e">earth</a></li>', 1), ('<li>Ten <a href="/w">litres of water</a></li></ul>', 1), ('<blockquote>Who plants a tree plants hope.</blockquote>', 1),
      ('<p>Read <a href="/soil">our long guide to soils</a> too.</p></div>', 1),
      ('<form action="/s"><p>Your name and your address, please</p><input name="n"></form>', 0),
      ('<div class="related"><p><a href="/p1">Roses in June and how to cut them</a></p></div>', 0)],
