@@ -623,7 +623,8 @@ def advice_conditions(spark: SparkSession, sf: str) -> DataFrame:
 def advice_vitals(spark: SparkSession, sf: str) -> DataFrame:
     """Wearable advice from the window means."""
     items = [("heart", S.advice_heart()), ("skin", S.advice_skin()), ("activity", S.advice_activity())]
-    return _long_advice(FS.enriched_windows(spark, sf), items, "kind")
+    from airwell.operators.windows import vitals_window
+    return _long_advice(vitals_window(T.vitals(spark, sf)), items, "kind")
 
 
 ADVICE_LIST_SQL = """lists AS (

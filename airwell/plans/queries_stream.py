@@ -21,17 +21,20 @@ from airwell.streaming import pipelines as SP
 AVG_COLS = [f"avg_{c}" for c in VITAL_COLUMNS]
 
 
+SLICES = 4      # the topic arrives in so many spans of time, each a micro-batch of its own
+
+
 def _vitals_stream(spark: SparkSession, sf: str, redeliver: bool) -> DataFrame:
     base = new_work_path(spark, "vitals-stream")
-    src = f"{base}/topic"
-    v = T.vitals(spark, sf)
-    # at-least-once delivery: every message arrives twice, within the same
-    # micro-batch, so only the deduplication (not the watermark) removes it
-    encode = (lambda d: MS.vitals_messages(d.unionAll(d))) if redeliver else MS.vitals_messages
-    MS.publish_in_time_order(v, encode, "ts", src)
-    events = SP.parse_vitals(MS.file_stream(spark, src))
-    win = SP.windowed_vitals_stream(events, "1 minute", "0 seconds", dedup_events=redeliver)
-    SP.run_to_parquet(win, f"{base}/sink", f"{base}/checkpoint")
+    src, before = f"{base}/topic", None
+    for part in MS.time_slices(T.vitals(spark, sf), "ts", SLICES):
+        # at-least-once delivery: every message arrives twice in its own micro-batch and once more in the next one
+        sent = part if not redeliver else part.unionAll(part) if before is None else part.unionAll(part).unionAll(before)
+        MS.publish_in_time_order(sent, MS.vitals_messages, "ts", src)
+        events = SP.parse_vitals(MS.file_stream(spark, src))
+        win = SP.windowed_vitals_stream(events, "1 minute", "0 seconds", dedup_events=redeliver)
+        SP.run_to_parquet(win, f"{base}/sink", f"{base}/checkpoint")
+        before = part
     out = spark.read.parquet(f"{base}/sink")
     return out.select(F.col("user_id").cast("bigint").alias("user_id"), "window_start", "window_end", "lat", "lng",
                       *[fix6(c).alias(c) for c in AVG_COLS], "n_events")
@@ -62,10 +65,11 @@ def vitals_stream_update(spark: SparkSession, sf: str) -> DataFrame:
     """T4: the windows in update mode, merged batch by batch into the table of
     current windows; windows that are still open are in it too."""
     base = new_work_path(spark, "vitals-update")
-    MS.publish_in_time_order(T.vitals(spark, sf), MS.vitals_messages, "ts", f"{base}/topic")
-    events = SP.parse_vitals(MS.file_stream(spark, f"{base}/topic"))
-    win = SP.windowed_vitals_stream(events, "1 minute", "1 day")
-    SP.run_update_to_state(win, f"{base}/state", f"{base}/checkpoint", ["user_id", "window_start"], ["n_events"])
+    for part in MS.time_slices(T.vitals(spark, sf), "ts", SLICES):
+        MS.publish_in_time_order(part, MS.vitals_messages, "ts", f"{base}/topic")
+        events = SP.parse_vitals(MS.file_stream(spark, f"{base}/topic"))
+        win = SP.windowed_vitals_stream(events, "1 minute", "1 day")
+        SP.run_update_to_state(win, f"{base}/state", f"{base}/checkpoint", ["user_id", "window_start"], ["n_events"])
     out = SP.read_snapshot(spark, f"{base}/state")
     return out.select(F.col("user_id").cast("bigint").alias("user_id"), "window_start", "window_end", "lat", "lng",
                       *[fix6(c).alias(c) for c in AVG_COLS], "n_events")
@@ -153,19 +157,25 @@ def profile_stream(spark: SparkSession, sf: str) -> DataFrame:
     msgs = p.select(F.col("user_id").cast("string").alias("key"), F.to_json(body).alias("value"))
     MS.write_message_files(spark, msgs, "profiles", path=f"{base}/topic")
     rows = SP.profile_rows(MS.file_stream(spark, f"{base}/topic"), PROFILE_FIELDS, mark_rejects=True)
-    SP.run_rejects(rows, ("user_id",), f"{base}/rejects", f"{base}/checkpoint-rejects")
-    SP.run_to_parquet(SP.split_rejects(rows, "user_id")[0], f"{base}/table", f"{base}/checkpoint")
+    SP.run_split(rows, ("user_id",), f"{base}/table", f"{base}/rejects", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/table").select(*PROFILE_COLS)
 
 
 REC_STREAM_WHERE = "WHERE window_end <= (SELECT max(ts) FROM vitals)"
 
 
-def _rec_stream(spark: SparkSession, sf: str) -> dict:
+def _rec_stream(spark: SparkSession, sf: str, current: bool = False) -> dict:
     base = new_work_path(spark, "rec-stream")
-    MS.publish_in_time_order(T.vitals(spark, sf), MS.vitals_messages, "ts", f"{base}/topic")
-    return SP.run_recommendations_stream(spark, f"{base}/topic", T.sites(spark, sf), lambda: T.readings(spark, sf),
-                                         lambda: T.profiles(spark, sf), base=base)
+    readings = lambda: T.readings(spark, sf)
+    if current:     # the snapshot that the readings stream keeps
+        MS.write_message_files(spark, MS.reading_messages(T.readings(spark, sf)), "readings", path=f"{base}/readings")
+        state = SP.run_readings_stream(spark, f"{base}/readings", base=f"{base}/env", max_files_per_trigger=None)["state"]
+        readings = lambda: SP.read_snapshot(spark, state)
+    for part in MS.time_slices(T.vitals(spark, sf), "ts", SLICES):
+        MS.publish_in_time_order(part, MS.vitals_messages, "ts", f"{base}/topic")
+        paths = SP.run_recommendations_stream(spark, f"{base}/topic", T.sites(spark, sf), readings,
+                                              lambda: T.profiles(spark, sf), base=base, current=current)
+    return paths
 
 
 @register("recommendations_stream", lambda: _stream_rec_sql())
@@ -175,8 +185,11 @@ def recommendations_stream(spark: SparkSession, sf: str) -> DataFrame:
     reading, profile) and scored, and written as (key, value) messages whose
     key is the window end and whose value is JSON (D4).  Read back and
     exploded, one row per recommendation."""
-    paths = _rec_stream(spark, sf)
-    m = spark.read.schema("key string, value string").json(paths["out"])
+    return _message_rows(spark, _rec_stream(spark, sf)["out"])
+
+
+def _message_rows(spark: SparkSession, out: str) -> DataFrame:
+    m = spark.read.schema("key string, value string").json(out)
     v = F.from_json("value", "struct<user_id:string, window_end:timestamp, recommendations:array<string>>")
     rows = m.select(F.col("key").cast("bigint").alias("window_key"), v.alias("v"))
     return rows.select("window_key", F.col("v.user_id").cast("bigint").alias("user_id"), "v.window_end",
@@ -207,3 +220,72 @@ def category_latest_stream(spark: SparkSession, sf: str) -> DataFrame:
     paths = _rec_stream(spark, sf)
     snap = SP.read_snapshot(spark, paths["latest"])
     return snap.select(F.col("user_id").cast("bigint").alias("user_id"), "category", "content", "window_end")
+
+
+CURRENT_SQL = """current_rows AS (
+  SELECT e.* EXCLUDE (distance_km), r.* EXCLUDE (municipality_id, reading_id, ts), p.* EXCLUDE (user_id) FROM env e
+  LEFT JOIN latest r USING (municipality_id) LEFT JOIN profiles p USING (user_id))"""
+
+
+def _current_rec_sql() -> str:
+    from airwell.plans.queries import ADVICE_LIST_SQL
+    env = FS.ENV_SQL[:FS.ENV_SQL.index("envr AS")].rstrip().rstrip(",")
+    parts = ", ".join(Q.advice_parts(Q.risk_score()))
+    lists = ADVICE_LIST_SQL.replace("{parts}", parts).replace("full_rows", "current_rows")
+    return cte(["sites", "readings", "profiles", "vitals"], [FS.win_sql(1), FS.near_sql(), env, LATEST_SQL, CURRENT_SQL, lists]) + f"""
+SELECT CAST(epoch(window_end) AS BIGINT) AS window_key, user_id, window_end, pos, advice FROM items {REC_STREAM_WHERE}"""
+
+
+@register("recommendations_current_stream", lambda: _current_rec_sql())
+def recommendations_current_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """J5 / J6 with the state of now: windows meet the latest-state snapshot that the readings stream keeps, and
+    the profiles; a batch reads no history."""
+    return _message_rows(spark, _rec_stream(spark, sf, current=True)["out"])
+
+
+LATE = "event_id % 10 = 0"      # these messages arrive one slice late
+
+
+@register("vitals_late_rows", lambda: cte(["vitals"], [
+    "span AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM vitals)",
+    f"""sent AS (SELECT v.*, ((epoch_us(ts) - lo) * {SLICES}) // (hi - lo + 1) + CASE WHEN {LATE} THEN 1 ELSE 0 END AS batch FROM vitals v, span)""",
+    "tops AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM sent GROUP BY batch)"]) + """
+SELECT event_id, user_id, ts, time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE <= top AS late
+FROM sent JOIN tops USING (batch) WHERE time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE <= top""")
+def vitals_late_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The messages that arrived behind the watermark, kept in a table of their own."""
+    base = new_work_path(spark, "vitals-late")
+    parts, held = MS.time_slices(T.vitals(spark, sf), "ts", SLICES), None
+    for part in [*parts, None]:
+        now = held if part is None else part.where(f"NOT ({LATE})")
+        if part is not None and held is not None:
+            now = now.unionAll(held)
+        if now is None:
+            continue
+        MS.publish_in_time_order(now, MS.vitals_messages, "ts", f"{base}/topic")
+        SP.run_late_rows(SP.parse_vitals(MS.file_stream(spark, f"{base}/topic")), f"{base}/late", f"{base}/seen", f"{base}/checkpoint")
+        held = None if part is None else part.where(LATE)
+    rows = spark.read.parquet(f"{base}/late")
+    return rows.select("event_id", F.col("user_id").cast("bigint").alias("user_id"), "ts", F.lit(True).alias("late"))
+
+
+TTL_HOURS = 6
+
+
+def _shown_sql() -> str:
+    return _stream_category_sql().replace("GROUP BY user_id, category", f"""GROUP BY user_id, category
+HAVING max(window_end) + INTERVAL {TTL_HOURS} HOUR > (SELECT max(window_end) FROM items WHERE contains(advice, ':') AND window_end <= (SELECT max(ts) FROM vitals))""")
+
+
+@register("category_shown_stream", lambda: _shown_sql())
+def category_shown_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """T9 with a time to live: the messages of the recommendations stream are read as a topic of their own; keyed
+    state with timers holds the text that is shown per (user, category) until it is replaced or expires."""
+    base = new_work_path(spark, "shown")
+    sent = _rec_stream(spark, sf)["out"]
+    m = spark.read.schema("key string, value string").json(sent).withColumn("_end", F.timestamp_seconds(F.col("key").cast("bigint")))
+    for part in MS.time_slices(m, "_end", SLICES):
+        part.select("key", "value").write.mode("append").json(f"{base}/topic")
+        SP.run_current(SP.message_items(MS.file_stream(spark, f"{base}/topic")), f"{base}/shown", f"{base}/checkpoint", f"{TTL_HOURS} hours")
+    shown = SP.read_snapshot(spark, f"{base}/shown")
+    return shown.select(F.col("user_id").cast("bigint").alias("user_id"), "category", "content", "window_end")

@@ -21,9 +21,10 @@ from airwell.functions.prepare import epoch_to_ts, year_of
 from airwell.functions.scoring import nan_to_null
 from airwell.operators.asof import latest_per_key
 from airwell.operators.windows import VITAL_COLUMNS
-from airwell.session import list_names, new_work_path, path_exists
+from airwell.session import _fs, list_names, new_work_path, path_exists
 
 CORRUPT = "_corrupt_record"
+KEPT_VERSIONS = 3       # of a snapshot: the current one, the one it was made from, and one more for slow readers
 
 # -- schemas: the fixed field lists of the topics' messages ---------------------
 READING_NUMBERS = [
@@ -58,11 +59,13 @@ _JSON_OPTS = {"columnNameOfCorruptRecord": CORRUPT, "mode": "PERMISSIVE"}
 
 # -- parsing (P1-P4, P7, D18) ----------------------------------------------------
 def _parsed(msgs: DataFrame, schema: TT.StructType, keep_key: bool) -> DataFrame:
-    """Typed rows; a bare NaN is missing (it would rank above every number)."""
+    """Typed rows; a bare NaN is missing (it would rank above every number).
+
+    The parsed struct is a generator's row: filters on its fields stay above it,
+    so a message is parsed once however many fields are asked for."""
     p = msgs.select(F.col("key").cast("string").alias("_key"),
-                    F.from_json(F.col("value").cast("string"), schema, _JSON_OPTS).alias("_p"))
-    cols = [nan_to_null(f"_p.{f.name}").alias(f.name) if isinstance(f.dataType, TT.DoubleType) else F.col(f"_p.{f.name}")
-            for f in schema.fields]
+                    F.inline(F.array(F.from_json(F.col("value").cast("string"), schema, _JSON_OPTS))))
+    cols = [nan_to_null(f.name).alias(f.name) if isinstance(f.dataType, TT.DoubleType) else F.col(f.name) for f in schema.fields]
     return p.select(*(["_key"] if keep_key else []), *cols)
 
 
@@ -102,6 +105,25 @@ def run_rejects(rows: DataFrame, keys: tuple[str, ...], sink: str, checkpoint: s
     run_to_parquet(split_rejects(rows, *keys)[1], sink, checkpoint)
 
 
+def run_split(rows: DataFrame, keys: tuple[str, ...], sink: str, rejects: str, checkpoint: str, trigger: dict | None = None):
+    """K1 + D18 in one query: each micro-batch is read and parsed once and written to the table and to the reject table,
+    both below ``batch=<id>`` (a replayed batch rewrites the same files)."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            good, bad = split_rejects(batch, *keys)
+            good.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+            bad.write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+        finally:
+            batch.unpersist()
+
+    q = (rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+         .trigger(**(trigger or {"availableNow": True})).start())
+    if not trigger or trigger.get("availableNow"):
+        q.awaitTermination()
+    return q
+
+
 # -- vitals windows (A1, T1-T6, T8) -------------------------------------------------
 def windowed_vitals_stream(events: DataFrame, size: str = "1 minute", delay: str = "0 seconds",
                            dedup_events: bool = False) -> DataFrame:
@@ -146,7 +168,7 @@ def run_update_to_state(df: DataFrame, state: str, checkpoint: str, key: list[st
             return
         prev = [v for v in versions if v < batch_id]
         both = batch if not prev else spark.read.parquet(f"{state}/v={prev[-1]}").unionByName(batch)
-        latest_per_key(both, key, order).write.mode("overwrite").parquet(f"{state}/v={batch_id}")
+        write_version(latest_per_key(both, key, order), state, batch_id)
 
     q = (df.writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", checkpoint)
          .trigger(**(trigger or {"availableNow": True})).start())
@@ -175,9 +197,9 @@ def to_memory(df: DataFrame, name: str, mode: str = "append"):
 
 
 def recommendation_messages(scored: DataFrame) -> DataFrame:
-    """key = window end (epoch seconds, text); value = JSON array."""
+    """key = window end (epoch seconds, text); value = JSON with the user, the window and the list."""
     return scored.select(F.unix_timestamp("window_end").cast("string").alias("key"),
-                         F.to_json("recommendations").alias("value"))
+                         F.to_json(F.struct("user_id", "window_end", "recommendations")).alias("value"))
 
 
 # -- readings: history + latest state (K1, K2, K8, T7, T10) -------------------------
@@ -187,6 +209,18 @@ def snapshot_versions(spark: SparkSession, state: str) -> list[int]:
                   if d.startswith("v=") and path_exists(spark, f"{state}/{d}/_SUCCESS"))
 
 
+def write_version(df: DataFrame, folder: str, batch_id: int, keep: int = KEPT_VERSIONS) -> None:
+    """Write a snapshot as version ``batch_id`` and remove those beyond the ``keep`` newest: the folder and its
+    listing stay as small as that.  A version that exists is not written again."""
+    spark = df.sparkSession
+    if batch_id in snapshot_versions(spark, folder):
+        return
+    df.write.mode("overwrite").parquet(f"{folder}/v={batch_id}")
+    for old in snapshot_versions(spark, folder)[:-keep]:
+        fs, path = _fs(spark, f"{folder}/v={old}")
+        fs.delete(path, True)
+
+
 def read_snapshot(spark: SparkSession, state: str) -> DataFrame | None:
     vs = snapshot_versions(spark, state)
     return spark.read.parquet(f"{state}/v={vs[-1]}") if vs else None
@@ -225,10 +259,9 @@ def latest_state_writer(spark: SparkSession, state: str, history: str, risk: str
             snap = spark.read.parquet(f"{state}/v={prev[-1]}") if prev else None
             both = good if snap is None else snap.unionByName(good)
             merged = latest_per_key(both, [key], list(order))
-            merged.write.mode("overwrite").parquet(f"{state}/v={batch_id}")
+            write_version(merged, state, batch_id)
         if risk and batch_id not in snapshot_versions(spark, risk):
-            C.risk_table(spark.read.parquet(f"{state}/v={batch_id}")).write.mode("overwrite").parquet(
-                f"{risk}/v={batch_id}")
+            write_version(C.risk_table(spark.read.parquet(f"{state}/v={batch_id}")), risk, batch_id)
     return run
 
 
@@ -276,14 +309,20 @@ def profile_rows(msgs: DataFrame, fields: list[tuple[str, str]] = PROFILE_MESSAG
 
 # -- recommendations (3.1 end to end: A1 -> J4/J5/J6 -> R1-R15 -> K3, T9) -----------
 def recommendations_writer(spark: SparkSession, out: str, sites: DataFrame, readings: DataFrame,
-                           profiles: DataFrame, latest: str | None = None):
+                           profiles: DataFrame, latest: str | None = None, carry: str | None = None, current: bool = False):
     """foreachBatch function: each micro-batch holds windows that just
     closed; they are enriched and scored with the batch operators and written
     as (key, value) messages (K3 shape) under ``batch=<id>`` (overwrite:
     a replayed batch rewrites the same files).  ``readings`` and ``profiles``
     may be functions that open the table: a frame keeps the file list it was
     made with, a function sees what arrived since.  ``latest`` keeps the current
-    text per (user, category) as versioned snapshots (T9)."""
+    text per (user, category) as versioned snapshots (T9).
+
+    Windows close in event-time order, so a batch needs the readings since the
+    last batch's newest window and, from before, one row per site: these are kept
+    as versions below ``carry`` (J5 without the history).  With ``current`` the
+    windows meet that table of each site's latest reading and nothing else: no
+    reading is looked up by time."""
     from airwell.api import recommend
     from airwell.functions.prepare import has_category, split_category
     from airwell.operators.spatial import site_levels
@@ -304,16 +343,36 @@ def recommendations_writer(spark: SparkSession, out: str, sites: DataFrame, read
     def _write(batch: DataFrame, batch_id: int) -> None:
         people = fresh(profiles)
         people = people.withColumn("user_id", F.col("user_id").cast("string"))
-        rec = recommend(batch, sites, fresh(readings), people, levels=levels).persist(StorageLevel.MEMORY_AND_DISK)
+        known = _environment(batch, batch_id)
+        if known is None:       # no window closed
+            return
+        rec = recommend(batch, sites, known, people, levels=levels).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             _emit(rec, batch_id)
         finally:
             rec.unpersist()
 
+    def _environment(batch: DataFrame, batch_id: int) -> DataFrame | None:
+        """The readings that the batch's windows can meet."""
+        if current:     # every window after the state's own time: the as-of reading is the latest one
+            top = batch.agg(F.min("window_end")).first()[0]
+            return fresh(readings).withColumn("ts", F.least("ts", F.lit(top))) if top else None
+        top = batch.agg(F.max("window_end")).first()[0]
+        if top is None or carry is None:
+            return None if top is None else fresh(readings)
+        prev = [v for v in snapshot_versions(spark, carry) if v < batch_id]
+        rows = fresh(readings).where(F.col("ts") <= F.lit(top))
+        if prev:
+            before = spark.read.parquet(f"{carry}/v={prev[-1]}")
+            bound = before.agg(F.max("bound")).first()[0]
+            if bound is not None:
+                rows = before.drop("bound").unionByName(rows.where(F.col("ts") > F.lit(bound)))
+        last = latest_per_key(rows, ["municipality_id"], ["ts", "reading_id", "pm10"])
+        write_version(last.withColumn("bound", F.lit(top)), carry, batch_id)
+        return rows
+
     def _emit(rec: DataFrame, batch_id: int) -> None:
-        msgs = rec.select(F.unix_timestamp("window_end").cast("string").alias("key"),
-                          F.to_json(F.struct("user_id", "window_end", "recommendations")).alias("value"))
-        msgs.write.mode("overwrite").json(f"{out}/batch={batch_id}")
+        recommendation_messages(rec).write.mode("overwrite").json(f"{out}/batch={batch_id}")
         if latest is None or batch_id in snapshot_versions(spark, latest):
             return
         items = rec.select("user_id", "window_end", F.explode("recommendations").alias("advice"))
@@ -323,21 +382,109 @@ def recommendations_writer(spark: SparkSession, out: str, sites: DataFrame, read
         items = items.withColumn("uc", F.concat_ws("\u0001", F.col("user_id").cast("string"), "category"))
         prev = [v for v in snapshot_versions(spark, latest) if v < batch_id]
         snap = spark.read.parquet(f"{latest}/v={prev[-1]}") if prev else None
-        merge_latest(snap, items, "uc", ["window_end"]).write.mode("overwrite").parquet(f"{latest}/v={batch_id}")
+        write_version(merge_latest(snap, items, "uc", ["window_end"]), latest, batch_id)
     return run
 
 
 def run_recommendations_stream(spark: SparkSession, source: str, sites: DataFrame, readings: DataFrame,
                                profiles: DataFrame, base: str | None = None, size: str = "1 minute",
-                               delay: str = "0 seconds", max_files_per_trigger: int | None = None) -> dict:
+                               delay: str = "0 seconds", max_files_per_trigger: int | None = None, current: bool = False) -> dict:
     from airwell.sources.messages import file_stream
     base = base or new_work_path(spark, "recommendations")
-    paths = {k: f"{base}/{k}" for k in ("out", "latest", "rejects", "checkpoint")}
+    paths = {k: f"{base}/{k}" for k in ("out", "latest", "carry", "rejects", "checkpoint")}
     run_rejects(vitals_rows(file_stream(spark, source), keep_key=True), VITALS_KEYS, paths["rejects"],
                 f"{paths['checkpoint']}-rejects")
     win = windowed_vitals_stream(parse_vitals(file_stream(spark, source, max_files_per_trigger)), size, delay)
     q = (win.writeStream.outputMode("append")
-         .foreachBatch(recommendations_writer(spark, paths["out"], sites, readings, profiles, paths["latest"]))
+         .foreachBatch(recommendations_writer(spark, paths["out"], sites, readings, profiles, paths["latest"], paths["carry"], current))
          .option("checkpointLocation", paths["checkpoint"]).trigger(availableNow=True).start())
     q.awaitTermination()
     return paths
+
+
+# -- late rows (T3) ------------------------------------------------------------------
+def run_late_rows(events: DataFrame, late: str, seen: str, checkpoint: str, size: str = "1 minute", delay: str = "0 seconds"):
+    """The rows that the windowed stream drops, kept.  A row is late if its window had closed before its batch:
+    the window's end is not after the newest event time of earlier batches less the delay (the watermark).  That
+    time is the only state, one row per version below ``seen``; late rows go below ``late``/batch=<id>."""
+    spark = events.sparkSession
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        prev = [v for v in snapshot_versions(spark, seen) if v < batch_id]
+        top = spark.read.parquet(f"{seen}/v={prev[-1]}").first()["top"] if prev else None
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            closed = F.window("ts", size)["end"] <= F.lit(top) - F.expr(f"INTERVAL {delay}") if top is not None else F.lit(False)
+            batch.where(closed).write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
+            newest = batch.agg(F.greatest(F.max("ts"), F.lit(top).cast("timestamp")).alias("top"))
+            write_version(newest, seen, batch_id)
+        finally:
+            batch.unpersist()
+
+    q = (events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q
+
+
+def message_items(msgs: DataFrame) -> DataFrame:
+    """Recommendation messages -> (user_id, category, content, window_end) per entry."""
+    from airwell.functions.prepare import has_category, split_category
+    v = F.from_json(F.col("value").cast("string"), "struct<user_id:string, window_end:timestamp, recommendations:array<string>>")
+    rows = msgs.select(F.inline(F.array(v))).select("user_id", "window_end", F.explode("recommendations").alias("advice"))
+    cat, content = split_category("advice")
+    return rows.where(has_category("advice")).select("user_id", cat.alias("category"), content.alias("content"), "window_end")
+
+
+# -- the shown recommendation per category, with a time to live (T9) -------------------
+CURRENT_TYPE = "user_id string, category string, content string, window_end timestamp, expired boolean"
+
+
+def current_by_category(items: DataFrame, ttl: str = "6 hours", delay: str = "0 seconds") -> DataFrame:
+    """Updates of the current text per (user, category) of a stream of items (user_id, category, content,
+    window_end).  A newer text replaces the older; a text that nothing has replaced for ``ttl`` of event time
+    expires by a timer and leaves the state, so the state holds what is shown and no more."""
+    import pandas as pd
+
+    span = int(pd.Timedelta(ttl).total_seconds() * 1000)
+
+    def step(key, frames, state):
+        empty = pd.DataFrame({c.split()[0]: [] for c in CURRENT_TYPE.split(", ")})
+        if state.hasTimedOut:
+            content, micros = state.get
+            state.remove()
+            yield pd.DataFrame({"user_id": [key[0]], "category": [key[1]], "content": [content],
+                                "window_end": [pd.Timestamp(micros, unit="us")], "expired": [True]})
+            return
+        now = state.get if state.exists else None
+        for frame in frames:
+            for content, end in zip(frame["content"], frame["window_end"]):
+                found = (content, int(pd.Timestamp(end).value // 1000))
+                if now is None or (found[1], found[0]) > (now[1], now[0]):
+                    now = found
+        if now is None:
+            yield empty
+            return
+        state.update(now)
+        state.setTimeoutTimestamp(max(now[1] // 1000 + span, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"user_id": [key[0]], "category": [key[1]], "content": [now[0]],
+                            "window_end": [pd.Timestamp(now[1], unit="us")], "expired": [False]})
+
+    t = items.withWatermark("window_end", delay)
+    return t.groupBy("user_id", "category").applyInPandasWithState(
+        step, CURRENT_TYPE, "content string, micros long", "update", "EventTimeTimeout")
+
+
+def run_current(items: DataFrame, shown: str, checkpoint: str, ttl: str = "6 hours"):
+    """The table of shown texts, a version per micro-batch: updates replace rows, expired ones go."""
+    spark = items.sparkSession
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        prev = [v for v in snapshot_versions(spark, shown) if v < batch_id]
+        both = batch if not prev else spark.read.parquet(f"{shown}/v={prev[-1]}").withColumn("expired", F.lit(False)).unionByName(batch)
+        rows = latest_per_key(both, ["user_id", "category"], ["window_end", "expired", "content"])
+        write_version(rows.where(~F.col("expired")).drop("expired"), shown, batch_id)
+
+    q = (current_by_category(items, ttl).writeStream.outputMode("update").foreachBatch(run)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q

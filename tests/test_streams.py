@@ -147,3 +147,103 @@ def test_messages_without_event_id_are_deduplicated_by_content(spark):
     exp = vitals_window(T.vitals(spark, SF001)).where(F.col("window_end") <= F.lit(v.agg(F.max("ts")).first()[0])) \
         .agg(F.sum("n_events")).first()[0]
     assert got == exp
+
+
+def test_a_message_is_parsed_once(spark):
+    msgs = spark.createDataFrame([("k", "{}")], "key string, value string")
+    for rows, keys in ((SP.parse_readings(msgs), ("municipality_id", "ts")), (SP.vitals_rows(msgs), SP.VITALS_KEYS)):
+        for part in SP.split_rejects(rows, *keys):
+            plan = part._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("from_json") == 1, plan
+
+
+def test_null_and_empty_messages_are_rejected(spark):
+    msgs = spark.createDataFrame([("a", None), ("b", ""), ("c", "[]"), ("d", "null"), ("e", '{"municipality_id": 1, "timestamp": 5.0}')],
+                                 "key string, value string")
+    good, bad = SP.split_rejects(SP.parse_readings(msgs, keep_key=True), "municipality_id", "ts")
+    assert [r["_key"] for r in good.collect()] == ["e"] and bad.count() == 4
+
+
+def test_snapshot_folder_stays_bounded(spark):
+    base = new_work_path(spark, "t-bounded")
+    for i in range(12):
+        SP.write_version(spark.range(i + 1), base, i)
+        SP.write_version(spark.range(99), base, i)      # a replay writes nothing
+        assert SP.read_snapshot(spark, base).count() == i + 1
+    assert SP.snapshot_versions(spark, base) == [9, 10, 11]
+
+
+def test_time_slices_cover_the_rows(spark):
+    v = T.vitals(spark, SF001)
+    parts = MS.time_slices(v, "ts", 4)
+    assert sum(p.count() for p in parts) == v.count()
+    tops = [p.agg(F.min("ts"), F.max("ts")).first() for p in parts]
+    assert all(a[1] < b[0] for a, b in zip(tops, tops[1:]))
+    assert MS.time_slices(v.limit(0), "ts", 4)[0].count() == 0
+
+
+def test_recommendation_batches_read_no_history(spark):
+    """Batch by batch the carry table holds one row per site, and a batch is given only the readings since the last one."""
+    base = new_work_path(spark, "t-carry")
+    t0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    hour = lambda h: t0 + dt.timedelta(hours=h)
+    sites = T.sites(spark, SF001).limit(1)
+    site = sites.first()["municipality_id"]
+    cols = ["alder_pollen", "birch_pollen", "grass_pollen", "mugwort_pollen", "olive_pollen", "ragweed_pollen", "european_aqi", "pm10",
+            "pm2_5", "nitrogen_dioxide", "sulphur_dioxide", "carbon_monoxide", "ozone"]
+    readings = spark.createDataFrame([(site, i, hour(i), *[float(i)] * len(cols)) for i in range(48)],
+                                     "municipality_id long, reading_id long, ts timestamp, " + ", ".join(f"{c} double" for c in cols))
+    given = []
+    import airwell.api as api
+    plain = api.recommend
+
+    def watched(windows, s, env, people, **kw):
+        given.append(env.count())
+        return plain(windows, s, env, people, **kw)
+    api.recommend = watched
+    try:
+        write = SP.recommendations_writer(spark, f"{base}/out", sites, lambda: readings, T.profiles(spark, SF001), f"{base}/latest", f"{base}/carry")
+        avgs = ", ".join(f"avg_{c} double" for c in ("heart_rate", "ibi", "eda", "skin_temp", "activity_level"))
+        for b, end in enumerate((10, 20, 21, 40)):
+            win = spark.createDataFrame([("1", hour(end - 0.02), hour(end), 45.9, 10.6, *[70.0] * 5, 3)],
+                                        f"user_id string, window_start timestamp, window_end timestamp, lat double, lng double, {avgs}, n_events long")
+            write(win, b)
+    finally:
+        api.recommend = plain
+    assert given == [11, 11, 2, 20]       # all up to the first bound, then one row per site and what came since
+    carry = SP.read_snapshot(spark, f"{base}/carry").collect()
+    assert [(r["municipality_id"], r["reading_id"]) for r in carry] == [(site, 40)]
+
+
+def test_shown_texts_expire(spark):
+    base = new_work_path(spark, "t-ttl")
+    t0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+
+    def send(*rows):
+        items = [(u, t0 + dt.timedelta(hours=h), [f"{c}: {x}"]) for u, c, x, h in rows]
+        df = spark.createDataFrame(items, "user_id string, window_end timestamp, recommendations array<string>")
+        SP.recommendation_messages(df).write.mode("append").json(f"{base}/topic")
+        SP.run_current(SP.message_items(MS.file_stream(spark, f"{base}/topic")), f"{base}/shown", f"{base}/checkpoint", "6 hours")
+        return {(r["user_id"], r["category"]): r["content"] for r in SP.read_snapshot(spark, f"{base}/shown").collect()}
+    assert send(("1", "A", "old", 0), ("2", "A", "x", 1)) == {("1", "A"): "old", ("2", "A"): "x"}
+    assert send(("1", "A", "new", 3), ("1", "B", "y", 3)) == {("1", "A"): "new", ("1", "B"): "y", ("2", "A"): "x"}
+    assert send(("3", "A", "z", 8)) == {("1", "A"): "new", ("1", "B"): "y", ("3", "A"): "z"}      # 2 expired at hour 7
+    assert send(("3", "A", "w", 20)) == {("3", "A"): "w"}
+    # the state holds what is shown: one key is left
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    assert spark.read.format("statestore").load(f"{base}/checkpoint").count() == 1
+
+
+def test_late_rows_and_windows_make_up_the_input(spark):
+    v = T.vitals(spark, SF001)
+    base = new_work_path(spark, "t-late")
+    first, second = MS.time_slices(v, "ts", 2)
+    for part in (second, first):      # the older half arrives behind the watermark
+        MS.publish_in_time_order(part, MS.vitals_messages, "ts", f"{base}/topic")
+        events = SP.parse_vitals(MS.file_stream(spark, f"{base}/topic"))
+        SP.run_to_parquet(SP.windowed_vitals_stream(events), f"{base}/sink", f"{base}/ckpt")
+        SP.run_late_rows(events, f"{base}/late", f"{base}/seen", f"{base}/ckpt-late")
+    late = spark.read.parquet(f"{base}/late").count()
+    open_end = v.agg(F.max("ts")).first()[0]
+    still_open = v.where(F.window("ts", "1 minute")["end"] > F.lit(open_end)).count()
+    assert late > 0 and late + spark.read.parquet(f"{base}/sink").agg(F.sum("n_events")).first()[0] + still_open == v.count()
