@@ -187,3 +187,24 @@ def test_sequences_hold_the_ids(spark, edge_docs):
     assert all(len(r.ids) == r.n_tokens <= 256 for r in rows)
     total = sum(len(library(WORD_BPE).encode(r.text or "", add_special_tokens=False).ids) + 1 for r in edge_docs.collect())
     assert sum(r.n_tokens for r in rows) == total
+
+
+def test_rank_encoder_equals_the_library():
+    import random
+
+    from tokenizers import Tokenizer
+
+    from airwell.llm import _encode
+    from airwell.llm.queries import BYTE_BPE, tokenizer_path
+    path = tokenizer_path(BYTE_BPE)
+    plain, literal = _encode.RankEncoder(path), _encode.RankEncoder(path, literal=True)
+    assert plain.core is not None
+    one, two = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    two.encode_special_tokens = True
+    rng = random.Random(1)
+    letters = "ab cdéE'stL l 1 2\n\t  \x85\xa0\x1c\x1d​ßЖж漢ñ.,!-_́ \x01 𝔘<|endoftext|>"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    texts += [t + "<|endoftext|> x" for t in texts[:100]] + [" " * 5000 + "x", "\n \n" * 2000, "a" * 3000, "don't we'll I'D 's"]
+    for t in texts:
+        assert plain.ids(t) == one.encode(t, add_special_tokens=False).ids
+        assert literal.ids(t) == two.encode(t, add_special_tokens=False).ids
