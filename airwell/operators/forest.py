@@ -61,8 +61,9 @@ def binned(rows: DataFrame, groups: list[str], features: list[str], bins: int) -
 
 
 def grow(rows: DataFrame, groups: list[str], features: list[str], target: str, key: Column, trees: int = 1,
-         depth: int = 3, bins: int = 8, min_leaf: int = 1, bootstrap: bool = True) -> DataFrame:
-    """The node table of one forest per group.
+         depth: int = 3, bins: int = 8, min_leaf: int | str = 1, bootstrap: bool = True) -> DataFrame:
+    """The node table of one forest per group.  ``min_leaf`` is a number or the
+    group column that holds each group's own.
 
     Rows with a null among groups, features and target take no part; an empty
     table gives no nodes; a group of one row is one leaf."""
@@ -105,19 +106,20 @@ def grow(rows: DataFrame, groups: list[str], features: list[str], target: str, k
         F.when(F.col("feature").isNotNull(), F.col("node") * 2 + 1).alias("right"), "n", value.alias("value"))
 
 
-def _best_splits(t: DataFrame, at: list[str], n_features: int, bins: int, min_leaf: int) -> DataFrame:
+def _best_splits(t: DataFrame, at: list[str], n_features: int, bins: int, min_leaf: int | str) -> DataFrame:
     """(at..., feature, bin, threshold, n0, s0, n1, s1): the split of each node with the largest gain in squared sums;
     equal gains go to the first feature and bin."""
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("feature"), F.col("_bins")[i].alias("bin"), F.col("_lo")[i].alias("lo"),
                                         F.col("_hi")[i].alias("hi")) for i in range(n_features)])).alias("f")
     hist = t.select(*at, "_w", "_wy", each).groupBy(*at, "f.feature", "f.bin").agg(
         F.sum("_w").alias("n"), F.sum("_wy").alias("s"), F.first("f.lo").alias("lo"), F.first("f.hi").alias("hi"))
+    least = F.col(min_leaf) if isinstance(min_leaf, str) else F.lit(min_leaf)
     whole = Window.partitionBy(*at, "feature")
     so_far = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     cand = hist.select(*at, "feature", "bin", "lo", "hi", F.sum("n").over(so_far).alias("n0"), F.sum("s").over(so_far).alias("s0"),
                        F.sum("n").over(whole).alias("n"), F.sum("s").over(whole).alias("s"))
     cand = cand.withColumn("n1", F.col("n") - F.col("n0")).withColumn("s1", F.col("s") - F.col("s0")) \
-        .where((F.col("n0") >= min_leaf) & (F.col("n1") >= max(1, min_leaf)))
+        .where((F.col("n0") >= least) & (F.col("n1") >= least) & (F.col("n1") > 0))
 
     def part(s: str, n: str) -> Column:
         return F.col(s).cast("double") * F.col(s).cast("double") / F.col(n).cast("double")

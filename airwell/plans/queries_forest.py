@@ -59,45 +59,47 @@ TRAIN_SQL = """train_rows AS (
 test_rows AS (SELECT * FROM full_rows ANTI JOIN train_rows USING (row_key))"""
 
 
-def forest_sql(source: str, trees: int = TREES, depth: int = DEPTH, bins: int = BINS) -> list[str]:
+def forest_sql(source: str, trees: int = TREES, depth: int = DEPTH, bins: int = BINS, groups: list[str] = GROUPS,
+               features: list[str] = FEATURES, min_leaf: str = "1") -> list[str]:
     """CTEs up to ``nodes``: the node table of the rows in ``source``."""
-    at = "valley_id, pollen, tree, node"
+    by = ", ".join(groups)
+    at = f"{by}, tree, node"
     u = "CAST('0x' || substr(md5(row_key || ':bag' || tree), 1, 8) AS BIGINT) / 4294967296.0"
     weight = "CASE " + " ".join(f"WHEN {u} >= {x!r} THEN {k}" for k, x in reversed(list(enumerate(FO.BAG_LIMITS, 1)))) + " ELSE 0 END"
     bin_of = lambda i, c: "(" + " + ".join(
         f"CASE WHEN {c} >= lo{i} + (hi{i} - lo{i}) * {k / bins!r}e0 THEN 1 ELSE 0 END" for k in range(1, bins)) + ")"
     out = [
-        f"spans AS (SELECT valley_id, pollen, {', '.join(f'min({c}) AS lo{i}, max({c}) AS hi{i}' for i, c in enumerate(FEATURES))} "
+        f"spans AS (SELECT {by}, {', '.join(f'min({c}) AS lo{i}, max({c}) AS hi{i}' for i, c in enumerate(features))} "
         f"FROM {source} GROUP BY ALL)",
         f"""bagged AS (SELECT r.*, tree, {weight} AS w FROM {source} r, range({trees}) t(tree))""",
-        f"""level0 AS (SELECT valley_id, pollen, tree, CAST(1 AS BIGINT) AS node, w, w * CAST(floor(y * 1e6 + 0.5) AS BIGINT) AS wy,
-          {', '.join(f'{bin_of(i, c)} AS b{i}' for i, c in enumerate(FEATURES))} FROM bagged JOIN spans USING (valley_id, pollen) WHERE w > 0)""",
+        f"""level0 AS (SELECT {by}, tree, CAST(1 AS BIGINT) AS node, w, w * CAST(floor(y * 1e6 + 0.5) AS BIGINT) AS wy,
+          {', '.join(f'{bin_of(i, c)} AS b{i}' for i, c in enumerate(features))} FROM bagged JOIN spans USING ({by}) WHERE w > 0)""",
         f"nodes0 AS (SELECT {at}, sum(w) AS n, sum(wy) AS s FROM level0 GROUP BY ALL)"]
     square = lambda s, n: f"CAST({s} AS DOUBLE) * CAST({s} AS DOUBLE) / CAST({n} AS DOUBLE)"
     for d in range(depth):
         out += [
             f"hist{d} AS (" + " UNION ALL ".join(
-                f"SELECT {at}, {i} AS feature, b{i} AS bin, sum(w) AS n, sum(wy) AS s FROM level{d} GROUP BY ALL" for i in range(len(FEATURES))) + ")",
+                f"SELECT {at}, {i} AS feature, b{i} AS bin, sum(w) AS n, sum(wy) AS s FROM level{d} GROUP BY ALL" for i in range(len(features))) + ")",
             f"""run{d} AS (SELECT *, sum(n) OVER (PARTITION BY {at}, feature ORDER BY bin) AS n0, sum(s) OVER (PARTITION BY {at}, feature ORDER BY bin) AS s0,
               sum(n) OVER (PARTITION BY {at}, feature) AS nt, sum(s) OVER (PARTITION BY {at}, feature) AS st FROM hist{d})""",
             f"""best{d} AS (SELECT * FROM (SELECT *, nt - n0 AS n1, st - s0 AS s1,
-                {square('s0', 'n0')} + {square('st - s0', 'nt - n0')} - {square('st', 'nt')} AS gain FROM run{d} WHERE nt > n0) x
+                {square('s0', 'n0')} + {square('st - s0', 'nt - n0')} - {square('st', 'nt')} AS gain FROM run{d} WHERE nt > n0 AND n0 >= {min_leaf} AND nt - n0 >= {min_leaf}) x
               WHERE gain > 1e-12 * ({square('st', 'nt')})
               QUALIFY row_number() OVER (PARTITION BY {at} ORDER BY gain DESC, feature, bin) = 1)""",
-            f"""nodes{d + 1} AS (SELECT valley_id, pollen, tree, node * 2 AS node, n0 AS n, s0 AS s FROM best{d}
-              UNION ALL SELECT valley_id, pollen, tree, node * 2 + 1, n1, s1 FROM best{d})""",
+            f"""nodes{d + 1} AS (SELECT {by}, tree, node * 2 AS node, n0 AS n, s0 AS s FROM best{d}
+              UNION ALL SELECT {by}, tree, node * 2 + 1, n1, s1 FROM best{d})""",
             f"""level{d + 1} AS (SELECT l.* EXCLUDE (node), l.node * 2 + CASE WHEN
-                (CASE feature {' '.join(f'WHEN {i} THEN b{i}' for i in range(len(FEATURES)))} END) > bin THEN 1 ELSE 0 END AS node
+                (CASE feature {' '.join(f'WHEN {i} THEN b{i}' for i in range(len(features)))} END) > bin THEN 1 ELSE 0 END AS node
               FROM level{d} l JOIN best{d} USING ({at}))"""]
-    low = " ".join(f"WHEN {i} THEN lo{i} + (hi{i} - lo{i}) * (CAST(bin + 1 AS DOUBLE) / {bins}e0)" for i in range(len(FEATURES)))
-    name = " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(FEATURES))
+    low = " ".join(f"WHEN {i} THEN lo{i} + (hi{i} - lo{i}) * (CAST(bin + 1 AS DOUBLE) / {bins}e0)" for i in range(len(features)))
+    name = " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(features))
     out += [
         "every_node AS (" + " UNION ALL ".join(f"SELECT {at}, n, s FROM nodes{d}" for d in range(depth + 1)) + ")",
         "every_split AS (" + " UNION ALL ".join(f"SELECT {at}, feature, bin FROM best{d}" for d in range(depth)) + ")",
-        f"""nodes AS (SELECT e.valley_id, e.pollen, e.tree, e.node, CASE feature {name} END AS feature, CASE feature {low} END AS threshold,
-            CASE WHEN feature IS NOT NULL THEN e.node * 2 END AS "left", CASE WHEN feature IS NOT NULL THEN e.node * 2 + 1 END AS "right",
+        f"""nodes AS (SELECT {by}, tree, node, CASE feature {name} END AS feature, CASE feature {low} END AS threshold,
+            CASE WHEN feature IS NOT NULL THEN node * 2 END AS "left", CASE WHEN feature IS NOT NULL THEN node * 2 + 1 END AS "right",
             CAST(n AS BIGINT) AS n, (CAST(s AS DOUBLE) / CAST(n AS DOUBLE)) / 1e6 AS value
-          FROM every_node e LEFT JOIN every_split x USING ({at}) JOIN spans p ON p.valley_id = e.valley_id AND p.pollen = e.pollen)"""]
+          FROM every_node e LEFT JOIN every_split x USING ({at}) JOIN spans p USING ({by}))"""]
     return out
 
 

@@ -62,3 +62,24 @@ def read_geojson_lines(spark: SparkSession, path: str, id_prop: str = "com_istat
         f"type string, properties struct<{id_prop}: bigint, name: string>, "
         "geometry struct<type: string, coordinates: array<double>>").json(path)
     return f.select(F.col(f"properties.{id_prop}").alias("municipality_id"), F.col("geometry").alias("geometry"))
+
+
+def polygon_parts(geometry_type: F.Column, coordinates: F.Column) -> F.Column:
+    """A geometry's coordinates as text -> its parts, each a list of rings
+    (outline first, then holes) of [longitude, latitude] positions.  A Polygon
+    has one part; null for other geometries and for text that is no such list."""
+    nested = "array<array<array<array<double>>>>"
+    text = (F.when(geometry_type == "Polygon", F.concat(F.lit("["), coordinates, F.lit("]")))
+            .when(geometry_type == "MultiPolygon", coordinates))
+    return F.from_json(text, nested)
+
+
+def read_polygon_layer(spark: SparkSession, path: str, id_prop: str = "com_istat_code_num") -> DataFrame:
+    """Shapes of a layer with one GeoJSON feature per line, read in
+    parallel splits -> (municipality_id, part, ring_no, ring) with a row per
+    ring, positions as (lat, lng).  Features without a polygon give no row."""
+    f = spark.read.schema(f"type string, properties struct<{id_prop}: bigint>, geometry struct<type: string, coordinates: string>").json(path)
+    parts = f.select(F.col(f"properties.{id_prop}").alias("municipality_id"),
+                     F.posexplode(polygon_parts(F.col("geometry.type"), F.col("geometry.coordinates"))).alias("part", "rings"))
+    rings = parts.select("municipality_id", "part", F.posexplode("rings").alias("ring_no", "r"))
+    return rings.select("municipality_id", "part", "ring_no", F.transform("r", lambda p: F.array(p[1], p[0])).alias("ring"))
