@@ -31,6 +31,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,24 +60,49 @@ def passes_for(rows: int, threshold: float, window: int = WINDOW, miss: float =
     return passes_at(lead, threshold, miss), lead
 
 
+def _flat(column):
+    """(components of all rows in a row, their start per row and the end) of a list column; null components are NaN."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+        if isinstance(column, pa.ChunkedArray):     # no chunk at all
+            column = pa.array([], column.type)
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    starts = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False), starts
+
+
+def _matrix(column) -> np.ndarray:
+    """The vectors of a list column as rows, filled up with zeros to the longest one."""
+    flat, starts = _flat(column)
+    lengths = np.diff(starts)
+    if not len(lengths):
+        return np.zeros((0, 0))
+    width = int(lengths.max())
+    if (lengths == width).all():
+        return flat.reshape(len(lengths), width)
+    out = np.zeros((len(lengths), width))
+    out[np.arange(width)[None, :] < lengths[:, None]] = flat
+    return out
+
+
 def _classes(batches):
     """id, label, length, vector and a hash of (label, vector) of the usable rows."""
     for batch in batches:
-        ids, labels, dims, vectors, keys = [], [], [], [], []
-        for i, v, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if i is None or v is None or label is None or not v or any(x is None for x in v):
-                continue
-            x = np.asarray(v, dtype=np.float64)
-            if not np.isfinite(x).all() or not x.any():
-                continue
-            ids.append(i)
-            labels.append(label)
-            dims.append(len(x))
-            vectors.append(x)
-            keys.append(hashlib.blake2b(label.encode() + b"\0" + x.tobytes(), digest_size=16).digest())
+        flat, starts = _flat(batch.column(1))
+        lengths = np.diff(starts)
+        row_of = np.repeat(np.arange(len(lengths)), lengths)
+        odd = np.bincount(row_of, ~np.isfinite(flat), minlength=len(lengths)) > 0
+        some = np.bincount(row_of, flat != 0, minlength=len(lengths)) > 0
+        good = ~odd & some & batch.column(0).is_valid().to_numpy(zero_copy_only=False) & batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+        at = pa.array(np.flatnonzero(good))
+        labels = batch.column(2).take(at)
+        keys = [hashlib.blake2b(label.encode() + b"\0" + flat[starts[i]:starts[i + 1]].tobytes(), digest_size=16).digest()
+                for i, label in zip(np.flatnonzero(good).tolist(), labels.to_pylist())]
+        kept = flat[good[row_of]]
+        ends = np.concatenate([[0], np.cumsum(lengths[good])]).astype(np.int32)
+        vectors = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(kept, pa.float64()))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(labels, pa.string()), pa.array(dims, pa.int32()),
-             pa.array(vectors, pa.list_(pa.float64())), pa.array(keys, pa.binary())],
+            [batch.column(0).take(at), labels, pa.array(lengths[good].astype(np.int32)), vectors, pa.array(keys, pa.binary())],
             names=["id", "label", "dim", "v", "fp"])
 
 
@@ -93,11 +119,11 @@ def _keys(batches):
         dims, passes = (np.asarray(batch.column(i).to_pylist(), dtype=int) for i in (2, 5))
         for low in range(0, len(dims), 1024):
             part = slice(low, low + 1024)
-            vectors = batch.column(3).slice(low, 1024).to_pylist()
+            vectors = _matrix(batch.column(3).slice(low, 1024))
             out = np.zeros((len(vectors), passes[part].max()), dtype=np.int64)
             for d in np.unique(dims[part]):
                 at = np.flatnonzero(dims[part] == d)
-                x = _unit(np.array([vectors[i] for i in at]))
+                x = _unit(vectors[at, :d])
                 for k in range(passes[part][at].max()):
                     sign = x @ np.random.default_rng([977, d, k]).standard_normal((d, BITS)) > 0
                     out[at, k] = sign @ powers
@@ -117,10 +143,9 @@ def _window_pairs(window: int, threshold: float):
         order = np.argsort(table.column("pos").to_numpy())
         t = table.take(pa.array(order))
         ids = t.column("id").to_numpy()
-        group = np.unique(np.array([f"{p}/{d}/{x}" for p, d, x in zip(
-            t.column("pass").to_pylist(), t.column("dim").to_pylist(), t.column("label").to_pylist())]), return_inverse=True)[1]
+        label = pc.dictionary_encode(t.column("label").combine_chunks()).indices.to_numpy(zero_copy_only=False)
+        group = np.unique(np.stack([t.column("pass").to_numpy(), t.column("dim").to_numpy(), label], axis=1), axis=0, return_inverse=True)[1].ravel()
         inside = t.column("pos").to_numpy() // BLOCK == key[0].as_py()
-        vectors = t.column("v").to_pylist()
         parent = {}
 
         def find(i):
@@ -130,10 +155,7 @@ def _window_pairs(window: int, threshold: float):
             return i
 
         a, b = [], []
-        width = max(map(len, vectors), default=0)
-        x = np.zeros((len(vectors), width))
-        for i, v in enumerate(vectors):
-            x[i, :len(v)] = v
+        x = _matrix(t.column("v"))
         if len(x):
             x = _unit(x)
         for step in range(1, min(window, len(x) - 1) + 1):
@@ -154,13 +176,13 @@ def _cell_pairs(threshold: float):
     def run(key, table):
         a, b = [], []
         cell, tile, names = (table.column(c).to_numpy() for c in ("low", "tile", "id"))
-        vectors = table.column("v").to_pylist()
+        vectors = _matrix(table.column("v"))
         for c in np.unique(cell):
             rows, cols = (np.flatnonzero((cell == c) & (tile == key[i].as_py())) for i in (1, 2))
             if not len(rows) or not len(cols):
                 continue
             nodes = np.unique(np.concatenate([rows, cols]))
-            x = _unit(np.array([vectors[i] for i in nodes]))
+            x = _unit(vectors[nodes])
             own, met = np.searchsorted(nodes, rows), np.searchsorted(nodes, cols)
             y, tree = x[met].T, np.arange(len(nodes))
             for low in range(0, len(own), 256):
@@ -187,7 +209,7 @@ def _tile_counts(threshold: float):
         names = table.column("id").to_numpy()
         copies = table.column("copies").to_numpy()
         labels = np.array([f"{d}/{x}" for d, x in zip(table.column("dim").to_pylist(), table.column("label").to_pylist())])
-        vectors = table.column("v").to_pylist()
+        vectors = _matrix(table.column("v"))
         for c in np.unique(comp):
             for side, other in {(one, two), (two, one)}:
                 rows, cols = (np.flatnonzero((comp == c) & (tile == s)) for s in (side, other))
@@ -195,7 +217,7 @@ def _tile_counts(threshold: float):
                     r, k = rows[labels[rows] == kind], cols[labels[cols] == kind]
                     if len(k) == 0:
                         continue
-                    x, y = (_unit(np.array([vectors[i] for i in s])) for s in (r, k))
+                    x, y = (_unit(vectors[s]) for s in (r, k))
                     hit = (x @ y.T >= threshold) & (r[:, None] != k[None, :])
                     ids.append(names[r])
                     total.append(hit @ copies[k])
