@@ -16,6 +16,7 @@ from airwell.functions.scoring import fix6
 from airwell.session import new_work_path
 from airwell.sources import messages as MS
 from airwell.sources import tables as T
+from airwell.streaming import buckets as BU
 from airwell.streaming import pipelines as SP
 
 AVG_COLS = [f"avg_{c}" for c in VITAL_COLUMNS]
@@ -86,6 +87,14 @@ def latest_reading_stream(spark: SparkSession, sf: str) -> DataFrame:
     return SP.read_snapshot(spark, paths["state"]).select(*READING_COLS)
 
 
+@register("latest_state_buckets", lambda: cte(["readings"], [LATEST_SQL]) + f"SELECT {', '.join(READING_COLS)} FROM latest")
+def latest_state_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    """K2 / K8 in key buckets: several micro-batches, each rewriting the buckets of its own sites."""
+    base = new_work_path(spark, "bucketed-state")
+    MS.write_message_files(spark, MS.reading_messages(T.readings(spark, sf)), "readings", path=f"{base}/topic")
+    return BU.read_buckets(spark, BU.run_bucketed_state(spark, f"{base}/topic", base, buckets=16)).select(*READING_COLS)
+
+
 RISK_STREAM_SQL = lambda: cte(["readings"], [LATEST_SQL, _risk_sql("latest")]) + f"""
 SELECT municipality_id, pollen, concentration, level, {Q.class_colour('level')} AS colour FROM risk"""
 
