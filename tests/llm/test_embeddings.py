@@ -106,3 +106,20 @@ def test_wide_cells_of_many_tiles(spark, monkeypatch):
     x = centre + 0.2 * rng.normal(size=(400, 32))
     rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([x, x[:50] + 0.02 * rng.normal(size=(50, 32))]))]
     compare(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), rows)
+
+
+def test_flat_vectors_of_odd_columns():
+    import pyarrow as pa
+    kind = pa.list_(pa.float64())
+    column = pa.array([[9.0], None, [1.0, 2.0], [], [3.0, None], [0.0, -0.0], [float("inf")], [4.0, 5.0, 6.0], [1.0], [2.0]], kind)
+    ids = pa.array([0, 1, 2, 3, 4, 5, 6, 7, None, 9], pa.int64())
+    labels = pa.array(["a"] * 9 + [None])
+    whole = pa.RecordBatch.from_arrays([ids, column, labels], names=["id", "v", "label"])
+    for batch, want in ((whole, {0: [9.0], 2: [1.0, 2.0], 7: [4.0, 5.0, 6.0]}), (whole.slice(1, 5), {2: [1.0, 2.0]}), (whole.slice(3, 2), {}),
+                        (whole.slice(0, 0), {})):
+        out = list(embed_dedup._classes([batch]))[0]
+        assert dict(zip(out.column(0).to_pylist(), out.column(3).to_pylist())) == want
+        assert out.column(2).to_pylist() == [len(v) for v in want.values()]
+    wide = embed_dedup._matrix(pa.chunked_array([column.slice(0, 3), column.slice(7, 1)]))
+    assert wide.tolist() == [[9.0, 0, 0], [0, 0, 0], [1.0, 2.0, 0], [4.0, 5.0, 6.0]]
+    assert embed_dedup._matrix(pa.chunked_array([], kind)).shape == (0, 0)
