@@ -925,4 +925,4 @@ def cohort_birthdate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # import the modules that register further queries
-from airwell.plans import queries_checks, queries_files, queries_forest, queries_grid, queries_layers, queries_ml, queries_stream  # noqa: E402,F401
+from airwell.plans import queries_checks, queries_files, queries_forest, queries_grid, queries_history, queries_layers, queries_ml, queries_stream  # noqa: E402,F401
