@@ -86,9 +86,10 @@ def _matrix(column) -> np.ndarray:
 
 
 def _classes(batches):
-    """id, label, length, vector and a hash of (label, vector) of the usable rows."""
+    """id, label, length, vector and a hash of (label, vector) of the usable rows; a vector keeps its type."""
     for batch in batches:
         flat, starts = _flat(batch.column(1))
+        kind = batch.schema.field(1).type.value_type
         lengths = np.diff(starts)
         row_of = np.repeat(np.arange(len(lengths)), lengths)
         odd = np.bincount(row_of, ~np.isfinite(flat), minlength=len(lengths)) > 0
@@ -100,7 +101,7 @@ def _classes(batches):
                 for i, label in zip(np.flatnonzero(good).tolist(), labels.to_pylist())]
         kept = flat[good[row_of]]
         ends = np.concatenate([[0], np.cumsum(lengths[good])]).astype(np.int32)
-        vectors = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(kept, pa.float64()))
+        vectors = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(kept).cast(kind, safe=False))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0).take(at), labels, pa.array(lengths[good].astype(np.int32)), vectors, pa.array(keys, pa.binary())],
             names=["id", "label", "dim", "v", "fp"])
@@ -231,9 +232,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "
     """(vec_id, n_links, component_id, kept) for every row of ``vectors``."""
     spark = vectors.sparkSession
     _ship(spark)
-    src = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"),
+    # float vectors are shuffled as floats (half the bytes); all arithmetic is in double precision
+    kind = "array<float>" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "array<double>"
+    src = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(kind).alias("v"),
                          F.col(label).cast("string").alias("label"))
-    usable = materialize(map_arrow(src, _classes, "id long, label string, dim int, v array<double>, fp binary"), "vec-usable")
+    usable = materialize(map_arrow(src, _classes, f"id long, label string, dim int, v {kind}, fp binary"), "vec-usable")
     classes = usable.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     classes = materialize(classes, "vec-classes")
     first = usable.join(classes.withColumnRenamed("fp", "__fp"),

@@ -123,3 +123,17 @@ def test_flat_vectors_of_odd_columns():
     wide = embed_dedup._matrix(pa.chunked_array([column.slice(0, 3), column.slice(7, 1)]))
     assert wide.tolist() == [[9.0, 0, 0], [0, 0, 0], [1.0, 2.0, 0], [4.0, 5.0, 6.0]]
     assert embed_dedup._matrix(pa.chunked_array([], kind)).shape == (0, 0)
+
+
+def test_float_vectors_are_computed_in_double(spark):
+    """Floats near the type's limits, null and odd components, against the same rows as doubles."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=16)
+    rows = [(i, [float(x) for x in (base + rng.normal(size=16) * 0.06).astype(np.float32)], 1) for i in range(60)]
+    rows += [(100, [float(np.float32(3e38))] * 16, 1), (101, [float(np.float32(2.9e38))] * 16, 1),
+             (102, [float(np.float32(1e-40))] * 16, 1), (103, [None] * 16, 1), (104, [float("nan")] * 16, 1),
+             (105, [float("inf")] * 16, 1), (106, [0.0] * 16, 1), (107, None, 1), (108, [], 1), (109, [1.0] * 16, None)]
+    floats = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    compare(floats, rows)
+    doubles = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted(embed_dedup.near_duplicates(floats).collect()) == sorted(embed_dedup.near_duplicates(doubles).collect())
