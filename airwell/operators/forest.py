@@ -1,10 +1,12 @@
 """Regression forests of many groups, grown at once (M10), kept as rows
 and applied by joins (M9, J10).
 
-All trees of all groups grow level by level.  A level is one aggregation to
-(group, tree, node, feature, bin -> weight, sum), combined on the map side; the
-best split of every node follows from running sums over its bins, and a join on
-(group, tree, node) sends the rows on to the children.  The number of jobs
+Rows become bins first, and those of a group with the same bins one weighted
+row per tree (a cell).  All trees of all groups grow level by level over the
+cells.  A level is one aggregation to (group, tree, node, feature, bin ->
+weight, sum), combined on the map side; the best split of every node follows
+from running sums over its bins, and a join on (group, tree, node) sends the
+cells on to the children.  The number of jobs
 follows from the depth, not from the number of groups, and no group is a task
 of its own: a group that holds a third of all rows is reduced to its bins
 before anything is shuffled.
@@ -30,34 +32,60 @@ MICRO = 1_000_000
 BAG_LIMITS = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015)
 
 
-def bag_weight(key: Column, tree: Column) -> Column:
-    """How often a row is in a tree's bag."""
+def bag_draw(key: Column, tree: Column) -> Column:
+    """A row's draw in [0, 1) for a tree."""
     text = F.concat(key.cast("string"), F.lit(":bag"), tree.cast("string"))
-    u = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def bag_weight(draw: Column) -> Column:
+    """How often a row of this draw is in the tree's bag."""
     out = F.lit(0)
     for k, limit in enumerate(BAG_LIMITS, 1):
-        out = F.when(u >= F.lit(limit), k).otherwise(out)
-    return out
+        out = F.when(draw >= F.lit(limit), k).otherwise(out)
+    return out.cast("long")
 
 
 def _edge(low: Column, high: Column, share: Column) -> Column:
     return low + (high - low) * share
 
 
-def binned(rows: DataFrame, groups: list[str], features: list[str], bins: int) -> DataFrame:
-    """``rows`` with ``_lo``/``_hi`` arrays (each group's range per feature) and ``_bins``: how many of the
-    ``bins`` - 1 inner edges of its range a value has reached."""
-    ranges = rows.groupBy(*groups).agg(F.array(*[F.min(c).cast("double") for c in features]).alias("_lo"),
-                                       F.array(*[F.max(c).cast("double") for c in features]).alias("_hi"))
-    t = rows.join(ranges, groups)
+def ranges_of(rows: DataFrame, groups: list[str], features: list[str]) -> DataFrame:
+    """Each group's range per feature, ``_lo``/``_hi`` arrays: a table of its own, so its size decides how it is joined."""
+    return materialize(rows.groupBy(*groups).agg(F.array(*[F.min(c).cast("double") for c in features]).alias("_lo"),
+                                                 F.array(*[F.max(c).cast("double") for c in features]).alias("_hi")), "forest-ranges")
+
+
+def binned(rows: DataFrame, ranges: DataFrame, groups: list[str], features: list[str], bins: int) -> DataFrame:
+    """``rows`` with ``_bins``: how many of the ``bins`` - 1 inner edges of its group's range a value has reached.
+    The edges are worked out once per group; spelt out per row they make a method too long to be compiled."""
+    edges = ranges.select(*groups, F.array(*[F.array(*[_edge(F.col("_lo")[i], F.col("_hi")[i], F.lit(k / bins)) for k in range(1, bins)])
+                                             for i in range(len(features))]).alias("_edges"))
 
     def place(i: int, c: str) -> Column:
-        reached = F.lit(0)
-        for k in range(1, bins):
-            edge = _edge(F.col("_lo")[i], F.col("_hi")[i], F.lit(k / bins))
-            reached = reached + F.when(F.col(c).cast("double") >= edge, 1).otherwise(0)
-        return reached
-    return t.withColumn("_bins", F.array(*[place(i, c) for i, c in enumerate(features)]))
+        return F.size(F.filter(F.col("_edges")[i], lambda e: F.col(c).cast("double") >= e))
+    return rows.join(edges, groups).withColumn("_bins", F.array(*[place(i, c) for i, c in enumerate(features)])).drop("_edges")
+
+
+def cells_of(rows: DataFrame, groups: list[str], features: list[str], target: str, key: Column, trees: int = 1, bins: int = 8,
+             bootstrap: bool = True) -> tuple[DataFrame, DataFrame]:
+    """((group..., tree, _bins, _w, _wy), ranges): what the trees of each group grow from.
+
+    Rows of a group with the same bins go the same way in every tree, so they
+    are added up before anything is shuffled: the table has a row per
+    combination of bins that occurs, not one per row and tree."""
+    needed = [*groups, *features, target]
+    t = rows.select(*needed, key.alias("_key")).na.drop(subset=needed)
+    ranges = ranges_of(t, groups, features)
+    tree = F.sequence(F.lit(0), F.lit(trees - 1))
+    # the draws are a generator's rows: each is worked out once, however often its weight is asked for
+    draw = F.explode(F.transform(tree, lambda i: F.struct(i.alias("tree"), bag_draw(F.col("_key"), i).alias("u")))).alias("_d")
+    w = bag_weight(F.col("_d.u")) if bootstrap else F.lit(1).cast("long")
+    micro = F.floor(F.col(target) * F.lit(float(MICRO)) + F.lit(0.5)).cast("long")
+    t = binned(t, ranges, groups, features, bins).select(*groups, "_bins", micro.alias("_y"), draw)
+    t = t.select(*groups, F.col("_d.tree").alias("tree"), "_bins", w.alias("_w"), "_y").where(F.col("_w") > 0)
+    cells = t.groupBy(*groups, "tree", "_bins").agg(F.sum("_w").alias("_w"), F.sum(F.col("_w") * F.col("_y")).alias("_wy"))
+    return materialize(cells, "forest-cells"), ranges
 
 
 def grow(rows: DataFrame, groups: list[str], features: list[str], target: str, key: Column, trees: int = 1,
@@ -67,18 +95,19 @@ def grow(rows: DataFrame, groups: list[str], features: list[str], target: str, k
 
     Rows with a null among groups, features and target take no part; an empty
     table gives no nodes; a group of one row is one leaf."""
-    needed = [*groups, *features, target]
-    t = binned(rows.select(*needed, key.alias("_key")).na.drop(subset=needed), groups, features, bins)
-    t = t.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    t = t.withColumn("_w", bag_weight(F.col("_key"), F.col("tree")).cast("long") if bootstrap else F.lit(1).cast("long"))
-    micro = F.floor(F.col(target) * F.lit(float(MICRO)) + F.lit(0.5)).cast("long")
+    cells, ranges = cells_of(rows, groups, features, target, key, trees, bins, bootstrap)
+    return grow_cells(cells, ranges, groups, features, depth, bins, min_leaf)
+
+
+def grow_cells(cells: DataFrame, ranges: DataFrame, groups: list[str], features: list[str], depth: int = 3, bins: int = 8,
+               min_leaf: int | str = 1) -> DataFrame:
+    """``grow`` from its cells; the groups may have more columns than those that ``ranges`` is by."""
     at = [*groups, "tree", "node"]
-    t = materialize(t.where(F.col("_w") > 0).select(*groups, "tree", F.lit(1).cast("long").alias("node"), "_lo", "_hi", "_bins", "_w",
-                                                    (F.col("_w") * micro).alias("_wy")), "forest-rows")
+    t = cells.withColumn("node", F.lit(1).cast("long"))
     levels = [t.groupBy(*at).agg(F.sum("_w").alias("n"), F.sum("_wy").alias("s"))]
     splits = []
     for level in range(depth):
-        best = materialize(_best_splits(t, at, len(features), bins, min_leaf), "forest-splits")
+        best = materialize(_best_splits(t, ranges, at, len(features), bins, min_leaf), "forest-splits")
         if best.isEmpty():
             break
         splits.append(best)
@@ -106,17 +135,16 @@ def grow(rows: DataFrame, groups: list[str], features: list[str], target: str, k
         F.when(F.col("feature").isNotNull(), F.col("node") * 2 + 1).alias("right"), "n", value.alias("value"))
 
 
-def _best_splits(t: DataFrame, at: list[str], n_features: int, bins: int, min_leaf: int | str) -> DataFrame:
+def _best_splits(t: DataFrame, ranges: DataFrame, at: list[str], n_features: int, bins: int, min_leaf: int | str) -> DataFrame:
     """(at..., feature, bin, threshold, n0, s0, n1, s1): the split of each node with the largest gain in squared sums;
     equal gains go to the first feature and bin."""
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("feature"), F.col("_bins")[i].alias("bin"), F.col("_lo")[i].alias("lo"),
-                                        F.col("_hi")[i].alias("hi")) for i in range(n_features)])).alias("f")
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("feature"), F.col("_bins")[i].alias("bin")) for i in range(n_features)])).alias("f")
     hist = t.select(*at, "_w", "_wy", each).groupBy(*at, "f.feature", "f.bin").agg(
-        F.sum("_w").alias("n"), F.sum("_wy").alias("s"), F.first("f.lo").alias("lo"), F.first("f.hi").alias("hi"))
+        F.sum("_w").alias("n"), F.sum("_wy").alias("s"))
     least = F.col(min_leaf) if isinstance(min_leaf, str) else F.lit(min_leaf)
     whole = Window.partitionBy(*at, "feature")
     so_far = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    cand = hist.select(*at, "feature", "bin", "lo", "hi", F.sum("n").over(so_far).alias("n0"), F.sum("s").over(so_far).alias("s0"),
+    cand = hist.select(*at, "feature", "bin", F.sum("n").over(so_far).alias("n0"), F.sum("s").over(so_far).alias("s0"),
                        F.sum("n").over(whole).alias("n"), F.sum("s").over(whole).alias("s"))
     cand = cand.withColumn("n1", F.col("n") - F.col("n0")).withColumn("s1", F.col("s") - F.col("s0")) \
         .where((F.col("n0") >= least) & (F.col("n1") >= least) & (F.col("n1") > 0))
@@ -125,11 +153,12 @@ def _best_splits(t: DataFrame, at: list[str], n_features: int, bins: int, min_le
         return F.col(s).cast("double") * F.col(s).cast("double") / F.col(n).cast("double")
     cand = cand.withColumn("gain", part("s0", "n0") + part("s1", "n1") - part("s", "n")) \
         .where(F.col("gain") > F.lit(1e-12) * part("s", "n"))
+    best = cand.groupBy(*at).agg(F.max_by(F.struct("feature", "bin", "n0", "s0", "n1", "s1"),
+                                          F.struct("gain", -F.col("feature"), -F.col("bin"))).alias("b")).select(*at, "b.*")
     share = (F.col("bin") + 1).cast("double") / F.lit(float(bins))
-    cand = cand.withColumn("threshold", _edge(F.col("lo"), F.col("hi"), share))
-    best = cand.groupBy(*at).agg(F.max_by(F.struct("feature", "bin", "threshold", "n0", "s0", "n1", "s1"),
-                                          F.struct("gain", -F.col("feature"), -F.col("bin"))).alias("b"))
-    return best.select(*at, "b.*")
+    low, high = (F.element_at(c, F.col("feature") + 1) for c in ("_lo", "_hi"))
+    return best.join(ranges, [c for c in ranges.columns if c in at]) \
+        .select(*at, "feature", "bin", _edge(low, high, share).alias("threshold"), "n0", "s0", "n1", "s1")
 
 
 # --------------------------------------------------------------- the stored models

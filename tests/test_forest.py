@@ -147,3 +147,16 @@ def test_two_steps_shift_the_lags(spark):
     got = {r.row_key: (r.today, r.tomorrow) for r in FO.two_steps(rows, nodes, ["g"], ["lag_1", "lag_2", "lag_3"], ["w"]).collect()}
     # a: today 8 -> lag_1 8, lag_2 3 -> 2.5;  b: today 1 -> lag_1 1 -> 8;  c has no model
     assert got == {"a": (8.0, 2.5), "b": (1.0, 8.0), "c": (None, None)}
+
+
+def test_rows_of_the_same_bins_are_one_cell(spark):
+    """What the trees grow from does not grow with the rows: twice the rows, the same cells of twice the weight."""
+    def cells(n):
+        df = spark.range(n).select(F.col("id").cast("string").alias("row_key"), F.lit(1).alias("g"), (F.col("id") % 2).cast("double").alias("x"),
+                                   (F.col("id") % 3).cast("double").alias("z"), (F.col("id") % 5).cast("double").alias("y"))
+        found, ranges = FO.cells_of(df.repartition(5), ["g"], NAMES, "y", F.col("row_key"), trees=2, bootstrap=False)
+        assert [(r["_lo"], r["_hi"]) for r in ranges.collect()] == [([0.0, 0.0], [1.0, 2.0])]
+        return {(r.tree, tuple(r["_bins"])): (r["_w"], r["_wy"]) for r in found.collect()}
+    few, many = cells(300), cells(600)
+    assert set(few) == set(many) == {(t, (7 * x, z)) for t in (0, 1) for x in (0, 1) for z in (0, 4, 7)}
+    assert many == {k: (2 * w, 2 * wy) for k, (w, wy) in few.items()} and sum(w for w, _ in few.values()) == 600
