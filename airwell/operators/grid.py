@@ -39,8 +39,8 @@ def grow_folds(rows: DataFrame, key: str, features: list[str], label: str, folds
     a forest has not seen the rows of its own fold."""
     others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("_own"))).alias("fold")
     t = rows.withColumn("_own", fold_of(key, folds)).select(key, *features, label, others)
-    return FO.grow(_per_leaf_size(t, grid["min_leaf"]), ["fold", "min_leaf"], features, label, F.col(key),
-                   trees=max(grid["trees"]), depth=max(grid["depth"]), bins=bins, min_leaf="min_leaf")
+    cells, ranges = FO.cells_of(t, ["fold"], features, label, F.col(key), max(grid["trees"]), bins)
+    return FO.grow_cells(_per_leaf_size(cells, grid["min_leaf"]), ranges, ["fold", "min_leaf"], features, max(grid["depth"]), bins, "min_leaf")
 
 
 def score_folds(rows: DataFrame, nodes: DataFrame, key: str, features: list[str], label: str, folds: int,
@@ -98,7 +98,10 @@ def choose(per_fold: DataFrame) -> DataFrame:
 
 def search(rows: DataFrame, key: str, features: list[str], label: str, grid: dict[str, list[int]], folds: int = 5,
            bins: int = 8) -> DataFrame:
-    """The AUC of every (combination, fold)."""
+    """The AUC of every (combination, fold).  The rows are spread first: a small
+    file of many short rows is one task, and each row is met many times."""
+    used = [key, *features, label]
+    rows = materialize(rows.select(*used).repartition(*used), "grid-rows")
     nodes = materialize(grow_folds(rows, key, features, label, folds, grid, bins), "grid-nodes")
     return fold_auc(score_folds(rows, nodes, key, features, label, folds, grid), label)
 

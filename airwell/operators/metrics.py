@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from airwell.session import materialize
+
 
 def class_share(df: DataFrame, col: str) -> DataFrame:
     """A5: (value, n, share).  The total is a scalar subquery, so the classes
@@ -69,6 +71,7 @@ def auc_exact(df: DataFrame, y: str, score: str, by: str | None = None, buckets:
     s = (df.where(F.col(score).isNotNull() & F.col(y).isNotNull())
            .groupBy(*keys, score)
            .agg(F.sum(yv).alias("pos"), F.sum(F.lit(1) - yv).alias("neg")))
+    s = materialize(s, "auc-scores")    # read by the quantiles, the bucket totals and the order
     probs = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(x for x in s.approxQuantile(score, probs, 0.001) if x is not None))
     edges = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")

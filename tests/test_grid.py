@@ -55,3 +55,16 @@ def test_one_class_and_nulls(spark):
     assert len(got) == 8 * 3 and all(r["auc"] is None and r["n_pos"] == 0 for r in got)
     assert sum(r["n_neg"] for r in got) == 8 * 48
     assert G.choose(per_fold).where("chosen").first()["trees"] == 1
+
+
+def test_rows_of_one_task_are_spread(spark, monkeypatch):
+    seen = []
+    plain = FO.cells_of
+    monkeypatch.setattr(FO, "cells_of", lambda rows, *a: seen.append(rows.rdd.getNumPartitions()) or plain(rows, *a))
+    d = data(spark, 60_000).coalesce(1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert G.search(d, "k", ["a", "b"], "y", {"trees": [1], "depth": [1], "min_leaf": [1]}, 3).count() == 3
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert seen[0] > 1

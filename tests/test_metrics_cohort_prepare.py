@@ -107,3 +107,15 @@ def test_filters(spark):
     a, b = FL.hash_split(df, "id", [0.8, 0.2])
     assert a.count() + b.count() == 10 and a.join(b, "id").count() == 0
     assert sorted(r[0] for r in FL.common_keys(df.where("id < 6"), df.where("id > 3"), "id").collect()) == [4, 5]
+
+
+def test_auc_works_its_rows_out_once(spark):
+    met = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            met.add(b.num_rows)
+            yield b
+    df = spark.range(200).selectExpr("id % 2 AS y", "CAST(id AS double) AS s").mapInArrow(counted, "y long, s double")
+    assert M.auc_exact(df, "y", "s", buckets=16).first()["n_pos"] == 100
+    assert met.value == 200
