@@ -1,9 +1,11 @@
 """Message-topic sources (S1) and their file-backed stand-in.
 
 Production reads a broker topic with ``readStream.format("kafka")``; the
-connector is not part of this build, so the tested path is a folder of JSON
-lines with the same (key, value) shape, read as a file stream.  The parsing
-plan after the source is identical.
+connector is not part of this build, so the tested path is a folder of files
+with the same (key, value) rows, read as a file stream.  The parsing plan after
+the source is identical.  What is published here is parquet, compressed and
+still cut into splits by its readers: the values are JSON text that repeats the
+field names in every message.  Folders of JSON lines are read as well.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airwell.functions.prepare import ts_to_epoch
-from airwell.session import new_work_path
+from airwell.session import list_names, new_work_path
 
 MESSAGE_SCHEMA = "key STRING, value STRING"
 
@@ -27,25 +29,34 @@ def kafka_stream(spark: SparkSession, servers: str, topic: str, starting: str =
 
 
 def file_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """S1 stand-in: a folder of (key, value) JSON lines as a stream."""
+    """S1 stand-in: a folder of (key, value) files as a stream."""
     r = spark.readStream.schema(MESSAGE_SCHEMA)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.json(path)
+    return r.format(_format_of(spark, path)).load(path)
+
+
+def _format_of(spark: SparkSession, path: str) -> str:
+    return "parquet" if any(n.endswith(".parquet") for n in list_names(spark, path)) else "json"
 
 
 def read_message_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MESSAGE_SCHEMA).json(path)
+    return spark.read.schema(MESSAGE_SCHEMA).format(_format_of(spark, path)).load(path)
+
+
+def _append(msgs: DataFrame, path: str) -> None:
+    """Texts hardly repeat as a whole, so no dictionary of them is tried."""
+    msgs.write.mode("append").option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
 
 
 def write_message_files(spark: SparkSession, msgs: DataFrame, name: str, files: int | None = None,
                         path: str | None = None) -> str:
-    """Publish (key, value) rows as JSON lines below the shared folder."""
+    """Publish (key, value) rows as files below the shared folder."""
     path = path or new_work_path(spark, name)
     out = msgs.select("key", "value")
     if files:
         out = out.repartition(files)
-    out.write.mode("append").json(path)
+    _append(out, path)
     return path
 
 
@@ -72,7 +83,7 @@ def publish_in_time_order(rows: DataFrame, encode, ts: str, path: str) -> str:
     write have no order among each other: a reader takes them in one
     micro-batch, or allows for their span in its watermark delay."""
     u = F.unix_micros(F.col(ts))
-    encode(rows.withColumn("_u", u).repartitionByRange("_u").drop("_u")).write.mode("append").json(path)
+    _append(encode(rows.withColumn("_u", u).repartitionByRange("_u").drop("_u")).select("key", "value"), path)
     return path
 
 

@@ -247,3 +247,19 @@ def test_late_rows_and_windows_make_up_the_input(spark):
     open_end = v.agg(F.max("ts")).first()[0]
     still_open = v.where(F.window("ts", "1 minute")["end"] > F.lit(open_end)).count()
     assert late > 0 and late + spark.read.parquet(f"{base}/sink").agg(F.sum("n_events")).first()[0] + still_open == v.count()
+
+
+def test_topics_are_compact_and_old_ones_are_read(spark):
+    """The messages' texts repeat every field name: on disk they take a small part of their length."""
+    import os
+    base = new_work_path(spark, "t-compact")
+    msgs = MS.reading_messages(T.readings(spark, SF001))
+    MS.write_message_files(spark, msgs, "r", path=f"{base}/topic")
+    msgs.select("key", "value").write.json(f"{base}/lines")
+    size = lambda d: sum(os.path.getsize(os.path.join(d, n)) for n in os.listdir(d) if n.startswith("part-"))
+    assert 4 * size(f"{base}/topic".replace("file:", "")) < size(f"{base}/lines".replace("file:", ""))
+    want = sorted(map(tuple, msgs.collect()))
+    for kind in ("topic", "lines"):
+        assert sorted(map(tuple, MS.read_message_files(spark, f"{base}/{kind}").collect())) == want
+        SP.run_to_parquet(MS.file_stream(spark, f"{base}/{kind}"), f"{base}/{kind}-out", f"{base}/{kind}-ckpt")
+        assert spark.read.parquet(f"{base}/{kind}-out").count() == len(want)
