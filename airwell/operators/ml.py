@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_TREE_DEPTH = 30  # MLlib's limit; the original grows trees without a limit
+TASK_ROWS = 50_000   # rows that one task of a fit holds: MLlib keeps a weight per row and tree
 
 
 def label_encode(df: DataFrame, col: str, out: str) -> DataFrame:
@@ -54,6 +55,16 @@ def features_pipeline(cols: list[str], out: str = "features") -> list:
             VectorAssembler(inputCols=imp, outputCol=out)]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in partitions of about ``TASK_ROWS`` rows.  A small file of many short rows is one task; bags are drawn
+    per partition, so rows are cut by their own hash and sorted, and the same rows give the same model.  A table
+    that fits one task stays as it is."""
+    n = df.count()
+    if n <= TASK_ROWS:
+        return df
+    return df.repartition(-(-n // TASK_ROWS), *df.columns).sortWithinPartitions(*df.columns)
+
+
 def train_classifier(train: DataFrame, cols: list[str], label: str, kind: str = "rf", seed: int = 42,
                      num_trees: int = 100, max_depth: int = 10, weight_col: str | None = None) -> PipelineModel:
     """M3 / M5 / M6: forest or boosted trees on imputed, assembled features."""
@@ -64,7 +75,7 @@ def train_classifier(train: DataFrame, cols: list[str], label: str, kind: str =
         est = GBTClassifier(labelCol=label, featuresCol="features", maxIter=num_trees, maxDepth=max_depth, seed=seed)
     if weight_col:
         est = est.setWeightCol(weight_col)
-    return Pipeline(stages=features_pipeline(cols) + [est]).fit(train)
+    return Pipeline(stages=features_pipeline(cols) + [est]).fit(spread(train))
 
 
 def tune_forest(train: DataFrame, cols: list[str], label: str, grid: dict | None = None, folds: int = 5,
@@ -84,7 +95,7 @@ def tune_forest(train: DataFrame, cols: list[str], label: str, grid: dict | None
 
 def score(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
     """M9: probability of the positive class and the > 0.5 flag."""
-    out = model.transform(df)
+    out = model.transform(spread(df.select(*dict.fromkeys([*keep, *model.stages[0].getInputCols()]))))
     p1 = vector_to_array("probability")[1]
     return out.select(*keep, p1.alias("probability"), (p1 > 0.5).alias("prediction"))
 

@@ -66,3 +66,13 @@ def test_memory_sink(spark):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT count(*) FROM mem_readings").first()[0] == 1
+
+
+def test_fits_are_cut_into_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ML, "TASK_ROWS", 100)
+    d = spark.range(950).select(F.col("id").alias("user_id"), (F.col("id") % 9).cast("double").alias("a")).coalesce(1)
+    cut = ML.spread(d)
+    assert cut.rdd.getNumPartitions() == 10 and cut.count() == 950
+    assert max(len(p) for p in cut.rdd.glom().collect()) < 200
+    assert cut.rdd.glom().collect() == ML.spread(d.repartition(7)).rdd.glom().collect()     # however the rows lay
+    assert ML.spread(d.limit(100)).rdd.getNumPartitions() == 1
