@@ -26,9 +26,13 @@ SCORED_COLUMNS = ["alder_pollen", "birch_pollen", "grass_pollen", "mugwort_polle
                   "european_aqi", "pm10", "pm2_5", "nitrogen_dioxide", "sulphur_dioxide", "carbon_monoxide", "ozone"]
 
 
-def hourly_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings reduced to one per (site, hour): greatest (reading_id, pm10)."""
-    return latest_per_key(T.readings(spark, sf_dir), ["municipality_id", "ts"], ["reading_id", "pm10"])
+def hourly_readings(spark: SparkSession, sf_dir: str, cols: list[str] | None = None) -> DataFrame:
+    """Readings reduced to one per (site, hour): greatest (reading_id, pm10).  With ``cols`` a row holds these
+    only: what is chosen by its order passes the sort and the shuffle whole, also columns that nobody reads."""
+    r = T.readings(spark, sf_dir)
+    if cols is not None:
+        r = r.select(*dict.fromkeys(["municipality_id", "ts", "reading_id", "pm10", *cols]))
+    return latest_per_key(r, ["municipality_id", "ts"], ["reading_id", "pm10"])
 
 
 def enriched_windows(spark: SparkSession, sf_dir: str, size: str = "1 minute") -> DataFrame:

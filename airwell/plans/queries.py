@@ -462,7 +462,7 @@ DAILY_COLS = ["alder_pollen", "birch_pollen", "grass_pollen", "mugwort_pollen",
 
 
 def daily_cover(spark: SparkSession, sf: str) -> DataFrame:
-    return W.daily_mean_with_cover(FS.hourly_readings(spark, sf), "municipality_id", "ts", DAILY_COLS)
+    return W.daily_mean_with_cover(FS.hourly_readings(spark, sf, DAILY_COLS), "municipality_id", "ts", DAILY_COLS)
 
 
 DAILY_SQL = "daily AS (SELECT municipality_id, CAST(ts AS DATE) AS date, " + ", ".join(

@@ -28,7 +28,7 @@ def multi_file_scan(spark: SparkSession, sf: str) -> DataFrame:
     """S3 + U1 + K5: hourly weather written as one CSV folder per site; all
     folders read in one scan, the site taken from the file path, the time
     text parsed leniently (P15)."""
-    h = FS.hourly_readings(spark, sf).select(
+    h = FS.hourly_readings(spark, sf, ["temperature_2m", "precipitation"]).select(
         "municipality_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("time"), "temperature_2m", "precipitation")
     path = new_work_path(spark, "weather-csv")
     # one shuffle by site, so each site's folder gets one file

@@ -41,3 +41,12 @@ def test_geojson_feature_collection(spark):
         json.dump(doc, f, indent=2)
     ids = sorted(r["municipality_id"] for r in FI.read_geojson_features(spark, os.path.join(d, "sites.geojson")).collect())
     assert ids == [21001, 21002]
+
+
+def test_hourly_rows_hold_what_is_asked_for(spark):
+    from airwell.plans import flagship as FS
+    from conftest import SF001
+    some = FS.hourly_readings(spark, SF001, ["temperature_2m"])
+    assert some.columns == ["municipality_id", "ts", "reading_id", "pm10", "temperature_2m"]
+    every = FS.hourly_readings(spark, SF001).select(*some.columns)
+    assert some.exceptAll(every).isEmpty() and some.count() == every.count()
