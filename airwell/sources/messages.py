@@ -45,8 +45,8 @@ def read_message_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _append(msgs: DataFrame, path: str) -> None:
-    """Texts hardly repeat as a whole, so no dictionary of them is tried."""
-    msgs.write.mode("append").option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
+    """Texts hardly repeat as a whole, so no dictionary of them is tried; row groups are small, as readers split at them."""
+    msgs.write.mode("append").option("compression", "zstd").option("parquet.block.size", 8 << 20).option("parquet.enable.dictionary", "false").parquet(path)
 
 
 def write_message_files(spark: SparkSession, msgs: DataFrame, name: str, files: int | None = None,
