@@ -22,7 +22,7 @@ from airwell.operators import filters as FL
 from airwell.operators import joins as J
 from airwell.operators import metrics as M
 from airwell.operators.asof import asof_join, latest_per_key
-from airwell.operators.latest import newest_per_key, upsert
+from airwell.operators.latest import advice_items, latest_by_category, newest_per_key, upsert
 from airwell.operators.spatial import DEFAULT_LEVELS, nearest_site, valley_for_points
 from airwell.operators.windows import VITAL_COLUMNS, vitals_window
 from airwell.plans import flagship as FS
@@ -656,12 +656,7 @@ GROUP BY user_id, category""")
 def category_latest(spark: SparkSession, sf: str) -> DataFrame:
     """P21 + T9: split 'Category: text'; per (user, category) the newest text."""
     s = scored_windows(spark, sf)
-    items = s.select("user_id", "window_end", F.explode("recommendations").alias("advice"))
-    cat, content = P.split_category("advice")
-    items = items.where(P.has_category("advice")).select("user_id", "window_end", cat.alias("category"),
-                                                         content.alias("content"))
-    return items.groupBy("user_id", "category").agg(
-        F.max_by("content", "window_end").alias("content"), F.max("window_end").alias("window_end"))
+    return latest_by_category(advice_items(s, "user_id", "window_end"))
 
 
 # ============================================================== R17-R19, J9

@@ -79,3 +79,38 @@ def test_latest_upsert_topk(spark):
     upd = spark.createDataFrame([(2, 21.0, 2), (3, 30.0, 2)], "user_id long, bmi double, load_seq int")
     got = sorted(tuple(r) for r in upsert(cur, upd, "user_id").select("user_id", "bmi", "load_seq").collect())
     assert got == [(1, 10.0, 1), (2, 21.0, 2), (3, 30.0, 2)]
+
+
+def test_asof_reads_the_right_side_once(spark, monkeypatch, tmp_path):
+    """One scan of the right side, without the rows of keys that no left row has; many keys, or a unique right side, give the same."""
+    from airwell.operators import asof as A
+    right = [(k, T0 + dt.timedelta(hours=7 * i), i, float(i)) for k in range(6) for i in range(40)]
+    spark.createDataFrame(right, "k long, rt timestamp, rid long, v double").write.parquet(f"{tmp_path}/right")
+    Rr = spark.read.parquet(f"{tmp_path}/right")
+    left = [(n, n % 3 + 4, T0 + dt.timedelta(hours=100 + 11 * n)) for n in range(30)]
+    L = spark.createDataFrame(left, "n long, k long, t timestamp")
+    exp = {n: max([rid for kk, rt, rid, _ in right if kk == k and rt <= t], default=None) for n, k, t in left}
+    plans, plain = [], A.materialize
+    monkeypatch.setattr(A, "materialize", lambda df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), plain(df, name))[1])
+    for bound, ties in ((500_000, ["rid", "v"]), (0, ["rid", "v"]), (500_000, None)):
+        monkeypatch.setattr(A, "MAX_SENT_KEYS", bound)
+        plans.clear()
+        got = {r["n"]: r["rid"] for r in A.asof_join(L, Rr, "k", "t", "rt", tie_order=ties).collect()}
+        assert got == exp
+        if ties:
+            assert plans[-1].count("rid#") and sum("Relation" in x and "rid#" in x for x in plans[-1].splitlines()) == 1
+        assert ("LeftSemi" in plans[-1]) == (bound > 0)
+
+
+def test_entries_of_a_list_are_computed_once(spark):
+    """Exploding a computed list must not compute it again for a filter below."""
+    from airwell.operators.latest import advice_items, latest_by_category
+    t = [T0 + dt.timedelta(minutes=i) for i in range(4)]
+    rows = [("1", t[0], "A: old", "B: x"), ("1", t[2], "A: new", None), ("1", t[1], "A: mid", "no category"), ("2", t[3], None, None)]
+    df = spark.createDataFrame(rows, "user_id string, window_end timestamp, p string, q string")
+    s = df.withColumn("recommendations", F.array_compact(F.array(F.upper("p"), F.upper("q"))))
+    items = advice_items(s, "user_id", "window_end")
+    assert items._jdf.queryExecution().optimizedPlan().toString().count("upper(p") == 1
+    assert sorted(r["advice"] for r in items.collect()) == ["A: MID", "A: NEW", "A: OLD", "B: X", "NO CATEGORY"]
+    got = {(r["user_id"], r["category"]): (r["content"], r["window_end"]) for r in latest_by_category(items).collect()}
+    assert {k: v[0] for k, v in got.items()} == {("1", "A"): "NEW", ("1", "B"): "X"}
