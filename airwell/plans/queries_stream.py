@@ -200,9 +200,9 @@ def recommendations_stream(spark: SparkSession, sf: str) -> DataFrame:
 def _message_rows(spark: SparkSession, out: str) -> DataFrame:
     m = spark.read.schema("key string, value string").json(out)
     v = F.from_json("value", "struct<user_id:string, window_end:timestamp, recommendations:array<string>>")
-    rows = m.select(F.col("key").cast("bigint").alias("window_key"), v.alias("v"))
-    return rows.select("window_key", F.col("v.user_id").cast("bigint").alias("user_id"), "v.window_end",
-                       F.posexplode("v.recommendations").alias("pos", "advice"))
+    rows = m.select(F.col("key").cast("bigint").alias("window_key"), F.inline(F.array(v)))     # parsed once, as a generator's row
+    return rows.select("window_key", F.col("user_id").cast("bigint").alias("user_id"), "window_end",
+                       F.posexplode("recommendations").alias("pos", "advice"))
 
 
 def _stream_rec_sql() -> str:

@@ -134,10 +134,10 @@ def windowed_vitals_stream(events: DataFrame, size: str = "1 minute", delay: str
         v = v.dropDuplicatesWithinWatermark(["msg_id"])
     order = F.struct(F.col("ts"), F.col("msg_id"))
     w = (v.groupBy(F.window("ts", size).alias("window"), "user_id")
-          .agg(F.min_by("lat", order).alias("lat"), F.min_by("lng", order).alias("lng"),
+          .agg(F.min_by(F.struct("lat", "lng"), order).alias("at"),
                *[F.avg(c).alias(f"avg_{c}") for c in VITAL_COLUMNS], F.count(F.lit(1)).alias("n_events")))
     return w.select("user_id", F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
-                    "lat", "lng", *[f"avg_{c}" for c in VITAL_COLUMNS], "n_events")
+                    "at.lat", "at.lng", *[f"avg_{c}" for c in VITAL_COLUMNS], "n_events")
 
 
 def run_to_parquet(df: DataFrame, sink: str, checkpoint: str, mode: str = "append",
@@ -324,7 +324,7 @@ def recommendations_writer(spark: SparkSession, out: str, sites: DataFrame, read
     windows meet that table of each site's latest reading and nothing else: no
     reading is looked up by time."""
     from airwell.api import recommend
-    from airwell.functions.prepare import has_category, split_category
+    from airwell.operators.latest import advice_items, latest_by_category
     from airwell.operators.spatial import site_levels
     from airwell.sinks.tables import merge_latest
 
@@ -375,10 +375,7 @@ def recommendations_writer(spark: SparkSession, out: str, sites: DataFrame, read
         recommendation_messages(rec).write.mode("overwrite").json(f"{out}/batch={batch_id}")
         if latest is None or batch_id in snapshot_versions(spark, latest):
             return
-        items = rec.select("user_id", "window_end", F.explode("recommendations").alias("advice"))
-        cat, content = split_category("advice")
-        items = items.where(has_category("advice")).select(
-            "user_id", cat.alias("category"), content.alias("content"), "window_end")
+        items = latest_by_category(advice_items(rec, "user_id", "window_end"))
         items = items.withColumn("uc", F.concat_ws("\u0001", F.col("user_id").cast("string"), "category"))
         prev = [v for v in snapshot_versions(spark, latest) if v < batch_id]
         snap = spark.read.parquet(f"{latest}/v={prev[-1]}") if prev else None

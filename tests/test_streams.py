@@ -263,3 +263,30 @@ def test_topics_are_compact_and_old_ones_are_read(spark):
         assert sorted(map(tuple, MS.read_message_files(spark, f"{base}/{kind}").collect())) == want
         SP.run_to_parquet(MS.file_stream(spark, f"{base}/{kind}"), f"{base}/{kind}-out", f"{base}/{kind}-ckpt")
         assert spark.read.parquet(f"{base}/{kind}-out").count() == len(want)
+
+
+def test_messages_are_read_back_with_one_parse(spark):
+    from airwell.plans.queries_stream import _message_rows
+    base = new_work_path(spark, "t-back")
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("7", t0, ["A: x", "B: y"]), ("8", t0, []), ("9", t0, None)]
+    df = spark.createDataFrame(rows, "user_id string, window_end timestamp, recommendations array<string>")
+    SP.recommendation_messages(df).write.json(f"{base}/out")
+    got = _message_rows(spark, f"{base}/out")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    key = int(t0.replace(tzinfo=dt.timezone.utc).timestamp())
+    assert sorted(tuple(r) for r in got.collect()) == [(key, 7, t0, 0, "A: x"), (key, 7, t0, 1, "B: y")]
+
+
+def test_position_is_kept_once_per_window(spark):
+    """One ordered pair per window in the state; the first message's position, also where half of it is missing."""
+    base = new_work_path(spark, "t-at")
+    t0 = dt.datetime(2024, 1, 1)
+    v = T.vitals(spark, SF001).limit(1).select("event_id", "user_id", "heart_rate", "ibi", "eda", "skin_temp", "activity_level", "lat", "lng")
+    at = lambda s, lat, lng: v.withColumns({"ts": F.lit(t0 + dt.timedelta(seconds=s)), "lat": F.lit(lat).cast("double"), "lng": F.lit(lng).cast("double")})
+    msgs = MS.vitals_messages(at(5, None, 2.0).unionByName(at(9, 3.0, 4.0)).unionByName(at(500, 5.0, 6.0)))
+    MS.write_message_files(spark, msgs, "v", files=1, path=f"{base}/topic")
+    win = SP.windowed_vitals_stream(SP.parse_vitals(MS.file_stream(spark, f"{base}/topic")))
+    assert win._jdf.queryExecution().analyzed().toString().count("min_by(") == 1
+    SP.run_to_parquet(win, f"{base}/sink", f"{base}/ckpt")
+    assert [(r["lat"], r["lng"], r["n_events"]) for r in spark.read.parquet(f"{base}/sink").collect()] == [(None, 2.0, 2)]
