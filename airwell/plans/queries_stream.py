@@ -198,7 +198,7 @@ def recommendations_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _message_rows(spark: SparkSession, out: str) -> DataFrame:
-    m = spark.read.schema("key string, value string").json(out)
+    m = MS.read_message_files(spark, out)
     v = F.from_json("value", "struct<user_id:string, window_end:timestamp, recommendations:array<string>>")
     rows = m.select(F.col("key").cast("bigint").alias("window_key"), v.alias("v"))
     return rows.select("window_key", F.col("v.user_id").cast("bigint").alias("user_id"), "v.window_end",
@@ -292,9 +292,9 @@ def category_shown_stream(spark: SparkSession, sf: str) -> DataFrame:
     state with timers holds the text that is shown per (user, category) until it is replaced or expires."""
     base = new_work_path(spark, "shown")
     sent = _rec_stream(spark, sf)["out"]
-    m = spark.read.schema("key string, value string").json(sent).withColumn("_end", F.timestamp_seconds(F.col("key").cast("bigint")))
+    m = MS.read_message_files(spark, sent).withColumn("_end", F.timestamp_seconds(F.col("key").cast("bigint")))
     for part in MS.time_slices(m, "_end", SLICES):
-        part.select("key", "value").write.mode("append").json(f"{base}/topic")
+        MS.write_message_files(spark, part, "shown", path=f"{base}/topic")
         SP.run_current(SP.message_items(MS.file_stream(spark, f"{base}/topic")), f"{base}/shown", f"{base}/checkpoint", f"{TTL_HOURS} hours")
     shown = SP.read_snapshot(spark, f"{base}/shown")
     return shown.select(F.col("user_id").cast("bigint").alias("user_id"), "category", "content", "window_end")

@@ -37,16 +37,21 @@ def file_stream(spark: SparkSession, path: str, max_files_per_trigger: int | Non
 
 
 def _format_of(spark: SparkSession, path: str) -> str:
-    return "parquet" if any(n.endswith(".parquet") for n in list_names(spark, path)) else "json"
+    """Of the files in a folder, or in the first of its ``batch=<id>`` folders."""
+    names = list_names(spark, path)
+    batches = sorted(n for n in names if n.startswith("batch="))
+    if batches:
+        names = list_names(spark, f"{path}/{batches[0]}")
+    return "parquet" if any(n.endswith(".parquet") for n in names) else "json"
 
 
 def read_message_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MESSAGE_SCHEMA).format(_format_of(spark, path)).load(path)
 
 
-def _append(msgs: DataFrame, path: str) -> None:
+def write_messages(msgs: DataFrame, path: str, mode: str = "append") -> None:
     """Texts hardly repeat as a whole, so no dictionary of them is tried; row groups are small, as readers split at them."""
-    msgs.write.mode("append").option("compression", "zstd").option("parquet.block.size", 8 << 20).option("parquet.enable.dictionary", "false").parquet(path)
+    msgs.write.mode(mode).option("compression", "zstd").option("parquet.block.size", 8 << 20).option("parquet.enable.dictionary", "false").parquet(path)
 
 
 def write_message_files(spark: SparkSession, msgs: DataFrame, name: str, files: int | None = None,
@@ -56,7 +61,7 @@ def write_message_files(spark: SparkSession, msgs: DataFrame, name: str, files:
     out = msgs.select("key", "value")
     if files:
         out = out.repartition(files)
-    _append(out, path)
+    write_messages(out, path)
     return path
 
 
@@ -83,7 +88,7 @@ def publish_in_time_order(rows: DataFrame, encode, ts: str, path: str) -> str:
     write have no order among each other: a reader takes them in one
     micro-batch, or allows for their span in its watermark delay."""
     u = F.unix_micros(F.col(ts))
-    _append(encode(rows.withColumn("_u", u).repartitionByRange("_u").drop("_u")).select("key", "value"), path)
+    write_messages(encode(rows.withColumn("_u", u).repartitionByRange("_u").drop("_u")).select("key", "value"), path)
     return path
 
 

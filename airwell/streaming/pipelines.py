@@ -327,6 +327,7 @@ def recommendations_writer(spark: SparkSession, out: str, sites: DataFrame, read
     from airwell.operators.latest import advice_items, latest_by_category
     from airwell.operators.spatial import site_levels
     from airwell.sinks.tables import merge_latest
+    from airwell.sources.messages import write_messages
 
     levels = site_levels(sites)   # static side: one grid for the whole stream
     # ids of the vitals topic are text; frames of files are read again per batch
@@ -372,7 +373,7 @@ def recommendations_writer(spark: SparkSession, out: str, sites: DataFrame, read
         return rows
 
     def _emit(rec: DataFrame, batch_id: int) -> None:
-        recommendation_messages(rec).write.mode("overwrite").json(f"{out}/batch={batch_id}")
+        write_messages(recommendation_messages(rec), f"{out}/batch={batch_id}", "overwrite")
         if latest is None or batch_id in snapshot_versions(spark, latest):
             return
         items = latest_by_category(advice_items(rec, "user_id", "window_end"))
@@ -433,42 +434,57 @@ def message_items(msgs: DataFrame) -> DataFrame:
 
 
 # -- the shown recommendation per category, with a time to live (T9) -------------------
-CURRENT_TYPE = "user_id string, category string, content string, window_end timestamp, expired boolean"
+NO_TIME = -9223372036854776     # microseconds that stand for a missing time: before every other
+CURRENT_BUCKETS = 1024      # of the keyed state; a stream keeps the number it started with
+CURRENT_TYPE = "user_id string, category string, content string, micros long, expired boolean"
+CURRENT_STATE = "users array<string>, categories array<string>, contents array<string>, micros array<long>, timers array<long>"
 
 
-def current_by_category(items: DataFrame, ttl: str = "6 hours", delay: str = "0 seconds") -> DataFrame:
+def current_by_category(items: DataFrame, ttl: str = "6 hours", delay: str = "0 seconds", buckets: int = CURRENT_BUCKETS) -> DataFrame:
     """Updates of the current text per (user, category) of a stream of items (user_id, category, content,
     window_end).  A newer text replaces the older; a text that nothing has replaced for ``ttl`` of event time
-    expires by a timer and leaves the state, so the state holds what is shown and no more."""
+    expires by a timer and leaves the state, so the state holds what is shown and no more.  At ``ttl`` it has expired.
+
+    The keys are hashed into ``buckets``; a bucket's texts and their timers are one row of state, whose own timer is
+    the first of them: a call of the Python function costs milliseconds, so it is made per bucket and not per key.
+    Take so many that the texts of one bucket fit a task."""
     import pandas as pd
 
     span = int(pd.Timedelta(ttl).total_seconds() * 1000)
+    names = [c.split()[0] for c in CURRENT_TYPE.split(", ")]
 
     def step(key, frames, state):
-        empty = pd.DataFrame({c.split()[0]: [] for c in CURRENT_TYPE.split(", ")})
-        if state.hasTimedOut:
-            content, micros = state.get
+        mark = state.getCurrentWatermarkMs()
+        held = {}
+        if state.exists:
+            users, categories, contents, micros, timers = state.get
+            held = dict(zip(zip(users, categories), zip(contents, micros, timers)))
+        given = set()
+        for frame in () if state.hasTimedOut else frames:
+            for user, category, content, end in zip(*(frame[c].tolist() for c in ("user_id", "category", "content", "_us"))):
+                k = (user, category)
+                now = held.get(k)
+                if now is None or (end, content) > (now[1], now[0]):
+                    held[k] = (content, end, None)
+                given.add(k)
+        for k in given:
+            content, end, _ = held[k]
+            held[k] = (content, end, max(end // 1000 + span - 1, mark + 1))     # a timer fires behind its time: at the end of the span
+        gone = [k for k, (_, _, timer) in held.items() if timer < mark]
+        rows = [(*k, *held[k][:2], False) for k in given] + [(*k, *held.pop(k)[:2], True) for k in gone]
+        if held:
+            contents, micros, timers = zip(*held.values())
+            state.update((*map(list, zip(*held)), list(contents), list(micros), list(timers)))
+            state.setTimeoutTimestamp(min(timers))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame({"user_id": [key[0]], "category": [key[1]], "content": [content],
-                                "window_end": [pd.Timestamp(micros, unit="us")], "expired": [True]})
-            return
-        now = state.get if state.exists else None
-        for frame in frames:
-            for content, end in zip(frame["content"], frame["window_end"]):
-                found = (content, int(pd.Timestamp(end).value // 1000))
-                if now is None or (found[1], found[0]) > (now[1], now[0]):
-                    now = found
-        if now is None:
-            yield empty
-            return
-        state.update(now)
-        state.setTimeoutTimestamp(max(now[1] // 1000 + span, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"user_id": [key[0]], "category": [key[1]], "content": [now[0]],
-                            "window_end": [pd.Timestamp(now[1], unit="us")], "expired": [False]})
-
-    t = items.withWatermark("window_end", delay)
-    return t.groupBy("user_id", "category").applyInPandasWithState(
-        step, CURRENT_TYPE, "content string, micros long", "update", "EventTimeTimeout")
+        yield pd.DataFrame(rows, columns=names)
+
+    t = (items.withWatermark("window_end", delay)
+         .withColumn("_us", F.coalesce(F.unix_micros("window_end"), F.lit(NO_TIME)))
+         .withColumn("_bucket", F.pmod(F.xxhash64("user_id", "category"), F.lit(buckets))))
+    out = t.groupBy("_bucket").applyInPandasWithState(step, CURRENT_TYPE, CURRENT_STATE, "update", "EventTimeTimeout")
+    return out.select("user_id", "category", "content", F.timestamp_micros("micros").alias("window_end"), "expired")
 
 
 def run_current(items: DataFrame, shown: str, checkpoint: str, ttl: str = "6 hours"):

@@ -234,6 +234,47 @@ def test_shown_texts_expire(spark):
     assert spark.read.format("statestore").load(f"{base}/checkpoint").count() == 1
 
 
+def test_shown_texts_are_kept_in_buckets(spark):
+    """Many keys are few rows of state; what is shown is the newest text per key (the greater of two at one time, a missing
+    user is a user), without those that have expired; late rows change nothing."""
+    base = new_work_path(spark, "t-shown-buckets")
+    t0, minute = dt.datetime(2024, 1, 1), 60
+    keys = 3 * SP.CURRENT_BUCKETS // 2
+    rows = lambda n: [(None if i == 0 else str(i), c, f"{c}{i % 3}", i % 300) for i in range(n) for c in ("A",)]
+    sends = [rows(keys) + [("7", "A", "zz", 7), ("7", "B", "b", 299)],
+             [("7", "A", "new", 400), (None, "A", "now", 500), ("8", "A", "late", 10), ("9", "A", "late", 299), ("7", "A", "older", 350)],
+             [("1", "A", "end", 100 + 6 * minute)]]
+    top, want = -1, {}
+    for sent in sends:
+        for u, c, x, m in sent:
+            if m > top:
+                want[u, c] = max(want.get((u, c), (-1, "")), (m, x))
+        top = max([top] + [m for *_, m in sent])
+        want = {k: v for k, v in want.items() if v[0] + 6 * minute > top}
+        items = spark.createDataFrame([(u, t0 + dt.timedelta(minutes=m), [f"{c}: {x}"]) for u, c, x, m in sent],
+                                      "user_id string, window_end timestamp, recommendations array<string>")
+        MS.write_message_files(spark, SP.recommendation_messages(items), "i", files=2, path=f"{base}/topic")
+        SP.run_current(SP.message_items(MS.file_stream(spark, f"{base}/topic")), f"{base}/shown", f"{base}/checkpoint", "6 hours")
+        shown = SP.read_snapshot(spark, f"{base}/shown").collect()
+        assert {(r["user_id"], r["category"]): (int((r["window_end"] - t0).total_seconds()) // 60, r["content"]) for r in shown} == want
+        assert len(shown) == len(want)
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        state = spark.read.format("statestore").load(f"{base}/checkpoint").select("value.*")
+        state = state if "users" in state.columns else state.select("groupState.*")
+        assert state.count() <= SP.CURRENT_BUCKETS
+        assert state.agg(F.sum(F.size("users"))).first()[0] == len(want)
+
+
+def test_batches_of_messages_are_compact_and_old_ones_are_read(spark):
+    base = new_work_path(spark, "t-batches")
+    msgs = spark.createDataFrame([(str(i), '{"user_id": "' + str(i) + '"}') for i in range(20)], "key string, value string")
+    for kind in ("new", "old"):
+        for b in range(2):
+            part, path = msgs.where(F.col("key").cast("int") % 2 == b), f"{base}/{kind}/batch={b}"
+            MS.write_messages(part, path, "overwrite") if kind == "new" else part.write.json(path)
+        assert sorted(map(tuple, MS.read_message_files(spark, f"{base}/{kind}").select("key", "value").collect())) == sorted(map(tuple, msgs.collect()))
+
+
 def test_late_rows_and_windows_make_up_the_input(spark):
     v = T.vitals(spark, SF001)
     base = new_work_path(spark, "t-late")
